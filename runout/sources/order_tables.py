@@ -1,0 +1,444 @@
+"""All-text extracts derived from the order tables (region .. lineitem parquet).
+
+The rules are those of ``FIXTURES.md``: they turn order lines into stock, demand, orders, schedule
+lines and deliveries in such a way that every branch of the planning logic occurs (orphans, missing
+stock rows, deleted orders, days outside the calendar, missing status, expired quotas). Each table
+is derived from the whole of its source tables, by projections and grouped aggregations.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Mapping
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runout.functions.columns import QTY, joined_id
+from runout.params import Params
+from runout.sources.lanes import lane_matrix
+from runout.sources.schemas import EXTRACTS
+
+PARAMS = Params(anchor=date(2000, 1, 3))
+FIRST_DAY = date(1995, 1, 1)
+N_NATIONS = 25
+# Fixed values of the derivation: transit days from a nation, extra days to a plant.
+DAYS_FROM_NATION = {f"NATION_{i}": 3 + i % 5 * 6 for i in range(N_NATIONS)}
+DAYS_TO_PLANT = {
+    str(1000 + i): {1001: 1, 1002: 2, 1003: 1}.get(1000 + i, 0) for i in range(N_NATIONS)
+}
+
+
+def text(c: Column) -> Column:
+    return c.cast("string")
+
+
+def dats(day: Column) -> Column:
+    """A date as ``YYYYMMDD`` text."""
+    return F.replace(day.cast("string"), F.lit("-"), F.lit(""))
+
+
+def padded(c: str, width: int) -> Column:
+    return F.lpad(F.col(c).cast("string"), width, "0")
+
+
+class OrderTableExtracts(Mapping):
+    """Extract frames by table name, each derived when it is asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str, p: Params = PARAMS):
+        self.spark = spark
+        self.folder = folder
+        self.p = p
+        self._frames: dict[str, DataFrame] = {}
+        self._rules: dict[str, Callable[[], DataFrame]] = {
+            t: getattr(self, t.lower()) for t in EXTRACTS
+        }
+
+    def __getitem__(self, table: str) -> DataFrame:
+        if table not in self._frames:
+            frame = self._rules[table]()
+            given = set(frame.columns)
+            self._frames[table] = frame.select(
+                [
+                    F.col(f.name) if f.name in given else F.lit(None).cast("string").alias(f.name)
+                    for f in EXTRACTS[table]
+                ]
+            )
+        return self._frames[table]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._rules)
+
+    def __len__(self) -> int:
+        return len(self._rules)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def lines(self) -> DataFrame:
+        """Order lines with their ids and a day folded into anchor-400 .. anchor+139."""
+        since = F.datediff(F.to_date("l_shipdate"), F.lit(FIRST_DAY))
+        return self.table("lineitem").select(
+            "l_orderkey",
+            "l_partkey",
+            "l_suppkey",
+            "l_linenumber",
+            "l_tax",
+            "l_returnflag",
+            "l_linestatus",
+            F.date_add(F.lit(self.p.anchor), since % 540 - 400).alias("fd"),
+            text(1000 + (F.col("l_partkey") + F.col("l_orderkey") % 2) % 4).alias("werks"),
+            padded("l_partkey", 18).alias("matnr"),
+            padded("l_suppkey", 10).alias("lifnr"),
+            F.concat(text(F.col("l_orderkey")), F.lit("/"), text(F.col("l_suppkey"))).alias("po"),
+            F.col("l_quantity").cast(QTY).alias("q"),
+        )
+
+    def ordered(self) -> DataFrame:
+        return self.lines().where("l_returnflag = 'N'")
+
+    def announced(self) -> DataFrame:
+        return (
+            self.ordered()
+            .where((F.col("l_tax") < 0.05) & (F.col("fd") < F.date_add(self.p.today, 60)))
+            .withColumn("vbeln", F.concat("po", F.lit("/"), dats(F.col("fd"))))
+        )
+
+    def lanes(self) -> DataFrame:
+        return lane_matrix(self["LFA1"], DAYS_FROM_NATION, DAYS_TO_PLANT)
+
+    # -- master data
+
+    def t001w(self) -> DataFrame:
+        key = F.col("n_nationkey")
+        return self.table("nation").select(
+            text(1000 + key).alias("werks"),
+            F.concat(F.lit("Plant "), text(1000 + key)).alias("name1"),
+            F.lpad(text(key % 3 + 1), 2, "0").alias("fabkl"),
+            F.lit("1000").alias("ekorg"),
+            F.col("n_name").alias("land1"),
+            F.concat(F.lit("City "), text(key)).alias("ort01"),
+        )
+
+    def tfact(self) -> DataFrame:
+        ident = F.lpad(text(F.col("n_nationkey") % 3 + 1), 2, "0").alias("ident")
+        language = F.explode(F.array(F.lit("E"), F.lit("D"))).alias("spras")
+        return (
+            self.table("nation")
+            .select(ident)
+            .distinct()
+            .select("ident", language)
+            .withColumn("ltext", F.concat_ws(" ", F.lit("Calendar"), "ident", "spras"))
+        )
+
+    def lfa1(self) -> DataFrame:
+        nation = self.table("nation")
+        return (
+            self.table("supplier")
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(
+                padded("s_suppkey", 10).alias("lifnr"),
+                F.col("n_name").alias("land1"),
+                F.col("s_name").alias("name1"),
+                F.concat(F.lit("City "), text(F.col("s_suppkey") % 7)).alias("ort01"),
+                text(F.col("n_regionkey")).alias("regio"),
+                F.lit("19980101").alias("erdat"),
+                F.when(F.col("s_acctbal") < 0, "X").alias("sperr"),
+            )
+        )
+
+    def kna1(self) -> DataFrame:
+        return self.table("customer").select(
+            padded("c_custkey", 10).alias("kunnr"),
+            F.col("c_name").alias("name1"),
+            text(F.col("c_nationkey")).alias("land1"),
+        )
+
+    def mara(self) -> DataFrame:
+        return self.table("part").select(
+            F.lit("100").alias("mandt"),
+            padded("p_partkey", 18).alias("matnr"),
+            F.col("p_type").alias("mtart"),
+            F.lit("EA").alias("meins"),
+            F.lit("19980101").alias("ersda"),
+        )
+
+    def material_plants(self) -> DataFrame:
+        """The (part, plant) pairs of the order lines; every 40th part has no master record."""
+        return (
+            self.lines()
+            .where("l_partkey % 40 <> 39")
+            .select("l_partkey", "matnr", "werks")
+            .distinct()
+        )
+
+    def marc(self) -> DataFrame:
+        key = F.col("l_partkey")
+        size = F.col("p_size")
+        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+        return (
+            self.material_plants()
+            .join(part, "l_partkey")
+            .select(
+                "matnr",
+                "werks",
+                F.concat(F.lit("G"), text(key % 3)).alias("ekgrp"),
+                F.concat(F.lit("M"), text(key % 5)).alias("dispo"),
+                text(2 * size).alias("minbe"),
+                text(size).alias("eisbe"),
+                F.when(key % 20 < 17, "F").when(key % 20 < 19, "E").otherwise("X").alias("beskz"),
+                text(5 + key % 20).alias("plifz"),
+                text(key % 4).alias("webaz"),
+                F.when(size <= 5, "A").when(size <= 15, "B").otherwise("C").alias("maabc"),
+            )
+        )
+
+    def mard(self) -> DataFrame:
+        key = F.col("l_partkey")
+        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+        place = F.explode(F.array(F.lit("0001"), F.lit("0002"))).alias("lgort")
+        factor = F.when(F.col("lgort") == "0001", 2).otherwise(1)
+        return (
+            self.material_plants()
+            .where("l_partkey % 25 <> 3")
+            .join(part, "l_partkey")
+            .select("*", place)
+            .select(
+                "matnr",
+                "werks",
+                "lgort",
+                text(factor * F.col("p_size")).alias("labst"),
+                F.lit("0").alias("umlme"),
+                text(key % 3).alias("insme"),
+                text(key % 5).alias("speme"),
+            )
+        )
+
+    # -- quotas
+
+    def equk(self) -> DataFrame:
+        key = F.col("l_partkey")
+        today = self.p.today
+        until = F.when(key % 10 == 9, F.date_sub(today, 10)).otherwise(
+            F.date_add(today, (60 + key % 300).cast("int"))
+        )
+        return (
+            self.material_plants()
+            .where("l_partkey % 20 < 17")
+            .select(
+                "matnr",
+                "werks",
+                joined_id("matnr", "werks").alias("qunum"),
+                dats(F.date_sub(today, (60 + key % 340).cast("int"))).alias("vdatu"),
+                dats(until).alias("bdatu"),
+                F.lit("0").alias("scmng"),
+                F.lit("19990101").alias("erdat"),
+            )
+        )
+
+    def equp(self) -> DataFrame:
+        quota = F.when(F.col("l_partkey") % 30 == 1, 0).otherwise(10 + F.col("l_suppkey") % 50)
+        return (
+            self.ordered()
+            .select("l_partkey", "l_suppkey", "matnr", "werks", "lifnr")
+            .distinct()
+            .select(
+                joined_id("matnr", "werks").alias("qunum"),
+                F.col("lifnr").alias("qupos"),
+                F.lit("F").alias("beskz"),
+                "lifnr",
+                text(quota).alias("quote"),
+                F.lit("0").alias("qumng"),
+                text(F.col("l_suppkey") % 30).alias("plifz"),
+            )
+        )
+
+    # -- sales and demand
+
+    def vbak(self) -> DataFrame:
+        return self.table("orders").select(
+            F.lit("100").alias("mandt"),
+            padded("o_orderkey", 10).alias("vbeln"),
+            dats(F.to_date("o_orderdate")).alias("erdat"),
+            F.lit("120000").alias("erzet"),
+            F.lit("TA").alias("auart"),
+            padded("o_custkey", 10).alias("kunnr"),
+            text(F.col("o_totalprice").cast("decimal(12,2)")).alias("netwr"),
+            F.lit("EUR").alias("waerk"),
+            F.col("o_orderstatus").alias("gbstk"),
+        )
+
+    def vbap(self) -> DataFrame:
+        return self.lines().select(
+            padded("l_orderkey", 10).alias("vbeln"),
+            padded("l_linenumber", 6).alias("posnr"),
+            "matnr",
+            text(F.col("q")).alias("menge"),
+            F.lit("EA").alias("meins"),
+            text(F.col("q") * 10).alias("netwr"),
+            F.lit("EUR").alias("waerk"),
+            "werks",
+            dats(F.col("fd")).alias("erdat"),
+        )
+
+    def resb(self) -> DataFrame:
+        kind = F.col("l_linenumber") % 3
+        withdrawn = (F.col("fd") < self.p.today) & (F.col("l_tax") < 0.075)
+        return (
+            self.lines()
+            .where("l_returnflag = 'R'")
+            .select(
+                text(F.col("l_orderkey")).alias("rsnum"),
+                text(F.col("l_linenumber")).alias("rspos"),
+                F.when(kind == 0, "M").when(kind == 1, "F").otherwise("N").alias("rsart"),
+                "matnr",
+                "werks",
+                text(F.col("q")).alias("bdmng"),
+                text(F.when(withdrawn, F.col("q")).otherwise(F.lit(0).cast(QTY))).alias("enmng"),
+                F.lit("EA").alias("meins"),
+                dats(F.col("fd")).alias("bddat"),
+            )
+        )
+
+    def vbbe(self) -> DataFrame:
+        kind = F.col("l_linenumber") % 4
+        return (
+            self.lines()
+            .where("l_returnflag = 'A'")
+            .where((F.col("fd") >= self.p.today) | (F.col("l_tax") >= 0.075))
+            .select(
+                padded("l_orderkey", 10).alias("vbeln"),
+                padded("l_linenumber", 6).alias("posnr"),
+                "matnr",
+                "werks",
+                dats(F.col("fd")).alias("mbdat"),
+                text(F.col("q")).alias("omeng"),
+                F.lit("0").alias("vmeng"),
+                F.lit("EA").alias("meins"),
+                F.when(kind == 0, "KE").when(kind == 1, "KEL").when(kind == 2, "LSF").alias("bdart"),
+            )
+        )
+
+    # -- purchasing
+
+    def ekko(self) -> DataFrame:
+        return (
+            self.ordered()
+            .select("l_orderkey", "po", "lifnr")
+            .distinct()
+            .select(
+                F.lit("100").alias("mandt"),
+                F.col("po").alias("ebeln"),
+                F.lit("LP").alias("bsart"),
+                "lifnr",
+                F.lit("1000").alias("ekorg"),
+                F.lit("19990101").alias("bedat"),
+                F.lit("EUR").alias("waers"),
+                F.when(F.col("l_orderkey") % 50 == 0, "L").alias("loekz"),
+            )
+        )
+
+    def ekpo(self) -> DataFrame:
+        """One item per order and part; every 100th order is priced 10 % off its quantity."""
+        price = 10 + F.col("l_partkey") % 90
+        menge = F.col("menge")
+        value = F.when(F.col("l_orderkey") % 100 == 13, menge * price * 11 / 10).otherwise(
+            menge * price
+        )
+        return (
+            self.ordered()
+            .groupBy("l_orderkey", "l_suppkey", "l_partkey", "po", "matnr", "werks")
+            .agg(F.sum("q").alias("menge"))
+            .select(
+                F.col("po").alias("ebeln"),
+                text(F.col("l_partkey")).alias("ebelp"),
+                "matnr",
+                "werks",
+                text(menge).alias("menge"),
+                F.lit("EA").alias("meins"),
+                text(price).alias("netpr"),
+                text(value.cast("decimal(18,2)")).alias("netwr"),
+                F.when(F.col("l_partkey") % 50 == 7, "X").alias("loekz"),
+            )
+        )
+
+    def eket(self) -> DataFrame:
+        day = F.when(F.col("l_orderkey") % 89 == 0, F.date_sub(self.p.today, 800)).otherwise(
+            F.col("fd")
+        )
+        received = (
+            F.when(F.col("fd") >= self.p.today, F.lit(0))
+            .when(F.col("l_linestatus") == "F", F.col("q"))
+            .otherwise(F.floor(F.col("q") / 2))
+            .cast(QTY)
+        )
+        return self.ordered().select(
+            F.col("po").alias("ebeln"),
+            text(F.col("l_partkey")).alias("ebelp"),
+            text(F.col("l_linenumber")).alias("etenr"),
+            dats(day).alias("eindt"),
+            text(F.col("q")).alias("menge"),
+            text(received).alias("wemng"),
+            dats(day).alias("mbdat"),
+            dats(day).alias("wadat"),
+        )
+
+    # -- deliveries
+
+    def likp(self) -> DataFrame:
+        today = self.p.today
+        created = F.when(F.col("l_orderkey") % 97 == 0, F.date_sub(today, 800)).otherwise(
+            F.date_add("fd", (F.col("l_suppkey") % 7 - 4).cast("int"))
+        )
+        return (
+            self.announced()
+            .select("vbeln", "l_orderkey", "l_suppkey", "fd")
+            .distinct()
+            .select(
+                "vbeln",
+                F.lit("EL").alias("lfart"),
+                dats(created).alias("erdat"),
+                dats(F.col("fd")).alias("lfdat"),
+                dats(F.col("fd")).alias("wadat"),
+                dats(F.when(F.col("fd") < today, created)).alias("wadat_ist"),
+                F.lit("0").alias("netwr"),
+            )
+        )
+
+    def delivery_items(self) -> DataFrame:
+        return (
+            self.announced()
+            .groupBy("vbeln", "l_suppkey", "l_partkey", "fd", "po", "matnr", "werks")
+            .agg(F.sum("q").alias("lfimg"))
+        )
+
+    def lips(self) -> DataFrame:
+        return self.delivery_items().select(
+            "vbeln",
+            text(F.col("l_partkey")).alias("posnr"),
+            "matnr",
+            text(F.col("lfimg")).alias("lfimg"),
+            F.lit("EA").alias("meins"),
+            "werks",
+            F.col("po").alias("vgbel"),
+            text(F.col("l_partkey")).alias("vgpos"),
+            F.lit("0").alias("netwr"),
+            F.lit("101").alias("bwart"),
+            dats(F.col("fd")).alias("mbdat"),
+        )
+
+    def vbup(self) -> DataFrame:
+        """Item status; every 17th vendor's deliveries have none."""
+        key = F.col("l_suppkey")
+        received = (F.col("fd") < self.p.today) & (key % 10 < 8)
+        return (
+            self.announced()
+            .where("l_suppkey % 17 <> 0")
+            .select("vbeln", "l_partkey", "l_suppkey", "fd")
+            .distinct()
+            .select(
+                "vbeln",
+                text(F.col("l_partkey")).alias("posnr"),
+                F.when(received, "C").when(key % 2 == 0, "A").otherwise("B").alias("wbstk"),
+            )
+        )

@@ -1,0 +1 @@
+"""Empty on purpose: planning runs are daily batches and there is no streaming operator to cover."""
