@@ -38,11 +38,8 @@ def po_active(ekko: DataFrame, ekpo: DataFrame) -> DataFrame:
 
 
 def with_lane(orders: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Order items with the transit time of their (vendor, plant, purchasing org)."""
-    lane = lanes.select(
-        "vendor_number", "plant", "purchasing_org", "transit_time_days", "factory_calendar_key"
-    )
-    return orders.join(lane, ["vendor_number", "plant", "purchasing_org"], "left")
+    """Order items with what the lanes hold for their (vendor, plant, purchasing org)."""
+    return orders.join(lanes, ["vendor_number", "plant", "purchasing_org"], "left")
 
 
 def po_transit_quota(orders: DataFrame, lanes: DataFrame, shares: DataFrame) -> DataFrame:
@@ -55,7 +52,7 @@ def po_transit_quota(orders: DataFrame, lanes: DataFrame, shares: DataFrame) ->
         F.max("quote_percent").alias("quote_percent")
     )
     return (
-        with_lane(orders, lanes)
+        with_lane(orders, lanes.drop("vendor_name", "country", "plant_name"))
         .join(share, ["material_number", "plant", "vendor_number"], "left")
         .select(*orders.columns, "transit_time_days", "factory_calendar_key", "quote_percent")
     )

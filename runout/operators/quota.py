@@ -67,15 +67,17 @@ def quota_share(headers: DataFrame, items: DataFrame, vendors: DataFrame) -> Dat
     )
 
 
+def lane_days(lanes: DataFrame) -> DataFrame:
+    """Transit days per (vendor, purchasing org, plant), for the readers that need no names."""
+    return lanes.selectExpr(
+        "lifnr AS vendor_number", "ekorg AS purchasing_org", "werks AS plant", "transit_time_days"
+    )
+
+
 def transit_time(lanes: DataFrame, vendors: DataFrame, plants: DataFrame) -> DataFrame:
-    """Transit days per (vendor, purchasing org, plant) with names; unknown names are NULL."""
+    """Lanes with the names of their vendor and plant; unknown names are NULL."""
     return (
-        lanes.select(
-            F.col("lifnr").alias("vendor_number"),
-            F.col("ekorg").alias("purchasing_org"),
-            F.col("werks").alias("plant"),
-            "transit_time_days",
-        )
+        lane_days(lanes)
         .join(vendors.select("vendor_number", "vendor_name", "country"), "vendor_number", "left")
         .join(plants.select("plant", "plant_name", "factory_calendar_key"), "plant", "left")
         .select(

@@ -7,10 +7,7 @@ made of two fields.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from runout.functions.columns import OPEN_QTY, QTY, joined_id, parse_date
+from pyspark.sql import DataFrame
 
 STAGING = {
     "EKET": """
@@ -216,24 +213,28 @@ STAGING = {
 }
 
 TYPES = {
-    "text": lambda field: F.col(field),
-    "date": parse_date,
-    "qty": lambda field: F.col(field).cast(QTY),
-    "open_qty": lambda field: F.col(field).cast(OPEN_QTY),
-    "joined": joined_id,
-    "difference": lambda left, right: F.col(left).cast(QTY) - F.col(right).cast(QTY),
+    "text": "{0}",
+    "date": "try_to_date({0}, 'yyyyMMdd')",
+    "qty": "CAST({0} AS DECIMAL(10,2))",
+    "open_qty": "CAST({0} AS DECIMAL(18,4))",
+    "joined": "concat({0}, '-', {1})",
+    "difference": "CAST({0} AS DECIMAL(10,2)) - CAST({1} AS DECIMAL(10,2))",
 }
 
 
-def staging_columns(table: str) -> list[Column]:
+def staging_columns(table: str) -> list[str]:
     columns = []
     for line in STAGING[table].strip().splitlines():
         output, _, source = line.partition("=")
         fields, _, kind = source.partition(":")
-        columns.append(TYPES[kind.strip() or "text"](*fields.split()).alias(output.strip()))
+        expression = TYPES[kind.strip() or "text"].format(*fields.split())
+        columns.append(f"{expression} AS {output.strip()}")
     return columns
 
 
 def stage(table: str, extract: DataFrame) -> DataFrame:
-    """The typed view of one all-text extract."""
-    return extract.select(staging_columns(table))
+    """The typed view of one all-text extract.
+
+    A date text that is not ``YYYYMMDD`` becomes NULL and is counted by the ``date_format`` check.
+    """
+    return extract.selectExpr(*staging_columns(table))

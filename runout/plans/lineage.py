@@ -250,12 +250,15 @@ class Planning:
 
     @cached_property
     def stock_runs(self) -> DataFrame:
-        return projection.stock_runs(
-            self.material_stock_context,
-            self.demand_union,
-            self.announced,
-            self.stg("T001W"),
-            self.params,
+        return self.keep(
+            "int_stock_runs",
+            projection.stock_runs(
+                self.material_stock_context,
+                self.demand_union,
+                self.announced,
+                self.stg("T001W"),
+                self.params,
+            ),
         )
 
     @cached_property
@@ -267,7 +270,7 @@ class Planning:
     @cached_property
     def slowest_transit(self) -> DataFrame:
         return quota.slowest_transit(
-            purchasing.with_lane(self.po_active, self.transit_time)
+            purchasing.with_lane(self.po_active, quota.lane_days(self.lanes))
         )
 
     @cached_property
@@ -287,6 +290,6 @@ class Planning:
                 deliveries,
                 self.stg("EKKO"),
                 self.late_shipment,
-                self.transit_time,
+                quota.lane_days(self.lanes),
             ),
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ from runout.sources.sinks import Tables, scratch_folder
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+@lru_cache(maxsize=8)
 def planning(spark: SparkSession, folder: str) -> Planning:
+    """The lazy frames of one session and folder, composed once and shared by the queries."""
     extracts = OrderTableExtracts(tune(spark), folder)
     return Planning(extracts, extracts.lanes(), PARAMS)
 

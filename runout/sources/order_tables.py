@@ -10,17 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 from datetime import date
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from runout.functions.columns import QTY, joined_id
 from runout.params import Params
 from runout.sources.lanes import lane_matrix
 from runout.sources.schemas import EXTRACTS
 
 PARAMS = Params(anchor=date(2000, 1, 3))
-FIRST_DAY = date(1995, 1, 1)
 N_NATIONS = 25
 # Fixed values of the derivation: transit days from a nation, extra days to a plant.
 DAYS_FROM_NATION = {f"NATION_{i}": 3 + i % 5 * 6 for i in range(N_NATIONS)}
@@ -29,17 +27,17 @@ DAYS_TO_PLANT = {
 }
 
 
-def text(c: Column) -> Column:
-    return c.cast("string")
+def dats(day: str) -> str:
+    """A date as ``YYYYMMDD`` text."""
+    return f"replace(CAST({day} AS STRING), '-', '')"
 
 
-def dats(day: Column) -> Column:
-    """A date as ``YYYYMMDD`` text."""
-    return F.replace(day.cast("string"), F.lit("-"), F.lit(""))
+def padded(column: str, width: int) -> str:
+    return f"lpad(CAST({column} AS STRING), {width}, '0')"
 
 
-def padded(c: str, width: int) -> Column:
-    return F.lpad(F.col(c).cast("string"), width, "0")
+def text(expression: str) -> str:
+    return f"CAST({expression} AS STRING)"
 
 
 class OrderTableExtracts(Mapping):
@@ -48,8 +46,9 @@ class OrderTableExtracts(Mapping):
     def __init__(self, spark: SparkSession, folder: str, p: Params = PARAMS):
         self.spark = spark
         self.folder = folder
-        self.p = p
+        self.today = f"DATE '{p.anchor}'"
         self._frames: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}
         self._rules: dict[str, Callable[[], DataFrame]] = {
             t: getattr(self, t.lower()) for t in EXTRACTS
         }
@@ -58,10 +57,10 @@ class OrderTableExtracts(Mapping):
         if table not in self._frames:
             frame = self._rules[table]()
             given = set(frame.columns)
-            self._frames[table] = frame.select(
-                [
-                    F.col(f.name) if f.name in given else F.lit(None).cast("string").alias(f.name)
-                    for f in EXTRACTS[table]
+            self._frames[table] = frame.selectExpr(
+                *[
+                    c if c in given else f"CAST(NULL AS STRING) AS {c}"
+                    for c in EXTRACTS[table].fieldNames()
                 ]
             )
         return self._frames[table]
@@ -73,12 +72,15 @@ class OrderTableExtracts(Mapping):
         return len(self._rules)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
+    @cached_property
     def lines(self) -> DataFrame:
         """Order lines with their ids and a day folded into anchor-400 .. anchor+139."""
-        since = F.datediff(F.to_date("l_shipdate"), F.lit(FIRST_DAY))
-        return self.table("lineitem").select(
+        since = "datediff(to_date(l_shipdate), DATE '1995-01-01')"
+        return self.table("lineitem").selectExpr(
             "l_orderkey",
             "l_partkey",
             "l_suppkey",
@@ -86,22 +88,22 @@ class OrderTableExtracts(Mapping):
             "l_tax",
             "l_returnflag",
             "l_linestatus",
-            F.date_add(F.lit(self.p.anchor), since % 540 - 400).alias("fd"),
-            text(1000 + (F.col("l_partkey") + F.col("l_orderkey") % 2) % 4).alias("werks"),
-            padded("l_partkey", 18).alias("matnr"),
-            padded("l_suppkey", 10).alias("lifnr"),
-            F.concat(text(F.col("l_orderkey")), F.lit("/"), text(F.col("l_suppkey"))).alias("po"),
-            F.col("l_quantity").cast(QTY).alias("q"),
+            f"date_add({self.today}, {since} % 540 - 400) AS fd",
+            text("1000 + (l_partkey + l_orderkey % 2) % 4") + " AS werks",
+            padded("l_partkey", 18) + " AS matnr",
+            padded("l_suppkey", 10) + " AS lifnr",
+            "concat(l_orderkey, '/', l_suppkey) AS po",
+            "CAST(l_quantity AS DECIMAL(10,2)) AS q",
         )
 
+    @cached_property
     def ordered(self) -> DataFrame:
-        return self.lines().where("l_returnflag = 'N'")
+        return self.lines.where("l_returnflag = 'N'")
 
+    @cached_property
     def announced(self) -> DataFrame:
-        return (
-            self.ordered()
-            .where((F.col("l_tax") < 0.05) & (F.col("fd") < F.date_add(self.p.today, 60)))
-            .withColumn("vbeln", F.concat("po", F.lit("/"), dats(F.col("fd"))))
+        return self.ordered.where(f"l_tax < 0.05 AND fd < date_add({self.today}, 60)").selectExpr(
+            "*", f"concat(po, '/', {dats('fd')}) AS vbeln"
         )
 
     def lanes(self) -> DataFrame:
@@ -110,212 +112,199 @@ class OrderTableExtracts(Mapping):
     # -- master data
 
     def t001w(self) -> DataFrame:
-        key = F.col("n_nationkey")
-        return self.table("nation").select(
-            text(1000 + key).alias("werks"),
-            F.concat(F.lit("Plant "), text(1000 + key)).alias("name1"),
-            F.lpad(text(key % 3 + 1), 2, "0").alias("fabkl"),
-            F.lit("1000").alias("ekorg"),
-            F.col("n_name").alias("land1"),
-            F.concat(F.lit("City "), text(key)).alias("ort01"),
+        return self.table("nation").selectExpr(
+            text("1000 + n_nationkey") + " AS werks",
+            "concat('Plant ', 1000 + n_nationkey) AS name1",
+            padded("n_nationkey % 3 + 1", 2) + " AS fabkl",
+            "'1000' AS ekorg",
+            "n_name AS land1",
+            "concat('City ', n_nationkey) AS ort01",
         )
 
     def tfact(self) -> DataFrame:
-        ident = F.lpad(text(F.col("n_nationkey") % 3 + 1), 2, "0").alias("ident")
-        language = F.explode(F.array(F.lit("E"), F.lit("D"))).alias("spras")
         return (
             self.table("nation")
-            .select(ident)
+            .selectExpr(padded("n_nationkey % 3 + 1", 2) + " AS ident")
             .distinct()
-            .select("ident", language)
-            .withColumn("ltext", F.concat_ws(" ", F.lit("Calendar"), "ident", "spras"))
+            .selectExpr("ident", "explode(array('E', 'D')) AS spras")
+            .selectExpr("ident", "spras", "concat('Calendar ', ident, ' ', spras) AS ltext")
         )
 
     def lfa1(self) -> DataFrame:
-        nation = self.table("nation")
+        nation = self.table("nation").selectExpr(
+            "n_nationkey AS s_nationkey", "n_name", "n_regionkey"
+        )
         return (
             self.table("supplier")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            .select(
-                padded("s_suppkey", 10).alias("lifnr"),
-                F.col("n_name").alias("land1"),
-                F.col("s_name").alias("name1"),
-                F.concat(F.lit("City "), text(F.col("s_suppkey") % 7)).alias("ort01"),
-                text(F.col("n_regionkey")).alias("regio"),
-                F.lit("19980101").alias("erdat"),
-                F.when(F.col("s_acctbal") < 0, "X").alias("sperr"),
+            .join(nation, "s_nationkey")
+            .selectExpr(
+                padded("s_suppkey", 10) + " AS lifnr",
+                "n_name AS land1",
+                "s_name AS name1",
+                "concat('City ', s_suppkey % 7) AS ort01",
+                text("n_regionkey") + " AS regio",
+                "'19980101' AS erdat",
+                "CASE WHEN s_acctbal < 0 THEN 'X' END AS sperr",
             )
         )
 
     def kna1(self) -> DataFrame:
-        return self.table("customer").select(
-            padded("c_custkey", 10).alias("kunnr"),
-            F.col("c_name").alias("name1"),
-            text(F.col("c_nationkey")).alias("land1"),
+        return self.table("customer").selectExpr(
+            padded("c_custkey", 10) + " AS kunnr",
+            "c_name AS name1",
+            text("c_nationkey") + " AS land1",
         )
 
     def mara(self) -> DataFrame:
-        return self.table("part").select(
-            F.lit("100").alias("mandt"),
-            padded("p_partkey", 18).alias("matnr"),
-            F.col("p_type").alias("mtart"),
-            F.lit("EA").alias("meins"),
-            F.lit("19980101").alias("ersda"),
+        return self.table("part").selectExpr(
+            "'100' AS mandt",
+            padded("p_partkey", 18) + " AS matnr",
+            "p_type AS mtart",
+            "'EA' AS meins",
+            "'19980101' AS ersda",
         )
 
+    @cached_property
     def material_plants(self) -> DataFrame:
         """The (part, plant) pairs of the order lines; every 40th part has no master record."""
         return (
-            self.lines()
-            .where("l_partkey % 40 <> 39")
-            .select("l_partkey", "matnr", "werks")
+            self.lines.where("l_partkey % 40 <> 39")
+            .selectExpr("l_partkey", "(l_partkey + l_orderkey % 2) % 4 AS place")
             .distinct()
+            .selectExpr(
+                "l_partkey",
+                padded("l_partkey", 18) + " AS matnr",
+                text("1000 + place") + " AS werks",
+            )
         )
 
+    @cached_property
+    def sized_material_plants(self) -> DataFrame:
+        part = self.table("part").selectExpr("p_partkey AS l_partkey", "p_size")
+        return self.material_plants.join(part, "l_partkey")
+
     def marc(self) -> DataFrame:
-        key = F.col("l_partkey")
-        size = F.col("p_size")
-        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-        return (
-            self.material_plants()
-            .join(part, "l_partkey")
-            .select(
-                "matnr",
-                "werks",
-                F.concat(F.lit("G"), text(key % 3)).alias("ekgrp"),
-                F.concat(F.lit("M"), text(key % 5)).alias("dispo"),
-                text(2 * size).alias("minbe"),
-                text(size).alias("eisbe"),
-                F.when(key % 20 < 17, "F").when(key % 20 < 19, "E").otherwise("X").alias("beskz"),
-                text(5 + key % 20).alias("plifz"),
-                text(key % 4).alias("webaz"),
-                F.when(size <= 5, "A").when(size <= 15, "B").otherwise("C").alias("maabc"),
-            )
+        return self.sized_material_plants.selectExpr(
+            "matnr",
+            "werks",
+            "concat('G', l_partkey % 3) AS ekgrp",
+            "concat('M', l_partkey % 5) AS dispo",
+            text("2 * p_size") + " AS minbe",
+            text("p_size") + " AS eisbe",
+            "CASE WHEN l_partkey % 20 < 17 THEN 'F' WHEN l_partkey % 20 < 19 THEN 'E' ELSE 'X' END"
+            " AS beskz",
+            text("5 + l_partkey % 20") + " AS plifz",
+            text("l_partkey % 4") + " AS webaz",
+            "CASE WHEN p_size <= 5 THEN 'A' WHEN p_size <= 15 THEN 'B' ELSE 'C' END AS maabc",
         )
 
     def mard(self) -> DataFrame:
-        key = F.col("l_partkey")
-        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-        place = F.explode(F.array(F.lit("0001"), F.lit("0002"))).alias("lgort")
-        factor = F.when(F.col("lgort") == "0001", 2).otherwise(1)
         return (
-            self.material_plants()
-            .where("l_partkey % 25 <> 3")
-            .join(part, "l_partkey")
-            .select("*", place)
-            .select(
+            self.sized_material_plants.where("l_partkey % 25 <> 3")
+            .selectExpr("*", "explode(array('0001', '0002')) AS lgort")
+            .selectExpr(
                 "matnr",
                 "werks",
                 "lgort",
-                text(factor * F.col("p_size")).alias("labst"),
-                F.lit("0").alias("umlme"),
-                text(key % 3).alias("insme"),
-                text(key % 5).alias("speme"),
+                text("if(lgort = '0001', 2, 1) * p_size") + " AS labst",
+                "'0' AS umlme",
+                text("l_partkey % 3") + " AS insme",
+                text("l_partkey % 5") + " AS speme",
             )
         )
 
     # -- quotas
 
     def equk(self) -> DataFrame:
-        key = F.col("l_partkey")
-        today = self.p.today
-        until = F.when(key % 10 == 9, F.date_sub(today, 10)).otherwise(
-            F.date_add(today, (60 + key % 300).cast("int"))
+        until = (
+            f"if(l_partkey % 10 = 9, date_sub({self.today}, 10),"
+            f" date_add({self.today}, int(60 + l_partkey % 300)))"
         )
-        return (
-            self.material_plants()
-            .where("l_partkey % 20 < 17")
-            .select(
-                "matnr",
-                "werks",
-                joined_id("matnr", "werks").alias("qunum"),
-                dats(F.date_sub(today, (60 + key % 340).cast("int"))).alias("vdatu"),
-                dats(until).alias("bdatu"),
-                F.lit("0").alias("scmng"),
-                F.lit("19990101").alias("erdat"),
-            )
+        since = f"date_sub({self.today}, int(60 + l_partkey % 340))"
+        return self.material_plants.where("l_partkey % 20 < 17").selectExpr(
+            "matnr",
+            "werks",
+            "concat(matnr, '-', werks) AS qunum",
+            f"{dats(since)} AS vdatu",
+            f"{dats(until)} AS bdatu",
+            "'0' AS scmng",
+            "'19990101' AS erdat",
         )
 
     def equp(self) -> DataFrame:
-        quota = F.when(F.col("l_partkey") % 30 == 1, 0).otherwise(10 + F.col("l_suppkey") % 50)
         return (
-            self.ordered()
-            .select("l_partkey", "l_suppkey", "matnr", "werks", "lifnr")
+            self.ordered.selectExpr(
+                "l_partkey", "(l_partkey + l_orderkey % 2) % 4 AS place", "l_suppkey"
+            )
             .distinct()
-            .select(
-                joined_id("matnr", "werks").alias("qunum"),
-                F.col("lifnr").alias("qupos"),
-                F.lit("F").alias("beskz"),
-                "lifnr",
-                text(quota).alias("quote"),
-                F.lit("0").alias("qumng"),
-                text(F.col("l_suppkey") % 30).alias("plifz"),
+            .selectExpr(
+                f"concat({padded('l_partkey', 18)}, '-', 1000 + place) AS qunum",
+                padded("l_suppkey", 10) + " AS qupos",
+                "'F' AS beskz",
+                padded("l_suppkey", 10) + " AS lifnr",
+                text("if(l_partkey % 30 = 1, 0, 10 + l_suppkey % 50)") + " AS quote",
+                "'0' AS qumng",
+                text("l_suppkey % 30") + " AS plifz",
             )
         )
 
     # -- sales and demand
 
     def vbak(self) -> DataFrame:
-        return self.table("orders").select(
-            F.lit("100").alias("mandt"),
-            padded("o_orderkey", 10).alias("vbeln"),
-            dats(F.to_date("o_orderdate")).alias("erdat"),
-            F.lit("120000").alias("erzet"),
-            F.lit("TA").alias("auart"),
-            padded("o_custkey", 10).alias("kunnr"),
-            text(F.col("o_totalprice").cast("decimal(12,2)")).alias("netwr"),
-            F.lit("EUR").alias("waerk"),
-            F.col("o_orderstatus").alias("gbstk"),
+        return self.table("orders").selectExpr(
+            "'100' AS mandt",
+            padded("o_orderkey", 10) + " AS vbeln",
+            dats("to_date(o_orderdate)") + " AS erdat",
+            "'120000' AS erzet",
+            "'TA' AS auart",
+            padded("o_custkey", 10) + " AS kunnr",
+            text("CAST(o_totalprice AS DECIMAL(12,2))") + " AS netwr",
+            "'EUR' AS waerk",
+            "o_orderstatus AS gbstk",
         )
 
     def vbap(self) -> DataFrame:
-        return self.lines().select(
-            padded("l_orderkey", 10).alias("vbeln"),
-            padded("l_linenumber", 6).alias("posnr"),
+        return self.lines.selectExpr(
+            padded("l_orderkey", 10) + " AS vbeln",
+            padded("l_linenumber", 6) + " AS posnr",
             "matnr",
-            text(F.col("q")).alias("menge"),
-            F.lit("EA").alias("meins"),
-            text(F.col("q") * 10).alias("netwr"),
-            F.lit("EUR").alias("waerk"),
+            text("q") + " AS menge",
+            "'EA' AS meins",
+            text("q * 10") + " AS netwr",
+            "'EUR' AS waerk",
             "werks",
-            dats(F.col("fd")).alias("erdat"),
+            dats("fd") + " AS erdat",
         )
 
     def resb(self) -> DataFrame:
-        kind = F.col("l_linenumber") % 3
-        withdrawn = (F.col("fd") < self.p.today) & (F.col("l_tax") < 0.075)
-        return (
-            self.lines()
-            .where("l_returnflag = 'R'")
-            .select(
-                text(F.col("l_orderkey")).alias("rsnum"),
-                text(F.col("l_linenumber")).alias("rspos"),
-                F.when(kind == 0, "M").when(kind == 1, "F").otherwise("N").alias("rsart"),
-                "matnr",
-                "werks",
-                text(F.col("q")).alias("bdmng"),
-                text(F.when(withdrawn, F.col("q")).otherwise(F.lit(0).cast(QTY))).alias("enmng"),
-                F.lit("EA").alias("meins"),
-                dats(F.col("fd")).alias("bddat"),
-            )
+        withdrawn = f"if(fd < {self.today} AND l_tax < 0.075, q, CAST(0 AS DECIMAL(10,2)))"
+        return self.lines.where("l_returnflag = 'R'").selectExpr(
+            text("l_orderkey") + " AS rsnum",
+            text("l_linenumber") + " AS rspos",
+            "CASE l_linenumber % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE 'N' END AS rsart",
+            "matnr",
+            "werks",
+            text("q") + " AS bdmng",
+            text(withdrawn) + " AS enmng",
+            "'EA' AS meins",
+            dats("fd") + " AS bddat",
         )
 
     def vbbe(self) -> DataFrame:
-        kind = F.col("l_linenumber") % 4
         return (
-            self.lines()
-            .where("l_returnflag = 'A'")
-            .where((F.col("fd") >= self.p.today) | (F.col("l_tax") >= 0.075))
-            .select(
-                padded("l_orderkey", 10).alias("vbeln"),
-                padded("l_linenumber", 6).alias("posnr"),
+            self.lines.where("l_returnflag = 'A'")
+            .where(f"fd >= {self.today} OR l_tax >= 0.075")
+            .selectExpr(
+                padded("l_orderkey", 10) + " AS vbeln",
+                padded("l_linenumber", 6) + " AS posnr",
                 "matnr",
                 "werks",
-                dats(F.col("fd")).alias("mbdat"),
-                text(F.col("q")).alias("omeng"),
-                F.lit("0").alias("vmeng"),
-                F.lit("EA").alias("meins"),
-                F.when(kind == 0, "KE").when(kind == 1, "KEL").when(kind == 2, "LSF").alias("bdart"),
+                dats("fd") + " AS mbdat",
+                text("q") + " AS omeng",
+                "'0' AS vmeng",
+                "'EA' AS meins",
+                "CASE l_linenumber % 4 WHEN 0 THEN 'KE' WHEN 1 THEN 'KEL' WHEN 2 THEN 'LSF' END"
+                " AS bdart",
             )
         )
 
@@ -323,122 +312,109 @@ class OrderTableExtracts(Mapping):
 
     def ekko(self) -> DataFrame:
         return (
-            self.ordered()
-            .select("l_orderkey", "po", "lifnr")
+            self.ordered.select("l_orderkey", "l_suppkey")
             .distinct()
-            .select(
-                F.lit("100").alias("mandt"),
-                F.col("po").alias("ebeln"),
-                F.lit("LP").alias("bsart"),
-                "lifnr",
-                F.lit("1000").alias("ekorg"),
-                F.lit("19990101").alias("bedat"),
-                F.lit("EUR").alias("waers"),
-                F.when(F.col("l_orderkey") % 50 == 0, "L").alias("loekz"),
+            .selectExpr(
+                "'100' AS mandt",
+                "concat(l_orderkey, '/', l_suppkey) AS ebeln",
+                "'LP' AS bsart",
+                padded("l_suppkey", 10) + " AS lifnr",
+                "'1000' AS ekorg",
+                "'19990101' AS bedat",
+                "'EUR' AS waers",
+                "CASE WHEN l_orderkey % 50 = 0 THEN 'L' END AS loekz",
             )
         )
 
     def ekpo(self) -> DataFrame:
         """One item per order and part; every 100th order is priced 10 % off its quantity."""
-        price = 10 + F.col("l_partkey") % 90
-        menge = F.col("menge")
-        value = F.when(F.col("l_orderkey") % 100 == 13, menge * price * 11 / 10).otherwise(
-            menge * price
-        )
+        price = "(10 + l_partkey % 90)"
+        value = f"if(l_orderkey % 100 = 13, menge * {price} * 11 / 10, menge * {price})"
         return (
-            self.ordered()
-            .groupBy("l_orderkey", "l_suppkey", "l_partkey", "po", "matnr", "werks")
-            .agg(F.sum("q").alias("menge"))
-            .select(
-                F.col("po").alias("ebeln"),
-                text(F.col("l_partkey")).alias("ebelp"),
-                "matnr",
-                "werks",
-                text(menge).alias("menge"),
-                F.lit("EA").alias("meins"),
-                text(price).alias("netpr"),
-                text(value.cast("decimal(18,2)")).alias("netwr"),
-                F.when(F.col("l_partkey") % 50 == 7, "X").alias("loekz"),
+            self.ordered.groupBy("l_orderkey", "l_suppkey", "l_partkey")
+            .agg({"q": "sum"})
+            .withColumnRenamed("sum(q)", "menge")
+            .selectExpr(
+                "concat(l_orderkey, '/', l_suppkey) AS ebeln",
+                text("l_partkey") + " AS ebelp",
+                padded("l_partkey", 18) + " AS matnr",
+                text("1000 + (l_partkey + l_orderkey % 2) % 4") + " AS werks",
+                text("menge") + " AS menge",
+                "'EA' AS meins",
+                text(price) + " AS netpr",
+                text(f"CAST({value} AS DECIMAL(18,2))") + " AS netwr",
+                "CASE WHEN l_partkey % 50 = 7 THEN 'X' END AS loekz",
             )
         )
 
     def eket(self) -> DataFrame:
-        day = F.when(F.col("l_orderkey") % 89 == 0, F.date_sub(self.p.today, 800)).otherwise(
-            F.col("fd")
-        )
+        day = f"if(l_orderkey % 89 = 0, date_sub({self.today}, 800), fd)"
         received = (
-            F.when(F.col("fd") >= self.p.today, F.lit(0))
-            .when(F.col("l_linestatus") == "F", F.col("q"))
-            .otherwise(F.floor(F.col("q") / 2))
-            .cast(QTY)
+            f"CASE WHEN fd >= {self.today} THEN 0 WHEN l_linestatus = 'F' THEN q"
+            " ELSE floor(q / 2) END"
         )
-        return self.ordered().select(
-            F.col("po").alias("ebeln"),
-            text(F.col("l_partkey")).alias("ebelp"),
-            text(F.col("l_linenumber")).alias("etenr"),
-            dats(day).alias("eindt"),
-            text(F.col("q")).alias("menge"),
-            text(received).alias("wemng"),
-            dats(day).alias("mbdat"),
-            dats(day).alias("wadat"),
+        return self.ordered.selectExpr(
+            "po AS ebeln",
+            text("l_partkey") + " AS ebelp",
+            text("l_linenumber") + " AS etenr",
+            f"{dats(day)} AS eindt",
+            text("q") + " AS menge",
+            text(f"CAST({received} AS DECIMAL(10,2))") + " AS wemng",
+            f"{dats(day)} AS mbdat",
+            f"{dats(day)} AS wadat",
         )
 
     # -- deliveries
 
     def likp(self) -> DataFrame:
-        today = self.p.today
-        created = F.when(F.col("l_orderkey") % 97 == 0, F.date_sub(today, 800)).otherwise(
-            F.date_add("fd", (F.col("l_suppkey") % 7 - 4).cast("int"))
+        created = (
+            f"if(l_orderkey % 97 = 0, date_sub({self.today}, 800),"
+            " date_add(fd, int(l_suppkey % 7 - 4)))"
         )
         return (
-            self.announced()
-            .select("vbeln", "l_orderkey", "l_suppkey", "fd")
+            self.announced.select("l_orderkey", "l_suppkey", "fd")
             .distinct()
-            .select(
-                "vbeln",
-                F.lit("EL").alias("lfart"),
-                dats(created).alias("erdat"),
-                dats(F.col("fd")).alias("lfdat"),
-                dats(F.col("fd")).alias("wadat"),
-                dats(F.when(F.col("fd") < today, created)).alias("wadat_ist"),
-                F.lit("0").alias("netwr"),
+            .selectExpr(
+                f"concat(l_orderkey, '/', l_suppkey, '/', {dats('fd')}) AS vbeln",
+                "'EL' AS lfart",
+                f"{dats(created)} AS erdat",
+                f"{dats('fd')} AS lfdat",
+                f"{dats('fd')} AS wadat",
+                f"if(fd < {self.today}, {dats(created)}, NULL) AS wadat_ist",
+                "'0' AS netwr",
             )
         )
 
-    def delivery_items(self) -> DataFrame:
-        return (
-            self.announced()
-            .groupBy("vbeln", "l_suppkey", "l_partkey", "fd", "po", "matnr", "werks")
-            .agg(F.sum("q").alias("lfimg"))
-        )
-
     def lips(self) -> DataFrame:
-        return self.delivery_items().select(
-            "vbeln",
-            text(F.col("l_partkey")).alias("posnr"),
-            "matnr",
-            text(F.col("lfimg")).alias("lfimg"),
-            F.lit("EA").alias("meins"),
-            "werks",
-            F.col("po").alias("vgbel"),
-            text(F.col("l_partkey")).alias("vgpos"),
-            F.lit("0").alias("netwr"),
-            F.lit("101").alias("bwart"),
-            dats(F.col("fd")).alias("mbdat"),
+        return (
+            self.announced.groupBy("l_orderkey", "l_suppkey", "l_partkey", "fd")
+            .agg({"q": "sum"})
+            .withColumnRenamed("sum(q)", "lfimg")
+            .selectExpr(
+                f"concat(l_orderkey, '/', l_suppkey, '/', {dats('fd')}) AS vbeln",
+                text("l_partkey") + " AS posnr",
+                padded("l_partkey", 18) + " AS matnr",
+                text("lfimg") + " AS lfimg",
+                "'EA' AS meins",
+                text("1000 + (l_partkey + l_orderkey % 2) % 4") + " AS werks",
+                "concat(l_orderkey, '/', l_suppkey) AS vgbel",
+                text("l_partkey") + " AS vgpos",
+                "'0' AS netwr",
+                "'101' AS bwart",
+                f"{dats('fd')} AS mbdat",
+            )
         )
 
     def vbup(self) -> DataFrame:
         """Item status; every 17th vendor's deliveries have none."""
-        key = F.col("l_suppkey")
-        received = (F.col("fd") < self.p.today) & (key % 10 < 8)
         return (
-            self.announced()
-            .where("l_suppkey % 17 <> 0")
-            .select("vbeln", "l_partkey", "l_suppkey", "fd")
+            self.announced.where("l_suppkey % 17 <> 0")
+            .select("l_orderkey", "l_suppkey", "l_partkey", "fd")
             .distinct()
-            .select(
-                "vbeln",
-                text(F.col("l_partkey")).alias("posnr"),
-                F.when(received, "C").when(key % 2 == 0, "A").otherwise("B").alias("wbstk"),
+            .selectExpr(
+                f"concat(l_orderkey, '/', l_suppkey, '/', {dats('fd')}) AS vbeln",
+                text("l_partkey") + " AS posnr",
+                f"CASE WHEN fd < {self.today} AND l_suppkey % 10 < 8 THEN 'C'"
+                " WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS wbstk",
             )
         )
