@@ -1,0 +1,33 @@
+"""Every registered query against its DuckDB statement on the smallest tables."""
+
+import sys
+from pathlib import Path
+
+import pytest
+from conftest import SMALL
+
+import __spark_entry__ as contract
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
+
+from compare import connect, difference  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SMALL)
+
+
+def test_every_query_has_a_statement():
+    assert contract.queries().keys() == contract.oracle_sql().keys()
+
+
+@pytest.mark.parametrize("name", list(contract.queries()))
+def test_query_agrees(spark, con, name):
+    problem, *_ = difference(spark, con, SMALL, name)
+    assert problem == ""
+
+
+def test_entry(spark):
+    report = contract.entry(spark)
+    assert {r.status for r in report.select("status").collect()} == {"Shortage", "No Shortage"}

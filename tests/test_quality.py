@@ -1,0 +1,154 @@
+import random
+from decimal import Decimal
+
+import pytest
+from conftest import as_dicts, day
+from pyspark.sql import functions as F
+
+from runout.operators import integrity, quality
+
+
+def dats(offset):
+    return day(offset).strftime("%Y%m%d")
+
+
+def counts(df):
+    return {r["rule"]: r["n_violations"] for r in as_dicts(df)}
+
+
+def test_uniqueness(frame):
+    df = frame("a string, b string", [("x", "1"), ("x", "2"), ("y", "1"), (None, None), (None, None)])
+    assert [tuple(r) for r in quality.unique_violations(df, "a").collect()] == [("x", 2)]
+    assert quality.unique_violations(df, "a", "b").collect()[0].n == 2  # NULLs are equal here
+    got = counts(quality.dq_unique({"t": df}, {"t": "a"}))
+    assert got == {"unique t.a": 1}
+    assert counts(quality.dq_unique_combo({"t": df}, {"t": ["a", "b"]})) == {"unique t(a,b)": 1}
+
+
+def test_null_and_accepted_values(frame):
+    df = frame("a string", [("x",), ("y",), ("y",), ("z",), (None,)])
+    assert counts(quality.dq_not_null({"t": df}, {"t": ["a"]})) == {"not_null t.a": 1}
+    assert quality.not_null_violations(df, "a").count() == 1
+    got = quality.accepted_values_violations(df, "a", ["x"])
+    assert sorted(tuple(r) for r in got.collect()) == [("y", 2), ("z", 1)]
+    assert counts(quality.dq_accepted_values({"t": df}, {("t", "a"): ["x"]})) == {
+        "accepted_values t.a": 2
+    }
+
+
+def test_mart_assertions(frame):
+    vendors = frame("otd_rate double", [(0.0,), (1.0,), (1.2,), (-0.1,), (None,)])
+    assert list(counts(quality.dq_rate_range(vendors)).values()) == [2]
+    sim = frame("simulated_inventory_qty double", [(1.0,), (None,)])
+    assert list(counts(quality.dq_null_projection(sim)).values()) == [1]
+    assert list(counts(quality.dq_negative_transit(frame("max_tt int", [(-1,), (None,), (0,)]))).values()) == [1]
+    assert list(counts(quality.dq_negative_red_days(frame("red_days int", [(-1,), (0,)]))).values()) == [1]
+
+
+def test_29_model_tests():
+    n = len(quality.UNIQUE) + len(quality.UNIQUE_COMBINATIONS) + len(quality.ACCEPTED_VALUES)
+    assert n + sum(map(len, quality.NOT_NULL.values())) + 4 == 29
+
+
+def test_74_extract_checks():
+    keyed = len(integrity.FOREIGN_KEYS) + len(integrity.COMPOSITE_FOREIGN_KEYS)
+    keyed += 2 * len(integrity.PRIMARY_KEYS) - len(integrity.NULL_CHECK_ONLY)
+    # document ids and client numbers are one check over several tables
+    assert keyed + len(integrity.DATE_COLUMNS) + 4 + 2 + 10 + len(integrity.LEAST_ROWS) == 74
+
+
+def test_orphans(frame):
+    child = frame("k string, j string", [("1", "a"), ("1", "b"), ("2", "a"), (None, "a")])
+    parent = frame("k string, j string", [("1", "a"), ("1", "a"), ("3", "a")])
+    assert integrity.orphans(child, ["k"], parent, ["k"]).count() == 2
+    assert integrity.orphans(child, ["k", "j"], parent, ["k", "j"]).count() == 3
+
+
+@pytest.fixture(scope="module")
+def extracts(frame):
+    return {
+        "EKET": frame(
+            "eindt string, menge string, wemng string",
+            [(dats(-1), "5", "5"), (dats(-1), "5", "5.01"), (dats(-1), "5", "5.02"),
+             (dats(1), "5", "1"), (dats(0), "5", "1"), (dats(1), "5", "0"), (None, "5", "6")],
+        ),
+        "EKPO": frame(
+            "menge string, netpr string, netwr string",
+            [("10", "10", "100"), ("10", "10", "101.05"), ("10", "10", "101.06"), ("0", "9", "0.06")],
+        ),
+        "LIKP": frame(
+            "vbeln string, wadat_ist string, erdat string, wadat string",
+            [("1", dats(0), dats(0), ""), ("2", dats(1), "2000-01-01", None), ("3", None, "x", ""),
+             ("4", "", None, "20000230")],
+        ),
+        "VBUP": frame(
+            "vbeln string, wbstk string",
+            [("1", "C"), ("3", "C"), ("3", "C"), ("4", "C"), ("4", "A"), ("9", "C")],
+        ),
+        "VBBE": frame(
+            "mbdat string, omeng string",
+            [(dats(0), "1"), (dats(5), "0"), (dats(-1), "-1"), ("", None)],
+        ),
+        "EQUK": frame(
+            "vdatu string, bdatu string",
+            [(dats(0), dats(0))] * 4 + [(dats(1), dats(9))],
+        ),
+    }
+
+
+def test_row_checks(extracts, params):
+    one = lambda df: list(counts(df).values())
+    assert one(integrity.over_receipt(extracts)) == [2]
+    assert one(integrity.early_receipt(extracts, params)) == [1]
+    assert one(integrity.value_tolerance(extracts)) == [2]
+    assert one(integrity.receipt_in_future(extracts, params)) == [1]
+    assert one(integrity.asn_status_conflict(extracts)) == [3]
+    assert one(integrity.open_qty_positive(extracts)) == [3]
+
+
+def test_measured_checks(extracts, params):
+    share = as_dicts(integrity.future_demand_share(extracts, params))[0]
+    assert (share["measured"], share["required"], share["passed"]) == (2, 1.5, True)
+    supply = as_dicts(integrity.future_supply_count(extracts, params))[0]
+    assert (supply["measured"], supply["passed"]) == (3, False)
+    quotas = as_dicts(integrity.active_quota_share(extracts, params))[0]
+    assert (quotas["measured"], quotas["required"], quotas["passed"]) == (4, 4, True)
+
+
+def test_date_texts(extracts, monkeypatch):
+    columns = [("LIKP", "erdat"), ("LIKP", "wadat"), ("LIKP", "wadat_ist"), ("EKET", "eindt")]
+    monkeypatch.setattr(integrity, "DATE_COLUMNS", columns)
+    assert counts(integrity.date_format(extracts)) == {
+        "LIKP.erdat": 2, "LIKP.wadat": 1, "LIKP.wadat_ist": 0, "EKET.eindt": 0,
+    }
+
+
+def test_key_checks(frame, monkeypatch):
+    table = {"T": frame("a string, b string", [("1", "1"), ("1", "1"), ("1", None), ("1", None), (None, None)])}
+    monkeypatch.setattr(integrity, "PRIMARY_KEYS", {"T": ["a", "b"]})
+    assert counts(integrity.pk_nulls(table)) == {"T(a,b)": 4}
+    assert counts(integrity.pk_duplicates(table)) == {"T(a,b)": 2}
+    monkeypatch.setattr(integrity, "ID_LENGTHS", [("T", "a", 1), ("T", "b", 2)])
+    assert list(counts(integrity.id_length(table)).values()) == [1, 5]
+    monkeypatch.setattr(integrity, "CONSTANTS", [("T", "a", "1")])
+    assert list(counts(integrity.constant_value(table)).values()) == [1]
+    monkeypatch.setattr(integrity, "LEAST_ROWS", {"T": 5})
+    assert as_dicts(integrity.min_volume(table))[0]["passed"] is True
+
+
+@pytest.mark.parametrize("seed, n, spread", [(1, 1, 9), (2, 4, 9), (3, 57, 3), (4, 400, 10**6)])
+def test_top_share_agrees_with_sorting(frame, seed, n, spread):
+    """Also with many equal quantities, negative ones and a key holding a third of the rows."""
+    rng = random.Random(seed)
+    rows = [
+        ("hot" if rng.random() < 0.34 else f"k{rng.randrange(n)}", str(rng.randrange(-1, spread)))
+        for _ in range(3 * n)
+    ]
+    per_key = {}
+    for k, q in rows:
+        per_key[k] = per_key.get(k, 0) + int(q)
+    top = max(1, len(per_key) // 5)
+    want = sum(sorted(per_key.values(), reverse=True)[:top])
+    got = as_dicts(integrity.top_share(frame("k string, q string", rows), "k", F.col("q")))[0]
+    assert (got["keys"], got["top_keys"]) == (len(per_key), top)
+    assert (got["top_qty"], got["total_qty"]) == (Decimal(want), sum(per_key.values()))
