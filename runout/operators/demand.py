@@ -45,36 +45,45 @@ def demand_valid(demand: DataFrame, materials: DataFrame) -> DataFrame:
     return demand.join(materials.select("marc_id"), "marc_id", "left_semi").select(demand.columns)
 
 
-def overdue_by_type(demand: DataFrame, p: Params) -> DataFrame:
+def _known(reduced: DataFrame, materials: DataFrame) -> DataFrame:
+    """Drop unknown materials from rows already reduced by material: few rows meet the join."""
+    return reduced.join(materials.select("marc_id"), "marc_id", "left_semi")
+
+
+def overdue_by_type(demand: DataFrame, materials: DataFrame, p: Params) -> DataFrame:
     """Demand dated before the anchor per (material, source, requirement type), 0 if none."""
-    return demand.groupBy("marc_id", "demand_source", "requirement_type").agg(
-        sum_where(F.col("requirement_date") < p.today, "demand_qty").alias(
-            "backlog_per_pn_contype"
-        )
+    overdue = sum_where(F.col("requirement_date") < p.today, "demand_qty")
+    return _known(
+        demand.groupBy("marc_id", "demand_source", "requirement_type").agg(
+            overdue.alias("backlog_per_pn_contype")
+        ),
+        materials,
     )
 
 
-def overdue_by_material(demand: DataFrame, p: Params) -> DataFrame:
+def overdue_by_material(demand: DataFrame, materials: DataFrame, p: Params) -> DataFrame:
     """Demand dated before the anchor per material, 0 if none."""
-    return demand.groupBy("marc_id").agg(
-        sum_where(F.col("requirement_date") < p.today, "demand_qty").alias("backlog_per_pn")
-    )
+    overdue = sum_where(F.col("requirement_date") < p.today, "demand_qty")
+    return _known(demand.groupBy("marc_id").agg(overdue.alias("backlog_per_pn")), materials)
 
 
 def in_horizon(p: Params):
     return F.col("requirement_date").between(p.today, F.lit(p.horizon_end))
 
 
-def overdue_summary(demand: DataFrame, p: Params) -> DataFrame:
-    """One pass over the demand for every overdue figure, one row per (material, source, type).
+def overdue_summary(demand: DataFrame, materials: DataFrame, p: Params) -> DataFrame:
+    """Every overdue figure of the known materials, one row per (material, source, type).
 
-    The per-material figures are summed from these already reduced rows.
+    One pass over the demand; the per-material figures are summed from the reduced rows.
     """
-    typed = demand.groupBy("marc_id", "demand_source", "requirement_type").agg(
-        sum_where(F.col("requirement_date") < p.today, "demand_qty").alias(
-            "backlog_per_pn_contype"
+    typed = _known(
+        demand.groupBy("marc_id", "demand_source", "requirement_type").agg(
+            sum_where(F.col("requirement_date") < p.today, "demand_qty").alias(
+                "backlog_per_pn_contype"
+            ),
+            F.max("requirement_date").alias("last_date"),
         ),
-        F.max("requirement_date").alias("last_date"),
+        materials,
     )
     per_material = typed.groupBy("marc_id").agg(
         F.sum("backlog_per_pn_contype").alias("backlog_per_pn"),
@@ -86,8 +95,9 @@ def overdue_summary(demand: DataFrame, p: Params) -> DataFrame:
 def future_demand(demand: DataFrame, summary: DataFrame, p: Params) -> DataFrame:
     """Demand lines of the horizon with the overdue quantity of their material and of their type.
 
-    Every line's (material, source, type) occurs in the summary, so one NULL-safe join brings both
-    figures; a NULL requirement type has no overdue quantity of its own.
+    Every (material, source, type) of a known material occurs in the summary, so one NULL-safe
+    inner join brings both figures and drops the unknown materials; a NULL requirement type has
+    no overdue quantity of its own.
     """
     key = ["marc_id", "demand_source", "requirement_type"]
     overdue = summary.select(
@@ -103,7 +113,7 @@ def future_demand(demand: DataFrame, summary: DataFrame, p: Params) -> DataFrame
     )
     return (
         demand.where(in_horizon(p))
-        .join(overdue, same, "left")
+        .join(overdue, same)
         .select(
             "marc_id",
             "customer_order",
@@ -133,12 +143,13 @@ def overdue_only(summary: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def backlog(demand: DataFrame, p: Params) -> DataFrame:
+def backlog(demand: DataFrame, materials: DataFrame, p: Params) -> DataFrame:
     """Future demand lines, plus one otherwise empty row per material with overdue demand only.
 
     A material whose only demand from the anchor on lies past the horizon gets no row at all.
+    Unknown materials are dropped.
     """
-    summary = overdue_summary(demand, p)
+    summary = overdue_summary(demand, materials, p)
     lines = future_demand(demand, summary, p)
     empty = overdue_only(summary, p).withColumn(
         "backlog_per_pn_contype", F.lit(0).cast(lines.schema["backlog_per_pn_contype"].dataType)
@@ -149,8 +160,8 @@ def backlog(demand: DataFrame, p: Params) -> DataFrame:
 def consumption(demand: DataFrame, materials: DataFrame, p: Params) -> DataFrame:
     """Daily demand per material over the horizon.
 
-    Takes the unrestricted demand and drops unknown materials after the aggregation: the join then
-    meets at most one row per material and day, whatever the number of demand lines.
+    Unknown materials are dropped after the aggregation: the join then meets at most one row per
+    material and day, whatever the number of demand lines.
     """
     return (
         demand.where(in_horizon(p))

@@ -102,15 +102,17 @@ def _key_name(table: str, columns: list[str]) -> str:
 
 
 def _orphan_counts(extracts: Extracts, keys: list[tuple]) -> DataFrame:
-    return all_of(
-        [
-            summary(
-                f"{_key_name(child, cols)} in {_key_name(parent, parent_cols)}",
-                orphans(extracts[child], cols, extracts[parent], parent_cols),
-            )
-            for child, cols, parent, parent_cols in keys
-        ]
-    )
+    """Orphans per foreign key; child rows are counted per key before the keys are looked up."""
+    frames = []
+    for child, cols, parent, parent_cols in keys:
+        counted = extracts[child].groupBy(*cols).agg(F.count("*").alias("n"))
+        rule = f"{_key_name(child, cols)} in {_key_name(parent, parent_cols)}"
+        frames.append(
+            orphans(counted, cols, extracts[parent], parent_cols)
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_violations"))
+            .select(F.lit(rule).alias("rule"), "n_violations")
+        )
+    return all_of(frames)
 
 
 def fk_orphans(extracts: Extracts) -> DataFrame:

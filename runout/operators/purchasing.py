@@ -98,26 +98,33 @@ def scheduling_agreement(orders: DataFrame, schedule: DataFrame) -> DataFrame:
     )
 
 
-def open_schedule(
-    orders: DataFrame, schedule: DataFrame, marc: DataFrame, vendors: DataFrame, index: DataFrame
+def open_lines(
+    orders: DataFrame, schedule: DataFrame, marc: DataFrame, index: DataFrame
 ) -> DataFrame:
     """Schedule lines with an open quantity and the day on which it becomes available.
 
-    ``orders`` is the result of ``po_transit_quota``: it already carries the order item's transit
-    time and share, so the lines meet the order items once. The available day is the delivery day
-    plus the goods-receipt working days; outside the calendar plain days are added instead. Past
-    delivery days stay: they are overdue supply.
+    ``orders`` are order items, with whatever columns the reader wants to keep: transit time and
+    share are looked up per item, before the items meet their lines. The available day is the
+    delivery day plus the goods-receipt working days; outside the calendar plain days are added
+    instead. Past delivery days stay: they are overdue supply.
     """
-    lines = (
-        orders.drop("po_item", "order_quantity", "factory_calendar_key")
-        .join(
-            schedule.where("open_quantity > 0").drop("po_number", "goods_receipt_date"), "ekpo_id"
-        )
-        .join(marc.select("marc_id", "gr_processing_days"), "marc_id", "left")
-        .join(vendors.select("vendor_number", "vendor_name", "country"), "vendor_number", "left")
-    )
+    lines = orders.join(
+        schedule.where("open_quantity > 0").drop("po_number", "po_item", "goods_receipt_date"),
+        "ekpo_id",
+    ).join(marc.select("marc_id", "gr_processing_days"), "marc_id", "left")
     plain = F.date_add("delivery_date", F.coalesce(whole("gr_processing_days"), F.lit(0)))
-    return add_working_days(lines, index, "delivery_date", "gr_processing_days", "pad").select(
+    return (
+        add_working_days(lines, index, "delivery_date", "gr_processing_days", "pad")
+        .withColumn("planned_availability_date", F.coalesce("pad", plain))
+        .drop("pad")
+    )
+
+
+def open_schedule(lines: DataFrame, vendors: DataFrame) -> DataFrame:
+    """Open lines with the name of their vendor."""
+    return lines.join(
+        vendors.select("vendor_number", "vendor_name", "country"), "vendor_number", "left"
+    ).select(
         "ekpo_id",
         "po_number",
         "po_item",
@@ -137,7 +144,7 @@ def open_schedule(
         "gr_processing_days",
         "transit_time_days",
         "quote_percent",
-        F.coalesce("pad", plain).alias("planned_availability_date"),
+        "planned_availability_date",
     )
 
 

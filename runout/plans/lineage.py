@@ -1,8 +1,9 @@
 """The planning run as named frames, each composed from the ones it reads.
 
-A frame is built when it is first asked for, and only what it depends on is built with it. ``keep``
-decides what happens to a frame under its table name: the default leaves it lazy, a full refresh
-writes the shared ones and reads them back.
+A frame is built when it is first asked for, and only what it depends on is built with it. A full
+refresh passes ``keep``, which stores each frame under its table name and reads it back. Without it
+everything stays lazy, and frames with several readers are composed for each of them from no more
+than it needs: ``stored`` tells the two apart.
 """
 
 from __future__ import annotations
@@ -35,12 +36,13 @@ class Planning:
         extracts: Mapping[str, DataFrame],
         lanes: DataFrame,
         params: Params,
-        keep: Keep = lambda name, df: df,
+        keep: Keep | None = None,
     ):
         self.extracts = extracts
         self.lanes = lanes
         self.params = params
-        self.keep = keep
+        self.stored = keep is not None
+        self.keep: Keep = keep or (lambda name, df: df)
         self._staged: dict[str, DataFrame] = {}
 
     def stg(self, table: str) -> DataFrame:
@@ -132,27 +134,33 @@ class Planning:
             purchasing.scheduling_agreement(self.po_active, self.schedule_by_date),
         )
 
+    def open_lines(self, orders: DataFrame) -> DataFrame:
+        return purchasing.open_lines(
+            orders, self.schedule_by_date, self.stg("MARC"), self.calendar_index
+        )
+
     @cached_property
     def open_schedule(self) -> DataFrame:
         return self.keep(
             "int_sa_future",
-            purchasing.open_schedule(
-                self.po_transit_quota,
-                self.schedule_by_date,
-                self.stg("MARC"),
-                self.stg("LFA1"),
-                self.calendar_index,
-            ),
+            purchasing.open_schedule(self.open_lines(self.po_transit_quota), self.stg("LFA1")),
         )
 
     @cached_property
     def late_shipment(self) -> DataFrame:
-        future = self.announced.where("asn_status = 'future'")
         return self.keep(
             "int_sa_late_shipment",
-            purchasing.late_shipment(
-                self.open_schedule, inbound.with_vendor(future, self.stg("EKKO")), self.params
-            ),
+            purchasing.late_shipment(self.open_schedule, self.future_deliveries, self.params),
+        )
+
+    @cached_property
+    def late_lines(self) -> DataFrame:
+        """Late shipments for the readers that need neither vendor names nor quota shares."""
+        if self.stored:
+            return self.late_shipment
+        orders = purchasing.with_lane(self.po_active, quota.lane_days(self.lanes))
+        return purchasing.late_shipment(
+            self.open_lines(orders), self.future_deliveries, self.params
         )
 
     # -- deliveries
@@ -168,16 +176,28 @@ class Planning:
 
     @cached_property
     def announced(self) -> DataFrame:
-        """Announced deliveries before vendor and totals, for the readers that need neither."""
+        """Announced deliveries for the readers that need neither vendor nor totals."""
+        if self.stored:
+            return self.asn_status
+        return self._announced
+
+    @cached_property
+    def _announced(self) -> DataFrame:
         return inbound.announced_deliveries(
             self.inbound_deliveries, self.calendar_index, self.params
         )
 
+    @cached_property
+    def future_deliveries(self) -> DataFrame:
+        """Future deliveries with their vendor's number."""
+        future = self.announced.where("asn_status = 'future'")
+        return future if self.stored else inbound.with_vendor(future, self.stg("EKKO"))
+
     @cached_property
     def asn_status(self) -> DataFrame:
         return self.keep(
             "int_inbound_deliveries_asn",
-            inbound.asn_status(self.announced, self.stg("EKKO"), self.stg("LFA1")),
+            inbound.asn_status(self._announced, self.stg("EKKO"), self.stg("LFA1")),
         )
 
     # -- demand
@@ -192,11 +212,13 @@ class Planning:
 
     @cached_property
     def overdue_summary(self) -> DataFrame:
-        return demand.overdue_summary(self.demand_valid, self.params)
+        return demand.overdue_summary(self.demand_union, self.material_base, self.params)
 
     @cached_property
     def backlog(self) -> DataFrame:
-        return self.keep("int_backlog", demand.backlog(self.demand_valid, self.params))
+        return self.keep(
+            "int_backlog", demand.backlog(self.demand_union, self.material_base, self.params)
+        )
 
     # -- supply
 
@@ -217,14 +239,15 @@ class Planning:
     def dated_supply(self) -> DataFrame:
         """Type, parties and available day of the dated supply: all that the gap fill reads.
 
-        Needs neither the coverage of the lines nor stock or transit context.
+        Needs neither the coverage of the lines nor stock, transit or quota context.
         """
-        future = self.announced.where("asn_status = 'future'")
+        if self.stored:
+            return self.supply_context
         names = self.stg("LFA1").select("vendor_number", "vendor_name", "country")
-        underway = inbound.with_vendor(future, self.stg("EKKO")).join(
-            names, "vendor_number", "left"
+        return supply.dated_supply(
+            self.open_lines(self.po_active).join(names, "vendor_number", "left"),
+            self.future_deliveries.join(names, "vendor_number", "left"),
         )
-        return supply.dated_supply(self.open_schedule, underway)
 
     @cached_property
     def supply_gap_fill(self) -> DataFrame:
@@ -269,6 +292,8 @@ class Planning:
 
     @cached_property
     def slowest_transit(self) -> DataFrame:
+        if self.stored:
+            return quota.slowest_transit(self.po_transit_quota)
         return quota.slowest_transit(
             purchasing.with_lane(self.po_active, quota.lane_days(self.lanes))
         )
@@ -282,14 +307,19 @@ class Planning:
 
     @cached_property
     def vendor_performance(self) -> DataFrame:
-        deliveries = inbound.delivery_lines(self.stg("LIKP"), self.stg("LIPS"), self.stg("VBUP"))
+        if self.stored:
+            deliveries = self.inbound_deliveries
+        else:
+            deliveries = inbound.delivery_lines(
+                self.stg("LIKP"), self.stg("LIPS"), self.stg("VBUP")
+            )
         return self.keep(
             "mart_vendor_performance",
             vendors.vendor_performance(
                 self.stg("LFA1"),
                 deliveries,
                 self.stg("EKKO"),
-                self.late_shipment,
+                self.late_lines,
                 quota.lane_days(self.lanes),
             ),
         )

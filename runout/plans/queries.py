@@ -205,9 +205,13 @@ FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
     # demand
     "demand_union": lambda p: p.demand_union,
     "demand_valid": lambda p: p.demand_valid,
-    "overdue_by_material": lambda p: demand.overdue_by_material(p.demand_valid, PARAMS),
-    "overdue_by_type": lambda p: demand.overdue_by_type(p.demand_valid, PARAMS),
-    "future_demand": lambda p: demand.future_demand(p.demand_valid, p.overdue_summary, PARAMS),
+    "overdue_by_material": lambda p: demand.overdue_by_material(
+        p.demand_union, p.material_base, PARAMS
+    ),
+    "overdue_by_type": lambda p: demand.overdue_by_type(
+        p.demand_union, p.material_base, PARAMS
+    ),
+    "future_demand": lambda p: demand.future_demand(p.demand_union, p.overdue_summary, PARAMS),
     "backlog": lambda p: p.backlog,
     # supply
     "supply": lambda p: p.supply,

@@ -141,8 +141,14 @@ def test_recovery_by_a_delivery(frame, params):
     assert (got["red_days"], got["red_days_in_tt"], got["min_qty_in_tt_gr"]) == (4, 4, -30)
 
 
+def known(frame):
+    rows = [(m, m, "1000") for m in "MN"]
+    return frame("marc_id string, material_number string, plant string", rows)
+
+
 def test_empty_row_for_overdue_only(frame, params):
-    rows = as_dicts(backlog(demand_of(frame, [("M", -3, 5), ("N", -3, 5), ("N", 125, 1)]), params))
+    demand = demand_of(frame, [("M", -3, 5), ("N", -3, 5), ("N", 125, 1), ("X", -3, 5)])
+    rows = as_dicts(backlog(demand, known(frame), params))
     assert len(rows) == 1  # N has demand past the horizon, so it gets no row at all
     row = rows[0]
     assert (row["marc_id"], row["backlog_per_pn"], row["backlog_per_pn_contype"]) == ("M", 5, 0)
@@ -151,9 +157,11 @@ def test_empty_row_for_overdue_only(frame, params):
 
 def test_overdue_figures_of_future_lines(frame, params):
     demand = demand_of(
-        frame, [("M", -3, 5, "A"), ("M", -2, 7, None), ("M", 1, 1, "A"), ("M", 2, 1, None)]
+        frame,
+        [("M", -3, 5, "A"), ("M", -2, 7, None), ("M", 1, 1, "A"), ("M", 2, 1, None), ("X", 1, 9)],
     )
-    rows = {r["requirement_type"]: r for r in as_dicts(backlog(demand, params))}
+    rows = {r["requirement_type"]: r for r in as_dicts(backlog(demand, known(frame), params))}
+    assert len(rows) == 2  # nothing of the unknown material
     assert rows["A"]["backlog_per_pn"] == rows[None]["backlog_per_pn"] == 12
     assert rows["A"]["backlog_per_pn_contype"] == 5
     assert rows[None]["backlog_per_pn_contype"] == 0  # a missing type matches no type
@@ -178,7 +186,7 @@ def test_reservations_need_an_open_quantity_and_requirements_do_not(frame):
 
 
 def test_consumption_is_daily_and_known_materials_only(frame, params):
-    materials = frame("marc_id string, material_number string, plant string", [("M", "M", "1000")])
+    materials = known(frame)
     demand = demand_of(
         frame, [("M", 0, 1), ("M", 0, 2), ("M", 120, 4), ("M", 121, 8), ("M", -1, 8), ("X", 0, 8)]
     )
