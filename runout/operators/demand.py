@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runout.functions.columns import OPEN_QTY, joined_id, sum_where
@@ -71,12 +71,9 @@ def in_horizon(p: Params):
     return F.col("requirement_date").between(p.today, F.lit(p.horizon_end))
 
 
-def overdue_summary(demand: DataFrame, materials: DataFrame, p: Params) -> DataFrame:
-    """Every overdue figure of the known materials, one row per (material, source, type).
-
-    One pass over the demand; the per-material figures are summed from the reduced rows.
-    """
-    typed = _known(
+def demand_by_type(demand: DataFrame, materials: DataFrame, p: Params) -> DataFrame:
+    """Overdue quantity and last requirement date per (material, source, type)."""
+    return _known(
         demand.groupBy("marc_id", "demand_source", "requirement_type").agg(
             sum_where(F.col("requirement_date") < p.today, "demand_qty").alias(
                 "backlog_per_pn_contype"
@@ -85,23 +82,29 @@ def overdue_summary(demand: DataFrame, materials: DataFrame, p: Params) -> DataF
         ),
         materials,
     )
-    per_material = typed.groupBy("marc_id").agg(
-        F.sum("backlog_per_pn_contype").alias("backlog_per_pn"),
-        F.max("last_date").alias("last_material_date"),
-    )
-    return typed.drop("last_date").join(per_material, "marc_id")
 
 
-def future_demand(demand: DataFrame, summary: DataFrame, p: Params) -> DataFrame:
+def future_demand(demand: DataFrame, by_type: DataFrame, p: Params) -> DataFrame:
     """Demand lines of the horizon with the overdue quantity of their material and of their type.
 
-    Every (material, source, type) of a known material occurs in the summary, so one NULL-safe
+    ``by_type`` is the result of ``demand_by_type``. The material's quantity is summed over its
+    rows there (a handful: one per source and type), and only materials with demand from the
+    anchor on are looked up. Every line's (material, source, type) occurs in it, so one NULL-safe
     inner join brings both figures and drops the unknown materials; a NULL requirement type has
     no overdue quantity of its own.
     """
-    key = ["marc_id", "demand_source", "requirement_type"]
-    overdue = summary.select(
-        *[F.col(k).alias(f"o_{k}") for k in key], "backlog_per_pn", "backlog_per_pn_contype"
+    material = Window.partitionBy("marc_id")
+    overdue = (
+        by_type.select(
+            F.col("marc_id").alias("o_marc_id"),
+            F.col("demand_source").alias("o_demand_source"),
+            F.col("requirement_type").alias("o_requirement_type"),
+            "backlog_per_pn_contype",
+            F.sum("backlog_per_pn_contype").over(material).alias("backlog_per_pn"),
+            F.max("last_date").over(material).alias("last_material_date"),
+        )
+        .where(F.col("last_material_date") >= p.today)
+        .drop("last_material_date")
     )
     same = (
         (F.col("marc_id") == F.col("o_marc_id"))
@@ -130,13 +133,13 @@ def future_demand(demand: DataFrame, summary: DataFrame, p: Params) -> DataFrame
     )
 
 
-def overdue_only(summary: DataFrame, p: Params) -> DataFrame:
+def overdue_only(by_type: DataFrame, p: Params) -> DataFrame:
     """Materials with overdue demand and no demand at all from the anchor on."""
     return (
-        summary.groupBy("marc_id")
+        by_type.groupBy("marc_id")
         .agg(
-            F.max("backlog_per_pn").alias("backlog_per_pn"),
-            F.max("last_material_date").alias("last_date"),
+            F.sum("backlog_per_pn_contype").alias("backlog_per_pn"),
+            F.max("last_date").alias("last_date"),
         )
         .where((F.col("backlog_per_pn") > 0) & (F.col("last_date") < p.today))
         .select("marc_id", "backlog_per_pn")
@@ -149,9 +152,9 @@ def backlog(demand: DataFrame, materials: DataFrame, p: Params) -> DataFrame:
     A material whose only demand from the anchor on lies past the horizon gets no row at all.
     Unknown materials are dropped.
     """
-    summary = overdue_summary(demand, materials, p)
-    lines = future_demand(demand, summary, p)
-    empty = overdue_only(summary, p).withColumn(
+    by_type = demand_by_type(demand, materials, p)
+    lines = future_demand(demand, by_type, p)
+    empty = overdue_only(by_type, p).withColumn(
         "backlog_per_pn_contype", F.lit(0).cast(lines.schema["backlog_per_pn_contype"].dataType)
     )
     return lines.unionByName(empty, allowMissingColumns=True)

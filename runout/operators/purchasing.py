@@ -59,11 +59,28 @@ def po_transit_quota(orders: DataFrame, lanes: DataFrame, shares: DataFrame) ->
 
 
 def schedule_by_date(eket: DataFrame) -> DataFrame:
-    return eket.groupBy("ekpo_id", "po_number", "po_item", "delivery_date").agg(
-        F.min("goods_receipt_date").alias("goods_receipt_date"),
-        F.sum("scheduled_quantity").alias("scheduled_quantity"),
-        F.sum("goods_receipt_quantity").alias("goods_receipt_quantity"),
-        F.sum("open_quantity").alias("open_quantity"),
+    """Schedule lines summed per (order item, delivery date).
+
+    The item id follows from order and item number, so it is left out of the shuffled key.
+    """
+    return (
+        eket.groupBy("po_number", "po_item", "delivery_date")
+        .agg(
+            F.min("goods_receipt_date").alias("goods_receipt_date"),
+            F.sum("scheduled_quantity").alias("scheduled_quantity"),
+            F.sum("goods_receipt_quantity").alias("goods_receipt_quantity"),
+            F.sum("open_quantity").alias("open_quantity"),
+        )
+        .select(
+            joined_id("po_number", "po_item").alias("ekpo_id"),
+            "po_number",
+            "po_item",
+            "delivery_date",
+            "goods_receipt_date",
+            "scheduled_quantity",
+            "goods_receipt_quantity",
+            "open_quantity",
+        )
     )
 
 

@@ -211,8 +211,8 @@ class Planning:
         return demand.demand_valid(self.demand_union, self.material_base)
 
     @cached_property
-    def overdue_summary(self) -> DataFrame:
-        return demand.overdue_summary(self.demand_union, self.material_base, self.params)
+    def demand_by_type(self) -> DataFrame:
+        return demand.demand_by_type(self.demand_union, self.material_base, self.params)
 
     @cached_property
     def backlog(self) -> DataFrame:

@@ -35,6 +35,14 @@ def planning(spark: SparkSession, folder: str) -> Planning:
     return Planning(extracts, extracts.lanes(), PARAMS)
 
 
+def stored_planning(spark: SparkSession, folder: str, root: str) -> Planning:
+    """As ``planning``, over the extracts loaded as tables under ``root`` first."""
+    derived = OrderTableExtracts(tune(spark), folder)
+    tables = Tables(spark, root)
+    extracts = {t: tables.write(t, df, EXTRACTS[t]) for t, df in derived.items()}
+    return Planning(extracts, tables.write("seed_transit_time", derived.lanes(), LANES), PARAMS)
+
+
 def edge(df: DataFrame) -> DataFrame:
     """Decimals as doubles, shares and averages to 6 places: scales differ between engines."""
     columns = []
@@ -211,7 +219,7 @@ FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
     "overdue_by_type": lambda p: demand.overdue_by_type(
         p.demand_union, p.material_base, PARAMS
     ),
-    "future_demand": lambda p: demand.future_demand(p.demand_union, p.overdue_summary, PARAMS),
+    "future_demand": lambda p: demand.future_demand(p.demand_union, p.demand_by_type, PARAMS),
     "backlog": lambda p: p.backlog,
     # supply
     "supply": lambda p: p.supply,
