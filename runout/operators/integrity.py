@@ -292,19 +292,24 @@ def top_share(df: DataFrame, key: str, qty: Column, parts: int = 5) -> DataFrame
     in one task. Instead the smallest top quantity is located digit by digit: each step counts the
     keys per 16-bit digit (at most 65,536 groups), finds the digit in which the ranking passes the
     wanted number of keys, and looks only at the keys in that digit next. Keys of equal quantity
-    are interchangeable, so the sum is exact.
+    are interchangeable, so the sum is exact. The digit found so far is always one row, hence the
+    broadcasts: they keep the keys from being shuffled by a digit they may all share.
     """
     offset = 2**62  # quantities of either sign sort as unsigned digits
     per_key = df.groupBy(key).agg(F.sum(qty.cast(QTY)).alias("qty")).where("qty IS NOT NULL")
     per_key = per_key.select("qty", ((F.col("qty") * 100).cast("bigint") + offset).alias("v"))
-    totals = per_key.agg(F.count("*").alias("keys"), F.sum("qty").alias("total_qty"))
+    totals = per_key.agg(
+        F.count("*").alias("keys"),
+        F.sum("qty").alias("total_qty"),
+        F.shiftright(F.min("v"), 63).alias("prefix"),
+    )
     cut = totals.select(
         "keys",
         "total_qty",
         F.greatest(F.lit(1), F.floor(F.col("keys") / parts)).alias("top_keys"),
         F.greatest(F.lit(1), F.floor(F.col("keys") / parts)).alias("wanted"),
         F.lit(0).cast("decimal(38,2)").alias("above"),
-        F.lit(0).cast("bigint").alias("prefix"),
+        "prefix",
     )
     by_digit = Window.partitionBy("prefix").orderBy(F.desc("digit")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -313,12 +318,10 @@ def top_share(df: DataFrame, key: str, qty: Column, parts: int = 5) -> DataFrame
         inside = per_key.select(
             "qty",
             F.shiftright("v", shift).alias("digit"),
-            (F.shiftright("v", shift + 16) if shift < 48 else F.lit(0).cast("bigint")).alias(
-                "prefix"
-            ),
+            F.shiftright("v", min(shift + 16, 63)).alias("prefix"),
         )
         counts = (
-            inside.join(cut.select("prefix"), "prefix", "left_semi")
+            inside.join(F.broadcast(cut.select("prefix")), "prefix", "left_semi")
             .groupBy("prefix", "digit")
             .agg(F.count("*").alias("n"), F.sum("qty").alias("s"))
             .withColumn("upto_n", F.sum("n").over(by_digit))
@@ -328,7 +331,7 @@ def top_share(df: DataFrame, key: str, qty: Column, parts: int = 5) -> DataFrame
             F.col("upto_n") - F.col("n") < F.col("wanted")
         )
         cut = (
-            counts.join(cut, "prefix")
+            counts.join(F.broadcast(cut), "prefix")
             .where(passing)
             .select(
                 "keys",

@@ -5,7 +5,7 @@ Lists keep the marts' NULL order explicit; ties are broken by id, so that a limi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHORTAGE = "Shortage"
@@ -99,33 +99,28 @@ def overview_kpis(report: DataFrame) -> DataFrame:
 def red_zone(simulation: DataFrame, report: DataFrame, marc_id: str | None = None) -> DataFrame:
     """Days below zero with the material's summary and its transit window.
 
-    The window starts on the material's first projected day. For one material the filter reaches
-    both scans; without one, every material's red days are listed.
+    The window runs from the material's first projected day, which is the anchor, to the end of its
+    slowest transit. For one material the filter reaches both scans; without one, every material's
+    red days are listed.
     """
     if marc_id is not None:
         simulation = simulation.where(F.col("marc_id") == marc_id)
         report = report.where(F.col("marc_id") == marc_id)
     summary = report.select(
         "marc_id",
+        F.date_sub("end_of_tt_gr", F.col("max_tt")).alias("window_start"),
+        F.col("end_of_tt_gr").alias("window_end"),
         "available_stock",
         "safety_stock",
         "overdue_backlog_qty",
         "max_tt",
-        "end_of_tt_gr",
         "status",
         "red_days_in_tt",
     )
-    material = Window.partitionBy("marc_id")
     return (
-        simulation.select(
-            "marc_id",
-            "calendar_date",
-            "simulated_inventory_qty",
-            F.min("calendar_date").over(material).alias("window_start"),
-        )
-        .where(F.col("simulated_inventory_qty") < 0)
+        simulation.where(F.col("simulated_inventory_qty") < 0)
+        .select("marc_id", "calendar_date", "simulated_inventory_qty")
         .join(summary, "marc_id")
-        .withColumnRenamed("end_of_tt_gr", "window_end")
     )
 
 

@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal
 
 import pytest
@@ -195,3 +196,27 @@ def test_consumption_is_daily_and_known_materials_only(frame, params):
         for r in as_dicts(consumption(demand, materials, params))
     }
     assert got == {day(0): 3, day(120): 4}
+
+
+def test_hot_material_agrees_with_brute_force(frame, params):
+    """A third of the demand and of the deliveries on one material, none of it dropped."""
+    rng = random.Random(11)
+
+    def pick():
+        return "M0" if rng.random() < 0.34 else f"M{rng.randrange(8)}"
+
+    demand = [(pick(), rng.randrange(-20, 140), rng.randrange(1, 9)) for _ in range(700)]
+    asn = [(pick(), rng.randrange(-20, 140), rng.randrange(1, 9)) for _ in range(300)]
+    stock = [(f"M{i}", 50 * i) for i in range(10)]  # M8 and M9 have neither
+    got = simulate(frame, params, demand=demand, asn=asn, stock=stock)
+    assert len(got) == 121 * len(stock)
+    for material, opening in stock:
+        mine = [(d, q) for m, d, q in demand if m == material]
+        overdue = sum(q for d, q in mine if d < 0)
+        if not any(0 <= d <= 120 for d, _ in mine) and any(d > 120 for d, _ in mine):
+            overdue = 0
+        for i in (0, 1, 17, 60, 119, 120):
+            used = sum(q for d, q in mine if 0 <= d <= i)
+            come = sum(q for m, d, q in asn if m == material and 0 <= d <= i)
+            want = opening - overdue - used + come
+            assert got[material, day(i)]["simulated_inventory_qty"] == want
