@@ -28,7 +28,7 @@ def assert_schema(name: str, df: DataFrame, schema: T.StructType) -> None:
 class Tables:
     """Parquet tables under ``<root>/<layer>/<name>``, replaced whole by every write.
 
-    With ``catalog`` they are metastore tables ``<layer>.<name>`` instead. Staging is views only.
+    With ``catalog`` they are metastore tables ``<layer>.<name>`` as well. Staging is views only.
     """
 
     def __init__(self, spark: SparkSession, root: str, catalog: bool = False):
@@ -40,19 +40,33 @@ class Tables:
         return f"{self.root}/{layer_of(name)}/{name}"
 
     def write(self, name: str, df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
-        """Replace a table and return it as stored; writing the same rows again changes nothing."""
+        """Replace a table and return it as stored; writing the same rows again changes nothing.
+
+        The rows are written aside and moved into place when they are complete, so that a failed
+        job leaves the former table as it was.
+        """
         if schema is not None:
             assert_schema(name, df, schema)
+        aside = f"{self.root}/_incoming/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(aside)
+        self._move(aside, self.path(name))
+        self.spark.catalog.refreshByPath(self.path(name))
         if self.catalog:
             layer = layer_of(name)
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
-            df.write.mode("overwrite").option("path", self.path(name)).saveAsTable(
-                f"{layer}.{name}"
-            )
-        else:
-            df.write.mode("overwrite").parquet(self.path(name))
+            self.spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
+            self.spark.catalog.createTable(f"{layer}.{name}", self.path(name), "parquet")
         return self.read(name)
 
+    def _move(self, source: str, target: str) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        source_path, target_path = hadoop(source), hadoop(target)
+        fs = target_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(target_path.getParent())
+        fs.delete(target_path, True)
+        if not fs.rename(source_path, target_path):
+            raise OSError(f"could not move {source} to {target}")
+
     def read(self, name: str) -> DataFrame:
         if self.catalog:
             return self.spark.table(f"{layer_of(name)}.{name}")

@@ -2,6 +2,7 @@ import os
 
 import pytest
 from conftest import as_dicts
+from pyspark.sql import functions as F
 
 from runout.sources.extracts import bronze_read, extract_latest, load_audit, read_extracts
 from runout.sources.lanes import lane_matrix, read_lanes
@@ -85,6 +86,10 @@ def test_refresh_replaces_the_table(spark, root, tmp_path, catalog):
     with pytest.raises(ValueError, match="schema"):
         tables.write("LFA1", lfa1.drop("land1"), EXTRACTS["LFA1"])
     assert tables.read("LFA1").count() == 1  # refused before anything was replaced
+    failing = lfa1.withColumn("regio", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write("LFA1", failing, EXTRACTS["LFA1"])
+    assert tables.read("LFA1").count() == 1  # the failed job left the table as it was
     if catalog:
         assert spark.table("bronze.LFA1").count() == 1
 
