@@ -95,6 +95,11 @@ def crc_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def held_out(doc_id: Column, parts: int, part: int) -> Column:
+    """Rows of one part of the ids by crc32; rows without an id are in it as well."""
+    return F.coalesce(crc_of(doc_id) % parts == part, F.lit(True))
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
     """Left join a stored table with one row per key; a key may hold a third of ``rows``.
 
@@ -108,3 +113,24 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str]) -
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     return rows.withColumn("__salt", salt).join(salted, [key, "__salt"], "left").drop("__salt")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
+    """(text, label) of at most ``per_class`` labelled ids per class: those whose id hashes lowest.
+
+    The ids are bounded, hence broadcast to their documents; should ids repeat in ``docs``, the rows are
+    cut at twice the number of ids.
+    """
+    rows = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    lot = F.xxhash64("doc_id", F.lit(label))
+    ids = rows.where("label = 0").orderBy(lot).limit(per_class)
+    ids = ids.unionAll(rows.where("label = 1").orderBy(lot).limit(per_class))
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.select(F.coalesce("text", F.lit("")).alias("text"), "label").limit(4 * per_class)
+
+
+def class_counts(labels: DataFrame, label: str, learn: Column) -> tuple[int, int]:
+    """Rows labelled 0 and 1 that may be learned from."""
+    rows = labels.where(learn & F.col("doc_id").isNotNull())
+    return tuple(rows.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first())

@@ -67,7 +67,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v[{k}] >> {shift} & 31)::INT + 1, 1)"
+    for k in range(1, 9)
+    for shift in (15, 10, 5, 0)
+)
+
+OP3 = f"""
+WITH page AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages
+), digest AS (
+  SELECT page_id, octet_length(payload) AS n, h,
+         list_transform(range(8), lambda k: ('0x' || substr(h, 5 * k + 1, 5))::BIGINT) AS v
+  FROM page
+), grouped AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS response FROM digest
+)
+SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
+FROM grouped
+"""
+
+_RULES = (
+    ("www.example.com", "/en/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("com", "/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+
+OP5 = rf"""
+WITH part AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), page AS (
+  SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM part
+), ruled AS (
+  SELECT *, CASE {" ".join(f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for h, p, _ in _RULES)} END AS rule
+  FROM page
+)
+SELECT page_id, host, path, rule,
+       CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in _RULES)}
+            WHEN regexp_matches(host, '(^|[.-])(adult|bets|casino|pills)([.-]|$)') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1,
     "op2_quality_rules": OP2,
+    "op3_warc": OP3,
+    "op5_url_filter": OP5,
 }

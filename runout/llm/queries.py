@@ -1,4 +1,4 @@
-"""The registered queries of the text operators, each over its whole table, with DuckDB statements."""
+"""The registered queries of the text operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runout.llm import decontamination, quality_rules, simhash
+from runout.llm import (
+    decontamination,
+    language,
+    packing,
+    quality_knn,
+    quality_rules,
+    simhash,
+    token_blocks,
+    toxicity,
+    url_filter,
+    warc,
+)
+from runout.llm.common import held_out
+
+#: The rules that pages are judged by.
+URL_RULES = (
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+)
+#: Parts of host labels whose hosts are listed.
+LISTED_HOSTS = r"(^|[.-])(adult|bets|casino|pills)([.-]|$)"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,12 +53,61 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.measure(_table(spark, folder, "documents")).drop("failed_rule")
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(_table(spark, folder, "pages")), payload=False)
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    test = held_out(F.col("doc_id"), 5, 0)
+    found = toxicity.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"), ~test)
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return found.select("doc_id", test.alias("held_out"), "score", predicted.alias("predicted"), "spans")
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    host, _ = url_filter.host_and_path(F.col("url"))
+    listed = pages.select(host.alias("host")).where(F.col("host").rlike(LISTED_HOSTS))
+    return url_filter.judge_urls(pages, URL_RULES, listed).drop("listed")
+
+
+def op6_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return token_blocks.read_token_files(token_blocks.write_token_files(_table(spark, folder, "documents")))
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(packing.token_counts(_table(spark, folder, "documents")))
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    test = held_out(F.col("doc_id"), 4, 2)
+    found = language.identify(_table(spark, folder, "documents"), ~test)
+    return found.select("doc_id", test.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    test = held_out(F.col("doc_id"), 4, 2)
+    found = quality_knn.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"), ~test)
+    predicted = (F.col("score") >= quality_knn.THRESHOLD).cast("int")
+    return found.select("doc_id", test.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontamination": op1_decontamination,
-    "op2_quality_rules": op2_quality_rules,
-    "op9_simhash": op9_simhash,
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_quality_rules,
+        op3_warc,
+        op4_toxicity,
+        op5_url_filter,
+        op6_token_blocks,
+        op7_packing,
+        op8_language,
+        op9_simhash,
+        op10_quality,
+    )
 }
