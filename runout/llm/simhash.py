@@ -136,7 +136,7 @@ def links(prints: DataFrame, max_bits: int = 3, segments: int = 4, chain: int =
     first = F.coalesce(
         *(F.when(_viable(diff, i, segments, max_bits), F.lit(i)) for i in range(segments)), F.lit(-1)
     )
-    pairs = asked.join(filed, ["start", "key"]).where(
+    pairs = asked.hint("merge").join(filed, ["start", "key"]).where(
         (F.col("a") < F.col("b")) & (F.col("start") == first) & (F.bit_count(diff) <= max_bits)
     )
     return pairs.select("a", "b")
