@@ -113,8 +113,8 @@ def _slope_and_offset(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple
     theta, x = np.zeros(2), np.stack([z, np.ones_like(z)], axis=1)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + 1e-3 * theta
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        gradient = x.T @ (weight * (p - y)) + 0.02 * theta
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.02 * np.eye(2)
         theta -= np.clip(np.linalg.solve(hessian, gradient), -5, 5)
     return float(theta[0]), float(theta[1])
 

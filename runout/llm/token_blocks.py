@@ -95,7 +95,8 @@ class WordEncoder:
         return self.ids[shift + np.arange(len(shift))]
 
     def count(self, text: str | None) -> int:
-        return int(self.lengths[self.words(text)].sum())
+        words = self.words(text)  # may renew the cache
+        return int(self.lengths[words].sum())
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from runout.llm.common import arrow_schema, class_counts, labelled_sample, ship, slices
 
 #: Bound of the training sample.
-TRAIN_DOCS = 600
+TRAIN_DOCS = 1000
 TRAIN_CHARS = 50_000
 #: Log-odds and distinct contexts from which a word or beginning is telling.
 TELLING, CONTEXTS = 3.5, 5
