@@ -201,7 +201,7 @@ def fit(rows: list[tuple[str, int]], counts: tuple[int, int]) -> Model:
     docs = [(_WORD.findall(text), label) for text, label in sorted(rows) if len(text) <= TRAIN_CHARS]
     toxic, clean = [w for w, label in docs if label], [w for w, label in docs if not label]
     share = counts[1] / max(1, sum(counts))
-    flat = Model({}, 0.0, np.zeros((2, 2)), None, share)
+    flat = Model({}, -_LIMIT, np.zeros((2, 2)), None, share)
     if not toxic or not clean:
         return flat
     labels = np.concatenate([*label_tokens(toxic, clean), *(np.zeros(len(d)) for d in clean)])

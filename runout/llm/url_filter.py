@@ -162,7 +162,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], listed_hosts: DataFrame)
     if rules:
         keys = rule_keys(F.col("host"), F.col("path"), rules)
         corpus = rows.select(F.explode(F.array_compact(F.array(*keys))))
-        by_rule = build_cascade(corpus, spark.createDataFrame([(r.key,) for r in rules], "key string"))
+        by_rule = build_cascade(corpus, spark.range(1).select(F.explode(F.array(*(F.lit(r.key) for r in rules)))))
         verdicts = F.create_map(*(F.lit(x) for r in rules for x in (r.key, r.verdict)))
         rule = F.coalesce(*(F.when(by_rule.contains(k), k) for k in keys))
         verdict = F.element_at(verdicts, F.col("rule"))

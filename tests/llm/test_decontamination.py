@@ -1,0 +1,63 @@
+import re
+
+import pytest
+
+from runout.llm import decontamination as D
+
+
+def brute(text, items, n):
+    words = [(m.span(), m[0].translate({c: c + 32 for c in range(65, 91)})) for m in D._WORD.finditer(text or "")]
+    hit, found = set(), set()
+    for item_id, item in items:
+        w = [m[0].translate({c: c + 32 for c in range(65, 91)}) for m in D._WORD.finditer(item or "")]
+        for i in range(max(1, len(w) - n + 1) if w else 0):
+            window = w[i : i + n]
+            for k in range(len(words) - len(window) + 1):
+                if [x for _, x in words[k : k + len(window)]] == window:
+                    hit |= set(range(k, k + len(window)))
+                    if item_id is not None:
+                        found.add(str(item_id))
+    return len(words), len(hit), sorted(found), [words[i][0] for i in sorted(hit)]
+
+
+@pytest.mark.parametrize("n", [10, 3])
+def test_brute_force_over_edge_rows(edge, benchmark, n):
+    items = [tuple(r) for r in benchmark.collect()]
+    got = D.benchmark_hits(edge, benchmark, n).collect()
+    texts = edge.select("doc_id", "text").collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in texts]
+    for r, (_, text) in zip(got, texts, strict=True):
+        if text and len(text) > 10_000:
+            assert r.n_words == len(D.normalised_words(text)) and r.n_hit == 0
+            continue
+        words, hit, found, places = brute(text, items, n)
+        assert (r.n_words, r.n_hit, r["items"]) == (words, hit, found)
+        assert all(any(s.start <= a and b <= s.end for s in r.spans) for a, b in places)
+        assert sum(len(D._WORD.findall(text[s.start : s.end])) for s in r.spans) == hit
+
+
+def test_blocks_give_the_same(edge, benchmark):
+    one = D.benchmark_hits(edge, benchmark, 3).collect()
+    assert D.benchmark_hits(edge, benchmark, 3, block_bytes=40).collect() == one
+
+
+def test_words_keep_other_characters_as_they_are():
+    assert D.normalised_words("ÄA-b_1   cİ") == ["Äa", "b", "1", " cİ"]
+    assert D.normalised_words(None) == []
+    assert all(re.fullmatch(D._WORD, c) is None for c in ("@", "[", "`", "{", "\x7f", "/", ":"))
+
+
+def test_empty_tables(spark, edge, benchmark):
+    none = edge.where("false")
+    assert D.benchmark_hits(none, benchmark).count() == 0
+    assert all(r.n_hit == 0 for r in D.benchmark_hits(edge, benchmark.where("false")).collect())
+    assert D.drop_contaminated(edge, benchmark.where("false")).count() == edge.count()
+
+
+def test_contaminated_rows_go_and_columns_stay(edge, benchmark):
+    kept = D.drop_contaminated(edge, benchmark)
+    assert kept.columns == edge.columns
+    hits = {(r.doc_id, r.n_words) for r in D.benchmark_hits(edge, benchmark).collect() if r.n_hit}
+    assert kept.count() == edge.count() - sum(
+        (r.doc_id, len(D.normalised_words(r.text))) in hits for r in edge.collect()
+    )
