@@ -49,7 +49,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for batch in slices(batches, "text"):
-            counts = [words.count(t) + 1 for t in batch.column(1).to_pylist()]
+            counts = [n + 1 for n in words.count(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema[0].type), pa.array(counts)], schema=schema)
 
     return df.mapInArrow(run, ddl)

@@ -27,6 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,59 +45,113 @@ PERCENTILE = 90
 RUN_BLOCKS = 256
 FILE_IDS = 1 << 27
 #: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 
+_MARKS = frozenset(".,!?:;")
 _HEAD = struct.Struct("<IBHH")
 _FOOTER = struct.Struct("<QQQQI8s")
 _MANIFEST = "part int, seq int, path string, documents long, ids long"
 
 
+class _Places(dict):
+    """Words by order of appearance; a new word takes the next place."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 class WordEncoder:
-    """Ids of many texts at once; equal words between spaces are encoded once."""
+    """Ids of many texts at once; equal words between spaces are encoded once.
+
+    Three properties of the tokenizer make this exact. It splits at white space before anything else, so a
+    text's ids are those of its words. It ignores case, so A-Z may be lower-cased first. It marks the last
+    id of every piece it cuts a word into, so many plain words (letters, perhaps with one mark behind)
+    can be encoded as one text and told apart by counting marks. Texts with special tokens are left to it.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_piece[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = _Places()
         self.ids = np.empty(0, np.uint32)
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, flat])
-        self.starts = np.concatenate([self.starts, starts])
+        """Encode the words that have just got places."""
+        pieces = np.fromiter(map(_plain_pieces, words), np.int64, len(words))
+        plain = np.flatnonzero(pieces)
+        lengths = np.zeros(len(words), np.int64)
+        joined = [" ".join(words[i] for i in plain[k : k + 500]) for k in range(0, len(plain), 500)]
+        flat = np.fromiter((i for ids in self._ids(joined) for i in ids), np.uint32)
+        ends = np.flatnonzero(self.ends_piece[flat]) + 1
+        last = ends[np.cumsum(pieces[plain]) - 1] if len(plain) else ends
+        lengths[plain] = np.diff(last, prepend=0)
+        starts = np.zeros(len(words), np.int64)
+        starts[plain] = last - lengths[plain]
+        others = np.flatnonzero(pieces == 0)
+        found = self._ids([words[i] for i in others])
+        lengths[others] = [len(ids) for ids in found]
+        starts[others] = len(flat) + np.cumsum(lengths[others]) - lengths[others]
+        rest = np.fromiter((i for ids in found for i in ids), np.uint32)
+        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
         self.lengths = np.concatenate([self.lengths, lengths])
-
-    def words(self, text: str | None) -> np.ndarray:
-        """Places of the words of one text in the cache."""
-        words = (text or "").replace("\n", " ").split(" ")
-        if new := [w for w in dict.fromkeys(words) if w not in self.places]:
-            if len(self.places) > CACHED_WORDS:
-                self.forget()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-
-    def encode(self, text: str | None) -> np.ndarray:
-        words = self.words(text)
+        self.ids = np.concatenate([self.ids, flat, rest])
+
+    def _places(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """Places of all words of the texts in the cache, and how many words each text has."""
+        if len(self.places) > CACHED_WORDS:
+            self.forget()
+        words = [_lower(t or "").replace("\n", " ").split(" ") for t in texts]
+        every = [w for ws in words for w in ws]
+        known = len(self.places)
+        found = np.fromiter(map(self.places.__getitem__, every), np.int64, len(every))
+        if len(self.places) > known:
+            self._learn(list(islice(self.places, known, None)))
+        return found, list(map(len, words))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of every text."""
+        words, sizes = self._places(texts)
         lengths = self.lengths[words]
         ends = np.cumsum(lengths)
         shift = np.repeat(self.starts[words] - (ends - lengths), lengths)
-        return self.ids[shift + np.arange(len(shift))]
+        ids = self.ids[shift + np.arange(len(shift))]
+        return np.split(ids, ends[np.cumsum(sizes)[:-1] - 1]) if texts else []
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """Number of ids of every text."""
+        words, sizes = self._places(texts)
+        starts = np.cumsum(sizes) - sizes
+        return np.add.reduceat(self.lengths[words], starts).tolist() if texts else []
+
+
+def _lower(text: str) -> str:
+    """A-Z lower-cased, unless that could make a special token."""
+    return text if "<|" in text else text.encode().lower().decode()
+
+
+def _plain_pieces(word: str) -> int:
+    """1 for letters, 2 for letters and one mark behind them, 0 for any other word.
 
-    def count(self, text: str | None) -> int:
-        words = self.words(text)  # may renew the cache
-        return int(self.lengths[words].sum())
+    Letters up to U+024F other than U+0130: normalisation leaves each of these one letter.
+    """
+    letters = word[:-1] if word[-1:] in _MARKS else word
+    if not letters.isalpha() or not letters.isascii() and (max(letters) > "\u024f" or "\u0130" in letters):
+        return 0
+    return 1 + (letters is not word)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -292,11 +347,12 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
         for batch in slices(batches, "text"):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = words.encode(batch.column(1).to_pylist())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.pfor"
                     writer = BlockWriter(target.open_output_stream(f"{root}/{name}"))
-                writer.add(doc_id, np.append(words.encode(text), np.uint32(end_id)))
+                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
                 if writer.n_ids >= FILE_IDS:
                     yield close()
                     writer, seq = None, seq + 1

@@ -63,25 +63,26 @@ def test_files_give_single_documents_and_refuse_damage(tmp_path):
 
 TEXTS = [
     "", " ", "\n\n", "Hello, World! it's we'll 'S", "ÉÀ é\u0301 e\u0301\n \u0301x", "a\tb\x0bc\x85d\u00a0e\u2003f",
-    "<|endoftext|> x<|startoftext|>y", "ΑΣ ΣΑΣ İstanbul ǅ", "中文字 한국어", "12345 1a2b", "###$$$ ... 😀😀 a😀b", "x" * 3000,
+    "<|endoftext|> x<|startoftext|>y", "ΑΣ ΣΑΣ İstanbul ǅ", "中文字 한국어", "12345 1a2b", "don't o're. A,b x.. Ü, \u01c5. <|ENDOFTEXT|> ª º ʰ. ǆ! ᄒ\u1161\u11ab. ﬁ, Ⅷ", "###$$$ ... 😀😀 a😀b", "x" * 3000,
 ]
 
 
 def test_words_give_the_ids_of_whole_texts(monkeypatch):
     encoder = B.WordEncoder(B.default_tokenizer())
     whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
-    for bound in (400_000, 1):
+    for bound in (700_000, 1):
         monkeypatch.setattr(B, "CACHED_WORDS", bound)
-        assert [encoder.encode(t).tolist() for t in [*TEXTS, *TEXTS]] == [*whole, *whole]
-        assert [encoder.count(t) for t in TEXTS] == list(map(len, whole))
-    assert encoder.encode(None).tolist() == []
+        assert [encoder.encode([t])[0].tolist() for t in [*TEXTS, *TEXTS]] == [*whole, *whole]
+        assert [ids.tolist() for ids in encoder.encode([*TEXTS, *TEXTS])] == [*whole, *whole]
+        assert encoder.count(TEXTS) == list(map(len, whole))
+    assert encoder.encode([None])[0].tolist() == [] and encoder.encode([]) == []
 
 
 def test_documents_come_back_in_order(spark, edge):
     got = B.read_token_files(B.write_token_files(edge)).collect()
     encoder = B.WordEncoder(B.default_tokenizer())
     want = sorted(
-        (-1 if r.doc_id is None else r.doc_id, zlib.crc32(np.append(encoder.encode(r.text), 2).astype("<u4").tobytes()))
+        (-1 if r.doc_id is None else r.doc_id, zlib.crc32(np.append(encoder.encode([r.text])[0], 2).astype("<u4").tobytes()))
         for r in edge.collect()
     )
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids_crc32) for r in got) == want
