@@ -65,14 +65,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``BATCH_CHARS`` characters of ``text``, or one long text."""
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_CHARS
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``most`` bytes of the column ``text``, or one long text."""
     for batch in batches:
         column = batch.column(batch.schema.names.index(text))
         start = size = 0
         for i, n in enumerate(pc.binary_length(column).to_pylist()):
             size += n or 0
-            if size >= BATCH_CHARS:
+            if size >= most:
                 yield batch.slice(start, i + 1 - start)
                 start, size = i + 1, 0
         if start < batch.num_rows:

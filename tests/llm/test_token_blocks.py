@@ -72,17 +72,28 @@ def test_words_give_the_ids_of_whole_texts(monkeypatch):
     whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
     for bound in (700_000, 1):
         monkeypatch.setattr(B, "CACHED_WORDS", bound)
-        assert [encoder.encode([t])[0].tolist() for t in [*TEXTS, *TEXTS]] == [*whole, *whole]
-        assert [ids.tolist() for ids in encoder.encode([*TEXTS, *TEXTS])] == [*whole, *whole]
-        assert encoder.count(TEXTS) == list(map(len, whole))
-    assert encoder.encode([None])[0].tolist() == [] and encoder.encode([]) == []
+        assert [encoder.encode(pa.array([t]))[0].tolist() for t in [*TEXTS, *TEXTS]] == [*whole, *whole]
+        assert [ids.tolist() for ids in encoder.encode(pa.array([*TEXTS, *TEXTS]))] == [*whole, *whole]
+        assert encoder.count(pa.array(TEXTS)).tolist() == list(map(len, whole))
+    assert encoder.encode(pa.array([None], pa.string()))[0].tolist() == []
+    assert encoder.encode(pa.array([], pa.string())) == []
+
+
+def test_words_stay_right_after_rare_ones_are_forgotten(monkeypatch):
+    monkeypatch.setattr(B, "CACHED_WORDS", 40)
+    encoder = B.WordEncoder(B.default_tokenizer())
+    for i in range(60):
+        texts = [f"common words here wordno{i} x{i * i}", f"again common other{i % 7}, ende"]
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids.tolist() for ids in encoder.encode(pa.array(texts))] == want
+    assert "common" in encoder.places and len(encoder.places) < 60
 
 
 def test_documents_come_back_in_order(spark, edge):
     got = B.read_token_files(B.write_token_files(edge)).collect()
     encoder = B.WordEncoder(B.default_tokenizer())
     want = sorted(
-        (-1 if r.doc_id is None else r.doc_id, zlib.crc32(np.append(encoder.encode([r.text])[0], 2).astype("<u4").tobytes()))
+        (-1 if r.doc_id is None else r.doc_id, zlib.crc32(np.append(encoder.encode(pa.array([r.text], pa.string()))[0], 2).astype("<u4").tobytes()))
         for r in edge.collect()
     )
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids_crc32) for r in got) == want
