@@ -135,7 +135,9 @@ class WordEncoder:
         """
         if len(self.places) > CACHED_WORDS:
             self._forget_rare()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # taken as a copy: ascii_lower reads slices of large strings from the wrong place
+        texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+        texts = pc.fill_null(texts, "")
         special = pc.match_substring(texts, "<|")  # lower-cased, these could make a special token
         texts = pc.if_else(special, texts, pc.ascii_lower(texts))
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")

@@ -75,6 +75,10 @@ def test_words_give_the_ids_of_whole_texts(monkeypatch):
         assert [encoder.encode(pa.array([t]))[0].tolist() for t in [*TEXTS, *TEXTS]] == [*whole, *whole]
         assert [ids.tolist() for ids in encoder.encode(pa.array([*TEXTS, *TEXTS]))] == [*whole, *whole]
         assert encoder.count(pa.array(TEXTS)).tolist() == list(map(len, whole))
+    for i in range(len(TEXTS)):
+        for kind in (pa.string(), pa.large_string()):
+            got = encoder.encode(pa.array([*TEXTS, None], kind).slice(i))
+            assert [ids.tolist() for ids in got] == [*whole[i:], []]
     assert encoder.encode(pa.array([None], pa.string()))[0].tolist() == []
     assert encoder.encode(pa.array([], pa.string())) == []
 
