@@ -57,17 +57,19 @@ def refresh(
     lanes_path: str,
     catalog: bool = False,
     na_values: Iterable[str] = (),
+    multi_line: bool = False,
 ) -> Planning:
     """Rebuild all tables under ``target`` from the extracts under ``source``.
 
     Every table is written once and read back, so each step starts from stored data and a lost
     executor costs no more than the step at hand. Running it again replaces the same tables.
+    ``multi_line`` reads extracts with line breaks inside quoted fields.
     """
     tune(spark)
     tables = Tables(spark, target, catalog)
     bronze = {
         table: tables.write(table, df, EXTRACTS[table])
-        for table, df in read_extracts(spark, source, na_values).items()
+        for table, df in read_extracts(spark, source, na_values, multi_line).items()
     }
     missing = sorted(set(STAGING) - set(bronze))
     if missing:

@@ -7,19 +7,21 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from runout.functions.columns import lower_names
 from runout.sources.schemas import EXTRACTS
 
-# <anything>/<TABLE>_<stamp>.csv, either one file or a folder of part files
-EXTRACT_PATH = r"^(.*/([^/_]+)_([^/]*)\.csv)(?:/.*)?$"
+# <anything>/<TABLE>.csv or <TABLE>_<stamp>.csv, either one file or a folder of part files: the table is
+# what stands before the first underscore
+EXTRACT_PATH = r"^(.*?/([^/_]*)(?:_([^/]*))?\.csv)(?:/.*)?$"
 
 
 def extract_latest(spark: SparkSession, root: str) -> DataFrame:
-    """The extract to load per table: ``(table_name, stamp, path)``.
+    """The extract to load per table: ``(table_name, stamp, path)``; the stamp may be empty.
 
-    Searches ``root`` recursively. With several extracts of a table the lexicographically last one
-    counts. The listing reads no file contents.
+    Searches ``root`` recursively. With several extracts of a table the one with the lexicographically
+    last path counts. The listing reads no file contents. Files whose name begins with an underscore
+    or a dot are hidden, as everywhere in Spark; every other ``.csv`` is listed.
     """
     files = (
         spark.read.format("binaryFile")
@@ -34,7 +36,6 @@ def extract_latest(spark: SparkSession, root: str) -> DataFrame:
             F.regexp_extract("path", EXTRACT_PATH, 3).alias("stamp"),
             F.regexp_extract("path", EXTRACT_PATH, 1).alias("path"),
         )
-        .where("table_name <> ''")
         .groupBy("table_name")
         .agg(F.max_by("stamp", "path").alias("stamp"), F.max("path").alias("path"))
     )
@@ -53,21 +54,33 @@ def bronze_read(
     NULL, an undeclared one is an error. Empty fields are NULL, quoted or not, and so are those
     that equal one of ``na_values``. ``multi_line`` allows line breaks inside quoted fields, at the
     price of files that cannot be split.
+
+    Nothing is dropped or moved in silence: part files must all have the header of the first, and a
+    row with more or fewer fields than the header, as half a row is after a line break, is an error.
     """
     declared = EXTRACTS[table].fieldNames()
-    raw = lower_names(
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    unknown = sorted(set(raw.columns) - set(declared))
+
+    def reader():
+        options = {"header": True, "escape": '"', "multiLine": multi_line}
+        return spark.read.options(**options)
+
+    header = reader().csv(path).columns
+    names = [c.lower() for c in header]
+    unknown = sorted(set(names) - set(declared))
     if unknown:
         raise ValueError(f"{table}: columns not in the declared schema: {unknown}")
     missing = ["", *na_values]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    raw = (
+        reader()
+        .options(mode="FAILFAST", enforceSchema=False, columnPruning=False)
+        .schema(schema)
+        .csv(path)
+        .toDF(*names)
+    )
 
     def cleaned(name: str):
-        if name not in raw.columns:
+        if name not in names:
             return F.lit(None).cast("string")
         return F.when(~F.col(name).isin(missing), F.col(name))
 
@@ -77,7 +90,7 @@ def bronze_read(
 def read_extracts(
     spark: SparkSession, root: str, na_values: Iterable[str] = (), multi_line: bool = False
 ) -> dict[str, DataFrame]:
-    """The latest extract of every table under ``root``.
+    """The latest extract of every table under ``root``; a file of no declared table is an error.
 
     Collects one path per table, at most as many as there are declared tables.
     """
