@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LOG = T.StructType([T.StructField("version", T.LongType())])
+
 LAYERS = ("bronze", "staging", "intermediate", "analytics")
 
 
@@ -26,9 +33,13 @@ def assert_schema(name: str, df: DataFrame, schema: T.StructType) -> None:
 
 
 class Tables:
-    """Parquet tables under ``<root>/<layer>/<name>``, replaced whole by every write.
+    """Parquet tables below ``<root>/<layer>/<name>``, replaced whole by every write.
 
-    With ``catalog`` they are metastore tables ``<layer>.<name>`` as well. Staging is views only.
+    A write puts its rows into a new version folder and then appends that version to the table's log,
+    a folder of one-row files. The commit of that one file is the switch: until then readers see the former
+    version, afterwards the new one, and never none. The version before the former is emptied, so that a
+    reader that has just begun on the former one can finish. With ``catalog`` the tables are metastore
+    tables ``<layer>.<name>`` as well, whose location is switched. Staging is views only.
     """
 
     def __init__(self, spark: SparkSession, root: str, catalog: bool = False):
@@ -36,41 +47,61 @@ class Tables:
         self.root = root.rstrip("/")
         self.catalog = catalog
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{layer_of(name)}/{name}"
+    def path(self, name: str, version: int) -> str:
+        return f"{self.root}/{layer_of(name)}/{name}/version={version}"
+
+    def _log(self, name: str) -> str:
+        return f"{self.root}/_log/{name}"
+
+    def versions(self, name: str) -> list[int]:
+        """Finished versions, the current one last; none if the table was never written."""
+        try:
+            log = self.spark.read.schema(LOG).parquet(self._log(name))
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        return sorted(r.version for r in log.collect())
 
     def write(self, name: str, df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
         """Replace a table and return it as stored; writing the same rows again changes nothing.
 
-        The rows are written aside and moved into place when they are complete, so that a failed
-        job leaves the former table as it was.
+        A job that fails, at any point, leaves the former table as it was.
         """
         if schema is not None:
             assert_schema(name, df, schema)
-        aside = f"{self.root}/_incoming/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(aside)
-        self._move(aside, self.path(name))
-        self.spark.catalog.refreshByPath(self.path(name))
+        before = self.versions(name)
+        version = max([time.time_ns(), *(v + 1 for v in before)])
+        df.write.parquet(self.path(name, version))
+        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"))
+        row.coalesce(1).write.mode("append").parquet(self._log(name))
         if self.catalog:
-            layer = layer_of(name)
-            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
-            self.spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
-            self.spark.catalog.createTable(f"{layer}.{name}", self.path(name), "parquet")
+            self._register(name, version, df.schema)
+        for old in before[-2:-1]:
+            df.limit(0).write.mode("overwrite").parquet(self.path(name, old))
         return self.read(name)
 
-    def _move(self, source: str, target: str) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        source_path, target_path = hadoop(source), hadoop(target)
-        fs = target_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.mkdirs(target_path.getParent())
-        fs.delete(target_path, True)
-        if not fs.rename(source_path, target_path):
-            raise OSError(f"could not move {source} to {target}")
+    def _register(self, name: str, version: int, schema: T.StructType) -> None:
+        layer, path = layer_of(name), self.path(name, version)
+        table = f"{layer}.{name}"
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
+        if self.spark.catalog.tableExists(table) and self.spark.table(table).dtypes == [
+            (f.name, f.dataType.simpleString()) for f in schema
+        ]:
+            self.spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+            self.spark.catalog.refreshTable(table)
+        else:  # new, or with other columns
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            self.spark.catalog.createTable(table, path, "parquet")
 
     def read(self, name: str) -> DataFrame:
+        """The current version of a table."""
         if self.catalog:
             return self.spark.table(f"{layer_of(name)}.{name}")
-        return self.spark.read.parquet(self.path(name))
+        versions = self.versions(name)
+        if not versions:
+            raise FileNotFoundError(f"no table {name} under {self.root}")
+        return self.spark.read.parquet(self.path(name, versions[-1]))
 
     def view(self, name: str, df: DataFrame) -> DataFrame:
         """Staging frames stay unmaterialised, under their name as a temporary view."""
@@ -81,9 +112,17 @@ class Tables:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder for intermediate files, in the shared folder the cluster names.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in local tests, is a local one made.
+    That is ``spark.checkpoint.dir``. Only a local master may go without: it gets a temporary folder.
+    On a file system that the driver sees the folder is removed when the process ends; in other stores
+    the lifecycle rule of the shared folder does that.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/runout-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="runout-")
+        folder = f"{shared.rstrip('/')}/runout-{uuid.uuid4().hex}"
+    elif spark.sparkContext.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="runout-")
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if folder.startswith(("/", "file:")):
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
+    return folder

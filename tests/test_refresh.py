@@ -7,7 +7,8 @@ from runout.operators import quality
 from runout.operators.staging import STAGING
 from runout.plans.queries import planning
 from runout.plans.refresh import refresh
-from runout.sources.order_tables import PARAMS
+from runout.fixtures.order_tables import PARAMS
+from runout.sources.sinks import Tables
 
 
 @pytest.fixture(scope="module")
@@ -36,18 +37,19 @@ def test_refresh_twice(spark, run):
         assert got.count() == want.count()
         assert got.exceptAll(want).count() == 0
 
-    stored = spark.read.parquet(f"{target}/analytics/mart_inventory_simulation")
+    tables = Tables(spark, target)
+    stored = tables.read("mart_inventory_simulation")
     assert stored.count() == 121 * plan.shortage_report.count()
     assert stored.exceptAll(direct.inventory_simulation.select(stored.columns)).count() == 0
 
-    tests = spark.read.parquet(f"{target}/analytics/mart_model_tests").collect()
+    tests = tables.read("mart_model_tests").collect()
     assert len(tests) == 29
     failed = {r.rule for r in tests if r.n_violations}
     assert failed == set()
 
     audit = {
         r.table_name: r.n_rows
-        for r in spark.read.parquet(f"{target}/bronze/load_audit").collect()
+        for r in tables.read("load_audit").collect()
     }
     assert audit["EKET"] == direct.extracts["EKET"].count()
     assert audit["total"] == sum(n for t, n in audit.items() if t != "total")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runout.sources.extracts import bronze_read, extract_latest, load_audit, read_extracts
 from runout.sources.lanes import lane_matrix, read_lanes
 from runout.sources.schemas import EXTRACTS, LANES
-from runout.sources.sinks import Tables
+from runout.sources.sinks import Tables, scratch_folder
 
 
 def put(root, path, content):
@@ -65,6 +65,42 @@ def test_undeclared_names_are_errors(spark, root):
         read_extracts(spark, root)
 
 
+def test_names_without_a_stamp_are_loaded(spark, tmp_path):
+    put(tmp_path, "KNA1.csv", "KUNNR,LAND1\n0000000007,DE\n")
+    put(tmp_path, "x/MARA.csv/part-0.csv", "matnr\n1\n")
+    put(tmp_path, "LFA1.csv", "lifnr\nold\n")
+    put(tmp_path, "LFA1_2000_01.csv", "lifnr\nnew\n")
+    got = read_extracts(spark, str(tmp_path))
+    assert got["KNA1"].select("kunnr", "land1").first() == ("0000000007", "DE")
+    assert got["MARA"].count() == 1
+    assert [r.lifnr for r in got["LFA1"].collect()] == ["new"]
+
+
+@pytest.mark.parametrize("name", ["notes.csv", "lfa1_1.csv", "deep/notes_1.csv/part-0.csv"])
+def test_files_of_no_table_are_errors(spark, root, name):
+    put(root, name, "a\n1\n")
+    with pytest.raises(ValueError, match="undeclared"):
+        read_extracts(spark, root)
+
+
+def test_part_files_with_another_header_are_errors(spark, root):
+    put(root, "EKKO/EKKO_1.csv/part-0.csv", "lifnr,ebeln\n0000000001,1\n")
+    path = put(root, "EKKO/EKKO_1.csv/part-1.csv", "ebeln,lifnr\n2,0000000002\n")
+    with pytest.raises(Exception, match="header"):
+        bronze_read(spark, "EKKO", os.path.dirname(path)).collect()
+
+
+@pytest.mark.parametrize(
+    "rows", ["1,x,extra\n", "1\n", '1,"broken\nin two"\n', '"00\n1",x\n'], ids=["more", "fewer", "quoted", "first"]
+)
+@pytest.mark.parametrize("read", ["all", "one column", "count"])
+def test_rows_that_do_not_fit_the_header_are_errors(spark, root, rows, read):
+    path = put(root, "EKKO/EKKO_1.csv", f"ebeln,ekorg\n0,y\n{rows}")
+    df = bronze_read(spark, "EKKO", path)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        {"all": df.collect, "one column": df.select("ebeln").collect, "count": df.count}[read]()
+
+
 def test_multi_line_fields(spark, root):
     path = put(root, "EKKO/EKKO_1.csv", 'ebeln,ekorg\n1,"10\n00"\n')
     assert bronze_read(spark, "EKKO", path, multi_line=True).first().ekorg == "10\n00"
@@ -94,6 +130,37 @@ def test_refresh_replaces_the_table(spark, root, tmp_path, catalog):
         assert spark.table("bronze.LFA1").count() == 1
 
 
+def test_a_failed_switch_keeps_the_old_rows(spark, frame, tmp_path, monkeypatch):
+    """Rows that are written but not yet in the log do not exist; former readers can finish."""
+    tables = Tables(spark, str(tmp_path))
+    first = tables.write("x", frame("a int", [(1,)]))
+    monkeypatch.setattr(Tables, "_log", lambda self, name: f"{self.root}/nowhere\0")
+    with pytest.raises(Exception):  # noqa: B017 - whatever the file system says
+        tables.write("x", frame("a int", [(2,), (3,)]))
+    monkeypatch.undo()
+    assert [r.a for r in tables.read("x").collect()] == [1]
+    assert tables.write("x", frame("a int, b int", [(4, 5)])).collect() == [(4, 5)]
+    assert [r.a for r in first.collect()] == [1]
+    assert len(tables.versions("x")) == 2
+    with pytest.raises(FileNotFoundError, match="never"):
+        tables.read("never")
+
+
+def test_scratch_folders_are_shared_or_local():
+    shared = {}
+
+    class Elsewhere:
+        conf = type("Conf", (), {"get": lambda self, key, default: shared.get(key, default)})()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_folder(Elsewhere)
+    Elsewhere.sparkContext.master = "local[2]"
+    assert os.path.isdir(scratch_folder(Elsewhere))
+    shared["spark.checkpoint.dir"] = "hdfs://store/shared/"
+    assert scratch_folder(Elsewhere).startswith("hdfs://store/shared/runout-")
+
+
 def test_lanes_keep_leading_zeros(spark, tmp_path):
     path = put(tmp_path, "seed.csv", "lifnr,ekorg,werks,transit_time_days\n0000000001,1000,0100,3\n")
     lanes = read_lanes(spark, path)
