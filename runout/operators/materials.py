@@ -21,6 +21,21 @@ MATERIAL_COLUMNS = [
     "purchasing_group",
 ]
 
+# The columns of the stock context, in order, before the stock columns.
+CONTEXT_COLUMNS = [
+    "marc_id",
+    "material_number",
+    "plant",
+    "gr_processing_days",
+    "safety_stock",
+    "procurement_type",
+    "mrpc",
+    "reorder_point",
+    "abc_indicator",
+    "planned_delivery_days",
+    "purchasing_group",
+]
+
 # stock column of the context -> stock bucket summed over the storage locations
 STOCK_BUCKETS = {
     "available_stock": "unrestricted_stock",
@@ -38,9 +53,6 @@ def material_stock_context(materials: DataFrame, mard: DataFrame) -> DataFrame:
     stock = mard.groupBy("material_number", "plant").agg(
         *[F.sum(bucket).alias(name) for name, bucket in STOCK_BUCKETS.items()]
     )
-    kept = ["marc_id", "material_number", "plant", "gr_processing_days", "safety_stock"]
-    kept += [c for c in MATERIAL_COLUMNS if c not in kept and c != "mrpc"]
-    kept.insert(kept.index("procurement_type") + 1, "mrpc")
     return materials.join(stock, ["material_number", "plant"], "left").select(
-        *kept, *[zero_if_null(name).alias(name) for name in STOCK_BUCKETS]
+        *CONTEXT_COLUMNS, *[zero_if_null(name).alias(name) for name in STOCK_BUCKETS]
     )
