@@ -320,29 +320,29 @@ def top_share(df: DataFrame, key: str, qty: Column, parts: int = 5) -> DataFrame
             F.shiftright("v", shift).alias("digit"),
             F.shiftright("v", min(shift + 16, 63)).alias("prefix"),
         )
+        # the one row of the cut is joined once and goes along with the counts: a step adds one
+        # reader of the keys to the plan, not a second copy of all steps before it
         counts = (
-            inside.join(F.broadcast(cut.select("prefix")), "prefix", "left_semi")
+            inside.join(F.broadcast(cut), "prefix")
             .groupBy("prefix", "digit")
-            .agg(F.count("*").alias("n"), F.sum("qty").alias("s"))
+            .agg(
+                F.count("*").alias("n"),
+                F.sum("qty").alias("s"),
+                *[F.first(c).alias(c) for c in ("keys", "total_qty", "top_keys", "wanted", "above")],
+            )
             .withColumn("upto_n", F.sum("n").over(by_digit))
             .withColumn("upto_s", F.sum("s").over(by_digit))
         )
         passing = (F.col("upto_n") >= F.col("wanted")) & (
             F.col("upto_n") - F.col("n") < F.col("wanted")
         )
-        cut = (
-            counts.join(F.broadcast(cut), "prefix")
-            .where(passing)
-            .select(
-                "keys",
-                "total_qty",
-                "top_keys",
-                (F.col("wanted") - (F.col("upto_n") - F.col("n"))).alias("wanted"),
-                (F.col("above") + F.col("upto_s") - F.col("s"))
-                .cast("decimal(38,2)")
-                .alias("above"),
-                F.col("digit").alias("prefix"),
-            )
+        cut = counts.where(passing).select(
+            "keys",
+            "total_qty",
+            "top_keys",
+            (F.col("wanted") - (F.col("upto_n") - F.col("n"))).alias("wanted"),
+            (F.col("above") + F.col("upto_s") - F.col("s")).cast("decimal(38,2)").alias("above"),
+            F.col("digit").alias("prefix"),
         )
     # what is left wanted all has the quantity the digits spell
     smallest = (F.col("prefix") - offset).cast("decimal(20,0)") / 100

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runout.functions.calendar import add_working_days
@@ -42,17 +42,25 @@ def with_lane(orders: DataFrame, lanes: DataFrame) -> DataFrame:
     return orders.join(lanes, ["vendor_number", "plant", "purchasing_org"], "left")
 
 
-def po_transit_quota(orders: DataFrame, lanes: DataFrame, shares: DataFrame) -> DataFrame:
-    """Order items with the transit time of their lane and the vendor's quota share.
+def po_transit_quota(
+    orders: DataFrame, lanes: DataFrame, plants: DataFrame, shares: DataFrame
+) -> DataFrame:
+    """Order items with the transit time of their lane, its calendar and the vendor's quota share.
 
-    Several active arrangements for one (material, plant, vendor) are reduced to the largest share
-    first, so the join cannot multiply order items.
+    ``lanes`` are the bare ``lane_days``: one projection of a stored table, whose size Spark knows, so
+    that it broadcasts them while they are small and order items are not shuffled by their few lanes.
+    The calendar belongs to the plant and is attached afterwards, where there is a lane. Several active
+    arrangements for one (material, plant, vendor) are reduced to the largest share first, so the
+    join cannot multiply order items.
     """
     share = shares.groupBy("material_number", "plant", "vendor_number").agg(
         F.max("quote_percent").alias("quote_percent")
     )
+    calendars = plants.select("plant", "factory_calendar_key")
+    with_days = with_lane(orders, lanes.withColumn("has_lane", F.lit(True)))
     return (
-        with_lane(orders, lanes.drop("vendor_name", "country", "plant_name"))
+        with_days.join(calendars, "plant", "left")
+        .withColumn("factory_calendar_key", F.when(F.col("has_lane"), F.col("factory_calendar_key")))
         .join(share, ["material_number", "plant", "vendor_number"], "left")
         .select(*orders.columns, "transit_time_days", "factory_calendar_key", "quote_percent")
     )
@@ -165,32 +173,51 @@ def open_schedule(lines: DataFrame, vendors: DataFrame) -> DataFrame:
     )
 
 
-def late_shipment(lines: DataFrame, future_deliveries: DataFrame, p: Params) -> DataFrame:
-    """How much of each open line is covered by deliveries announced for no later than its day.
+def running_announced(future_deliveries: DataFrame) -> DataFrame:
+    """Per (material, vendor): the days with announced deliveries, and what has arrived by each.
 
-    The as-of side is small: deliveries are summed per (material, vendor, day) and folded into one
-    list per (material, vendor), which holds at most one entry per working day between the
-    anchor and the end of the calendar. The lines then meet that list in a plain equi-join, so
-    Spark can broadcast it or split a hot key, and no group of lines is ever gathered. NULL keys or
-    days match nothing. One delivery may cover several lines.
+    Deliveries are summed per day before anything is gathered, so the window and the two arrays hold at
+    most one entry per working day between the anchor and the end of the calendar.
     """
     daily = (
-        future_deliveries.where("marc_id IS NOT NULL AND vendor_number IS NOT NULL")
-        .groupBy("marc_id", "vendor_number", "planned_availability_date")
+        future_deliveries.where(
+            "marc_id IS NOT NULL AND vendor_number IS NOT NULL AND planned_availability_date IS NOT NULL"
+        )
+        .groupBy("marc_id", "vendor_number", F.col("planned_availability_date").alias("day"))
         .agg(F.sum("delivery_quantity").alias("qty"))
     )
-    announced = daily.groupBy("marc_id", "vendor_number").agg(
-        F.collect_list(
-            F.struct(F.col("planned_availability_date").alias("day"), F.col("qty"))
-        ).alias("announced")
+    so_far = (
+        Window.partitionBy("marc_id", "vendor_number")
+        .orderBy("day")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    quantity = daily.schema["qty"].dataType
-    due_by_then = F.filter("announced", lambda a: a["day"] <= F.col("planned_availability_date"))
-    covered = F.aggregate(
-        due_by_then,
-        F.lit(0).cast(quantity),
-        lambda total, a: (total + F.coalesce(a["qty"], F.lit(0))).cast(quantity),
+    total = F.sum("qty").over(so_far).cast(daily.schema["qty"].dataType)
+    steps = F.sort_array(F.collect_list(F.struct("day", "total")))
+    return (
+        daily.select("marc_id", "vendor_number", "day", total.alias("total"))
+        .groupBy("marc_id", "vendor_number")
+        .agg(steps.alias("steps"))
+        .select(
+            "marc_id",
+            "vendor_number",
+            F.col("steps.day").alias("days"),
+            F.col("steps.total").alias("totals"),
+        )
     )
+
+
+def late_shipment(lines: DataFrame, future_deliveries: DataFrame, p: Params) -> DataFrame:
+    """How much of each open line is covered by deliveries announced for no later than its day.
+
+    The as-of side is small: running totals per (material, vendor), one entry per day with a delivery.
+    Lines meet it in a plain equi-join, so Spark can broadcast it or split a hot key, and no group of
+    lines is ever gathered. A line's total is the one before the place that the day after its own takes
+    among the days. NULL keys or days match nothing. One delivery may cover several lines.
+    """
+    announced = running_announced(future_deliveries)
+    day_after = F.date_add("planned_availability_date", 1)
+    place = F.array_position(F.sort_array(F.array_append("days", day_after)), day_after)
+    covered = F.get("totals", (place - 2).cast("int"))
     still_due = F.col("open_quantity") - F.col("cumulative_asn_qty")
     arrives_by = F.date_add("delivery_date", F.coalesce(F.col("transit_time_days"), F.lit(0)))
     late = (arrives_by >= p.today) & (F.col("order_qty_due") > 0)

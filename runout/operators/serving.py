@@ -20,13 +20,9 @@ def shortage_ranked(report: DataFrame) -> DataFrame:
     )
 
 
-def simulation_for_material(simulation: DataFrame, selected: str | DataFrame) -> DataFrame:
-    """The projection of one material, given by id or by a frame holding the selected ``marc_id``."""
-    if isinstance(selected, DataFrame):
-        chosen = simulation.join(selected.select("marc_id"), "marc_id", "left_semi")
-    else:
-        chosen = simulation.where(F.col("marc_id") == selected)
-    return chosen.orderBy("marc_id", "calendar_date")
+def simulation_for_material(simulation: DataFrame, marc_id: str) -> DataFrame:
+    """The projection of one material."""
+    return simulation.where(F.col("marc_id") == marc_id).orderBy("calendar_date")
 
 
 def vendors_ranked(vendors: DataFrame) -> DataFrame:

@@ -78,36 +78,31 @@ def supply_context(
 def supply_gap_fill(dated: DataFrame, index: DataFrame, p: Params) -> DataFrame:
     """Zero rows for the horizon days on which an ordered (material, vendor) pair has no supply.
 
-    Takes any frame with supply type, parties and available day. Each pair keeps the set of its
-    supplied days (at most the horizon's length), and the missing days are exploded from that set:
-    the pairs-by-days grid is never joined or shuffled. A delivery on a day also blocks the fill,
-    and an unknown vendor's days block nothing.
+    Takes any frame with supply type, parties and available day. Parties and days are reduced to
+    distinct rows map-side; only then are a pair's days (at most the horizon's length) gathered, and
+    the missing ones are exploded from them: the pairs-by-days grid is never joined or shuffled. A
+    delivery on a day also blocks the fill, an unknown vendor's or material's days block nothing, and
+    parties without a plant have no calendar and so no days.
     """
     day = F.col("planned_availability_date")
-    is_ordered = F.col("supply_type") == ORDERED
-    grid = F.sequence(F.lit(p.anchor), F.lit(p.grid_end))
+    pair = ["marc_id", "vendor_number"]
+    in_horizon = day.between(p.today, F.lit(p.grid_end))
+    supplied = (
+        dated.where(in_horizon & F.col("marc_id").isNotNull() & F.col("vendor_number").isNotNull())
+        .select(*pair, day.alias("day"))
+        .distinct()
+        .groupBy(*pair)
+        .agg(F.collect_list("day").alias("supplied"))
+    )
+    parties = dated.where((F.col("supply_type") == ORDERED) & F.col("plant").isNotNull())
+    nobody = F.array().cast("array<date>")
     pairs = (
-        dated.groupBy("marc_id", "vendor_number")
-        .agg(
-            F.collect_set(F.when(day.between(p.today, F.lit(p.grid_end)), day)).alias("supplied"),
-            F.collect_set(
-                F.when(
-                    is_ordered, F.struct("material_number", "plant", "vendor_name", "country")
-                )
-            ).alias("parties"),
-        )
-        .select(
-            "marc_id",
-            "vendor_number",
-            F.when(
-                F.col("vendor_number").isNull() | F.col("marc_id").isNull(),
-                F.array().cast("array<date>"),
-            )
-            .otherwise(F.col("supplied"))
-            .alias("supplied"),
-            F.inline("parties"),
-        )
+        parties.select(*PARTIES)
+        .distinct()
+        .join(supplied, pair, "left")
+        .withColumn("supplied", F.coalesce("supplied", nobody))
     )
+    grid = F.sequence(F.lit(p.anchor), F.lit(p.grid_end))
     nothing = {
         "fulfill_qty": OPEN_QTY,
         "available_stock": "decimal(20,2)",

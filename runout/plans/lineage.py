@@ -26,6 +26,7 @@ from runout.operators import (
     vendors,
 )
 from runout.params import Params
+from runout.sources.sinks import scratch_folder
 
 Keep = Callable[[str, DataFrame], DataFrame]
 
@@ -120,7 +121,9 @@ class Planning:
     def po_transit_quota(self) -> DataFrame:
         return self.keep(
             "int_purchasing_document_tt",
-            purchasing.po_transit_quota(self.po_active, self.transit_time, self.quota_share),
+            purchasing.po_transit_quota(
+                self.po_active, quota.lane_days(self.lanes), self.stg("T001W"), self.quota_share
+            ),
         )
 
     @cached_property
@@ -260,9 +263,21 @@ class Planning:
 
     @cached_property
     def detail_supply(self) -> DataFrame:
-        return self.keep(
-            "mart_detail_supply", supply.detail_supply(self.supply_context, self.supply_gap_fill)
-        )
+        """Supply and the days without any, both from one frame.
+
+        The context, a few joins of every line, is far smaller than the mart. It is stored before its
+        two readers unless a refresh has done so: in the scratch folder, when the mart is composed.
+        """
+        if self.stored:
+            return self.keep(
+                "mart_detail_supply", supply.detail_supply(self.supply_context, self.supply_gap_fill)
+            )
+        context = self.supply_context
+        path = scratch_folder(context.sparkSession)
+        context.write.parquet(path)
+        context = context.sparkSession.read.schema(context.schema).parquet(path)
+        fill = supply.supply_gap_fill(context, self.calendar_index, self.params)
+        return supply.detail_supply(context, fill)
 
     @cached_property
     def consumption(self) -> DataFrame:

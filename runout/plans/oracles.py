@@ -198,9 +198,11 @@ RELATIONS = {
         SELECT plant, factory_calendar_key, day AS calendar_date,
                CAST(isodow(day) < 6 AS INTEGER) AS is_workingday,
                day + CASE isodow(day) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS jump_to_wd_date,
-               (SELECT COUNT(*) FROM workday w WHERE w.day <= d.day) AS technical_day_number
-        FROM stg_t001w CROSS JOIN days d""",
-    "plant_in_use": "SELECT DISTINCT plant FROM stg_marc",
+               technical_day_number
+        FROM stg_t001w CROSS JOIN (
+            SELECT day, COUNT(CASE WHEN isodow(day) < 6 THEN 1 END) OVER (ORDER BY day)
+                       AS technical_day_number
+            FROM days) d""",
     # -- planning relations
     "stock": """
         SELECT m.*, COALESCE(s.free, 0) AS available_stock, COALESCE(s.blocked, 0)
@@ -453,9 +455,15 @@ def _needed(sql: str, found: set[str]) -> set[str]:
 
 
 def statement(select: str) -> str:
-    """A select over the relations above, preceded by the ones it needs."""
+    """A select over the relations above, preceded by the ones it needs; those read twice are kept."""
     needed = _needed(select, set())
-    parts = [f"{name} AS ({sql})" for name, sql in RELATIONS.items() if name in needed]
+    readers = [select, *(RELATIONS[name] for name in needed)]
+
+    def shared(name: str) -> str:
+        reads = sum(len(re.findall(rf"\b{name}\b", sql)) for sql in readers)
+        return "MATERIALIZED " if reads > 1 else ""
+
+    parts = [f"{name} AS {shared(name)}({sql})" for name, sql in RELATIONS.items() if name in needed]
     return f"WITH {', '.join(parts)} {select}" if parts else select
 
 
@@ -618,7 +626,6 @@ _LEAST = {
     "KNA1": 100, "LFA1": 50,
 }
 
-PLANTS_IN_USE = "WHERE plant IN (SELECT plant FROM plant_in_use)"
 DOUBLES = "CAST({0} AS DOUBLE) AS {0}"
 
 ORACLES = {
@@ -642,30 +649,32 @@ ORACLES = {
         "SELECT reservation_number AS rsnum, reservation_item AS rspos, reservation_type AS rsart,"
         " material_number AS matnr, plant AS werks, CAST(required_quantity AS VARCHAR) AS bdmng,"
         " CAST(withdrawn_quantity AS VARCHAR) AS enmng, unit_of_measure AS meins,"
-        " strftime(requirement_date, '%Y%m%d') AS bddat FROM stg_resb"
+        " strftime(requirement_date, '%Y%m%d') AS bddat, "
+        + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in "mandt lgort aufnr vbeln kzear".split())
+        + " FROM stg_resb"
     ),
     "bronze_write": statement(
         "SELECT vendor_number AS lifnr, country AS land1, vendor_name AS name1, city AS ort01,"
         " region AS regio, strftime(created_date, '%Y%m%d') AS erdat,"
-        " payment_block_flag AS sperr FROM stg_lfa1"
+        " payment_block_flag AS sperr, "
+        + ", ".join(
+            f"CAST(NULL AS VARCHAR) AS {c}" for c in "mandt pstlz ktokk stcd1 ernam xcpdk".split()
+        )
+        + " FROM stg_lfa1"
     ),
     # staging
     **{
         f"stg_{t}": relation(f"stg_{t}")
-        for t in "eket ekko ekpo equk equp lfa1 likp lips marc mard resb vbak vbap vbbe vbup".split()
+        for t in "eket ekko ekpo equk equp lfa1 likp lips marc mard resb t001w tfact vbak vbap vbbe"
+        " vbup".split()
     },
-    "stg_t001w": relation("stg_t001w", PLANTS_IN_USE),
-    "stg_tfact": relation(
-        "stg_tfact",
-        f"WHERE calendar_id IN (SELECT factory_calendar_key FROM stg_t001w {PLANTS_IN_USE})",
-    ),
     # material context and calendar
     "material_base": relation("stg_marc"),
     "material_stock_context": relation("stock"),
-    "factory_calendar": relation("calendar", PLANTS_IN_USE),
+    "factory_calendar": relation("calendar"),
     "working_calendar": statement(
         "SELECT plant, factory_calendar_key, calendar_date, w.n AS working_day_index"
-        f" FROM calendar JOIN workday w ON w.day = calendar_date {PLANTS_IN_USE}"
+        " FROM calendar JOIN workday w ON w.day = calendar_date"
     ),
     "add_working_days": statement(
         "SELECT reservation_number, reservation_item, material_number, r.plant, requirement_date,"
@@ -749,8 +758,7 @@ ORACLES = {
     "shortage_ranked": relation("report"),
     "simulation_for_material": relation(
         "sim",
-        "WHERE marc_id = (SELECT marc_id FROM report"
-        " ORDER BY red_days_in_tt DESC, red_days DESC, marc_id LIMIT 1)",
+        "WHERE marc_id = '000000000000000001-1001'",
     ),
     "vendors_ranked": relation("vendor"),
     "consumption_trend": statement(

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runout.functions.calendar import add_working_days
-from runout.functions.columns import typed
 from runout.operators import demand, integrity, quality, serving
 from runout.plans.lineage import Planning
 from runout.session import tune
 from runout.sources import extracts as extract_files
-from runout.sources.lanes import lane_matrix
-from runout.sources.order_tables import (
+from runout.sources.lanes import lane_matrix, read_lanes
+from runout.fixtures.order_tables import (
     DAYS_FROM_NATION,
     DAYS_TO_PLANT,
     PARAMS,
@@ -25,6 +24,9 @@ from runout.sources.order_tables import (
 from runout.sources.schemas import EXTRACTS, LANES
 from runout.sources.sinks import Tables, scratch_folder
 
+# the material that the single-material look-up is asked for
+SHOWN_MATERIAL = "000000000000000001-1001"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -56,21 +58,12 @@ def edge(df: DataFrame) -> DataFrame:
     return df.select(columns)
 
 
-def _plants_in_use(p: Planning) -> DataFrame:
-    return p.stg("MARC").select("plant")
-
-
-def _calendar_keys_in_use(p: Planning) -> DataFrame:
-    return (
-        p.stg("T001W")
-        .join(_plants_in_use(p), "plant", "left_semi")
-        .select(F.col("factory_calendar_key").alias("calendar_id"))
-    )
-
-
 def _seed(p: Planning) -> DataFrame:
-    as_text = p.lanes.select([F.col(c).cast("string") for c in p.lanes.columns])
-    return typed(as_text, LANES)
+    """The lanes written as a seed file and read from it."""
+    spark = p.extracts.spark
+    path = f"{scratch_folder(spark)}/seed_transit_time.csv"
+    p.lanes.write.option("header", True).csv(path)
+    return read_lanes(spark, path)
 
 
 def _available_date(p: Planning) -> DataFrame:
@@ -92,12 +85,14 @@ def _available_date(p: Planning) -> DataFrame:
 
 
 def _stored_extracts(p: Planning, stamps: dict[str, list[str]]) -> str:
-    """Write extracts as CSV folders; all but the last stamp of a table are empty."""
+    """Write extracts as CSV folders; those before the last stamp of a table hold every row twice."""
     spark = p.extracts.spark
     root = scratch_folder(spark)
     for table, dates in stamps.items():
         for stamp in dates:
-            df = p.extracts[table] if stamp == dates[-1] else p.extracts[table].where("1 = 0")
+            df = p.extracts[table]
+            if stamp != dates[-1]:
+                df = df.unionAll(df)
             df.write.option("header", True).option("escape", '"').csv(
                 f"{root}/{table}/{table}_{stamp}.csv"
             )
@@ -116,9 +111,7 @@ def _extract_latest(p: Planning) -> DataFrame:
 
 def _bronze_read(p: Planning) -> DataFrame:
     root = _stored_extracts(p, {"RESB": ["20000103"]})
-    return extract_files.read_extracts(p.extracts.spark, root)["RESB"].select(
-        "rsnum", "rspos", "rsart", "matnr", "werks", "bdmng", "enmng", "meins", "bddat"
-    )
+    return extract_files.read_extracts(p.extracts.spark, root)["RESB"]
 
 
 def _bronze_write(p: Planning) -> DataFrame:
@@ -127,11 +120,7 @@ def _bronze_write(p: Planning) -> DataFrame:
     tables = Tables(spark, scratch_folder(spark))
     for _ in range(2):
         stored = tables.write("LFA1", p.extracts["LFA1"], EXTRACTS["LFA1"])
-    return stored.select("lifnr", "land1", "name1", "ort01", "regio", "erdat", "sperr")
-
-
-def _worst_material(p: Planning) -> DataFrame:
-    return serving.shortage_ranked(p.shortage_report).select("marc_id").limit(1)
+    return stored
 
 
 def _filter_options(p: Planning) -> DataFrame:
@@ -167,7 +156,7 @@ def model_tables(p: Planning, names: set[str]) -> dict[str, DataFrame]:
 
 
 STAGED = (
-    "EKET EKKO EKPO EQUK EQUP LFA1 LIKP LIPS MARC MARD RESB VBAK VBAP VBBE VBUP"
+    "EKET EKKO EKPO EQUK EQUP LFA1 LIKP LIPS MARC MARD RESB T001W TFACT VBAK VBAP VBBE VBUP"
 ).split()
 
 FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
@@ -180,19 +169,11 @@ FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
     "bronze_write": _bronze_write,
     # staging
     **{f"stg_{t.lower()}": (lambda p, t=t: p.stg(t)) for t in STAGED},
-    "stg_t001w": lambda p: p.stg("T001W").join(_plants_in_use(p), "plant", "left_semi"),
-    "stg_tfact": lambda p: p.stg("TFACT").join(
-        _calendar_keys_in_use(p), "calendar_id", "left_semi"
-    ),
     # material context and calendar
     "material_base": lambda p: p.material_base,
     "material_stock_context": lambda p: p.material_stock_context,
-    "factory_calendar": lambda p: p.factory_calendar.join(
-        _plants_in_use(p), "plant", "left_semi"
-    ),
-    "working_calendar": lambda p: p.working_calendar.join(
-        _plants_in_use(p), "plant", "left_semi"
-    ),
+    "factory_calendar": lambda p: p.factory_calendar,
+    "working_calendar": lambda p: p.working_calendar,
     "add_working_days": _available_date,
     # quota and transit time
     "quota_header_active": lambda p: p.quota_header_active,
@@ -234,7 +215,7 @@ FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
     # dashboard queries
     "shortage_ranked": lambda p: serving.shortage_ranked(p.shortage_report),
     "simulation_for_material": lambda p: serving.simulation_for_material(
-        p.inventory_simulation, _worst_material(p)
+        p.inventory_simulation, SHOWN_MATERIAL
     ),
     "vendors_ranked": lambda p: serving.vendors_ranked(p.vendor_performance),
     "consumption_trend": lambda p: serving.consumption_trend(p.consumption),

@@ -7,14 +7,15 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from runout.plans.queries import planning
+from runout.operators.purchasing import late_shipment
+from runout.plans.queries import QUERIES, planning, stored_planning
 
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [q for q in contract.queries() if q not in ("extract_latest",)])
+@pytest.mark.parametrize("name", [q for q in QUERIES if q != "extract_latest"])
 def test_no_cross_join_python_or_global_window(spark, name):
     plan = plan_of(contract.queries()[name](spark, SMALL))
     assert "CartesianProduct" not in plan
@@ -88,3 +89,35 @@ def test_scans_read_the_needed_columns_only(spark):
     assert schemas
     for schema in schemas:
         assert "l_extendedprice" not in schema and "l_discount" not in schema
+
+
+def test_order_items_are_not_shuffled_by_their_few_lanes(spark, tmp_path):
+    """Over stored extracts the lanes' size is known, so they are broadcast."""
+    plan = plan_of(stored_planning(spark, SMALL, str(tmp_path)).po_transit_quota)
+    for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan):
+        names = {re.sub(r"#\d+", "", k.strip()) for k in keys.split(",")}
+        assert not names >= {"vendor_number", "plant", "purchasing_org"}
+    large = without_broadcast(
+        spark, lambda: stored_planning(spark, SMALL, str(tmp_path)).po_transit_quota.select("*")
+    )
+    assert "Broadcast" not in large
+
+
+def test_coverage_has_no_lambda(spark):
+    p = planning(spark, SMALL)
+    lines, deliveries = (
+        spark.createDataFrame([], df.schema) for df in (p.open_schedule, p.future_deliveries)
+    )
+    plan = late_shipment(lines, deliveries, p.params)._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan
+
+
+def test_detail_supply_reads_its_context_once_composed(spark):
+    plan = plan_of(planning(spark, SMALL).detail_supply)
+    scanned = set(re.findall(r"FileScan parquet.*?Location: InMemoryFileIndex\([^)]*\)\[([^\]]*)\]", plan))
+    assert not any("lineitem" in path for path in scanned)
+
+
+def test_top_share_grows_by_a_constant_per_step(spark):
+    plan = plan_of(QUERIES["pareto_share"](spark, SMALL))
+    assert plan.count("FileScan") <= 6 and plan.count("BroadcastExchange") <= 5

@@ -153,16 +153,18 @@ def test_largest_share_and_slowest_vendor(frame):
         [(str(i), "M-1000", "M", "1000", v, "1000") for i, v in enumerate(["V1", "V1", "V2", "V3"])],
     )
     lanes = frame(
-        "vendor_number string, plant string, purchasing_org string, transit_time_days int,"
-        " factory_calendar_key string",
-        [("V1", "1000", "1000", 3, "01"), ("V2", "1000", "1000", 21, "01")],
+        "vendor_number string, plant string, purchasing_org string, transit_time_days int",
+        [("V1", "1000", "1000", 3), ("V2", "1000", "1000", 21)],
     )
+    plants = frame("plant string, factory_calendar_key string", [("1000", "01")])
     shares = frame(
         "material_number string, plant string, vendor_number string, quote_percent decimal(38,18)",
         [("M", "1000", "V1", Decimal("0.2")), ("M", "1000", "V1", Decimal("0.6"))],
     )
-    orders = po_transit_quota(po, lanes, shares)
+    orders = po_transit_quota(po, lanes, plants, shares)
     assert orders.count() == 4  # two shares for V1 do not double its items
+    keys = {(r["vendor_number"], r["factory_calendar_key"]) for r in as_dicts(orders)}
+    assert keys == {("V1", "01"), ("V2", "01"), ("V3", None)}  # no lane, no calendar
     got = {r["vendor_number"]: r for r in as_dicts(transit_quota(orders))}
     assert {v: r["transit_time_days"] for v, r in got.items()} == {"V1": 3, "V2": 21, "V3": None}
     assert {r["max_tt"] for r in got.values()} == {21}
