@@ -15,6 +15,7 @@ from runout.plans.lineage import Planning
 from runout.session import tune
 from runout.sources import extracts as extract_files
 from runout.sources.lanes import lane_matrix, read_lanes
+from runout.fixtures import faults
 from runout.fixtures.order_tables import (
     DAYS_FROM_NATION,
     DAYS_TO_PLANT,
@@ -234,35 +235,62 @@ FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
     "weekly_demand": lambda p: serving.weekly_demand(p.consumption),
     # model tests
     "dq_unique": lambda p: quality.dq_unique(
-        model_tables(p, set(quality.UNIQUE)), quality.UNIQUE
+        faults.repeated_tables(model_tables(p, set(quality.UNIQUE)), quality.UNIQUE),
+        quality.UNIQUE,
     ),
     "dq_not_null": lambda p: quality.dq_not_null(
-        model_tables(p, set(quality.NOT_NULL)), quality.NOT_NULL
+        faults.blanked_tables(model_tables(p, set(quality.NOT_NULL))), quality.NOT_NULL
     ),
     "dq_accepted_values": lambda p: quality.dq_accepted_values(
-        model_tables(p, {t for t, _ in quality.ACCEPTED_VALUES}), quality.ACCEPTED_VALUES
+        faults.unaccepted_tables(model_tables(p, {t for t, _ in quality.ACCEPTED_VALUES})),
+        quality.ACCEPTED_VALUES,
     ),
     "dq_unique_combo": lambda p: quality.dq_unique_combo(
-        model_tables(p, set(quality.UNIQUE_COMBINATIONS)), quality.UNIQUE_COMBINATIONS
+        faults.repeated_tables(
+            model_tables(p, set(quality.UNIQUE_COMBINATIONS)), quality.UNIQUE_COMBINATIONS
+        ),
+        quality.UNIQUE_COMBINATIONS,
+    ),
+    "dq_rate_range": lambda p: quality.dq_rate_range(
+        faults.changed(p.vendor_performance, "otd_rate", "vendor_number", F.lit(1.5))
+    ),
+    "dq_null_projection": lambda p: quality.dq_null_projection(
+        faults.changed(p.inventory_simulation, "simulated_inventory_qty", "marc_id")
+    ),
+    "dq_negative_transit": lambda p: quality.dq_negative_transit(
+        faults.changed(p.transit_quota, "max_tt", "marc_id", F.lit(-1))
+    ),
+    "dq_negative_red_days": lambda p: quality.dq_negative_red_days(
+        faults.changed(p.shortage_report, "red_days", "marc_id", F.lit(-1))
     ),
-    "dq_rate_range": lambda p: quality.dq_rate_range(p.vendor_performance),
-    "dq_null_projection": lambda p: quality.dq_null_projection(p.inventory_simulation),
-    "dq_negative_transit": lambda p: quality.dq_negative_transit(p.transit_quota),
-    "dq_negative_red_days": lambda p: quality.dq_negative_red_days(p.shortage_report),
     # extract checks
     "fk_orphans": lambda p: integrity.fk_orphans(p.extracts),
     "fk_orphans_composite": lambda p: integrity.fk_orphans_composite(p.extracts),
-    "pk_nulls": lambda p: integrity.pk_nulls(p.extracts),
+    "pk_nulls": lambda p: integrity.pk_nulls(
+        faults.Spoilt(p.extracts, faults.KEYS)
+    ),
     "pk_duplicates": lambda p: integrity.pk_duplicates(p.extracts),
-    "date_format": lambda p: integrity.date_format(p.extracts),
+    "date_format": lambda p: integrity.date_format(
+        faults.Spoilt(p.extracts, faults.DATES)
+    ),
     "id_length": lambda p: integrity.id_length(p.extracts),
-    "constant_value": lambda p: integrity.constant_value(p.extracts),
-    "over_receipt": lambda p: integrity.over_receipt(p.extracts),
-    "early_receipt": lambda p: integrity.early_receipt(p.extracts, PARAMS),
+    "constant_value": lambda p: integrity.constant_value(
+        faults.Spoilt(p.extracts, faults.CONSTANTS)
+    ),
+    "over_receipt": lambda p: integrity.over_receipt(
+        faults.Spoilt(p.extracts, faults.RECEIVED)
+    ),
+    "early_receipt": lambda p: integrity.early_receipt(
+        faults.Spoilt(p.extracts, faults.RECEIVED), PARAMS
+    ),
     "value_tolerance": lambda p: integrity.value_tolerance(p.extracts),
     "receipt_in_future": lambda p: integrity.receipt_in_future(p.extracts, PARAMS),
-    "asn_status_conflict": lambda p: integrity.asn_status_conflict(p.extracts),
-    "open_qty_positive": lambda p: integrity.open_qty_positive(p.extracts),
+    "asn_status_conflict": lambda p: integrity.asn_status_conflict(
+        faults.Spoilt(p.extracts, faults.ARRIVED)
+    ),
+    "open_qty_positive": lambda p: integrity.open_qty_positive(
+        faults.Spoilt(p.extracts, faults.NOT_OPEN)
+    ),
     "future_demand_share": lambda p: integrity.future_demand_share(p.extracts, PARAMS),
     "future_supply_count": lambda p: integrity.future_supply_count(p.extracts, PARAMS),
     "pareto_share": lambda p: integrity.pareto_share(p.extracts),

@@ -30,6 +30,19 @@ def test_query_agrees(spark, con, name):
     assert problem == ""
 
 
+CHECKS = (
+    "dq_unique dq_not_null dq_accepted_values dq_unique_combo dq_rate_range dq_null_projection"
+    " dq_negative_transit dq_negative_red_days pk_nulls date_format constant_value over_receipt"
+    " early_receipt asn_status_conflict open_qty_positive"
+).split()
+
+
+@pytest.mark.parametrize("name", CHECKS)
+def test_every_check_finds_its_faults(con, name):
+    counts = dict(con.execute(ORACLES[name]).fetchall())
+    assert all(counts.values()), counts
+
+
 def test_entry(spark):
     report = contract.entry(spark)
     assert {r.status for r in report.select("status").collect()} == {"Shortage", "No Shortage"}
