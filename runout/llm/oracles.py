@@ -54,16 +54,16 @@ WITH doc AS (
   SELECT doc_id, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
-         coalesce(n_lines, 0) AS n_lines,
+         coalesce(n_lines, 0) AS n_lines, length(text) AS chars,
          length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper_chars,
          length(regexp_replace(text, '[\p{L}\p{M}\s\x0B]', '', 'g')) AS other_chars
   FROM doc LEFT JOIN dup USING (doc_id) LEFT JOIN repeated USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 5 * word_chars
-            OR 100 * upper_chars > 50 * word_chars OR 100 * other_chars > 40 * word_chars
-            OR 100 * word_chars > 2500 * n_words OR 100 * n_dup_lines > 60 * n_lines) AS kept
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 4 * chars
+            OR 100 * upper_chars > 45 * chars OR 100 * other_chars > 35 * chars
+            OR chars > 26 * n_words OR 100 * n_dup_lines > 60 * n_lines) AS kept
 FROM base
 """
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +78,7 @@ def _repeat_words(words: Column, size: int) -> Column:
         return F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
 
     def covered(hashes: Column) -> Column:
-        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return let(pairs, _covered_words(size))
 
     def repeats(hashes: Column) -> Column:
@@ -99,7 +99,7 @@ def _covered_words(size: int) -> Callable[[Column], Column]:
             after = F.get(pairs, F.least(k + 1, last))["h"] == p["h"]
             return ((k > 0) & before) | ((k < last) & after)
 
-        return F.array_sort(F.transform(F.filter(pairs, twice), lambda p: p["i"]))
+        return F.sort_array(F.transform(F.filter(pairs, twice), lambda p: p["i"]))
 
     def length(places: Column) -> Column:
         end = F.size(places) - 1
@@ -111,46 +111,56 @@ def _covered_words(size: int) -> Callable[[Column], Column]:
     return lambda pairs: let(repeated(pairs), length)
 
 
+@dataclass(frozen=True)
+class Counts:
+    """What rules look at, as columns: expressions of the text, or counts that are there already."""
+
+    chars: Column
+    n_words: Column
+    n_symbols: Column
+    n_lines: Column
+    n_dup_lines: Column
+    n_repeat_words: Column
+    n_upper: Column
+    n_not_letters: Column
+
+    @classmethod
+    def of(cls, text: Column) -> Counts:
+        def kept(pattern: str) -> Column:
+            return F.coalesce(F.length(F.regexp_replace(text, pattern, "")), F.lit(0))
+
+        return cls(
+            chars=F.coalesce(F.length(text), F.lit(0)),
+            n_words=n_words(text),
+            n_symbols=n_symbols(text),
+            n_lines=F.coalesce(F.size(_lines(text)), F.lit(0)),
+            n_dup_lines=n_dup_lines(text),
+            n_repeat_words=n_repeat_words(text),
+            n_upper=kept(r"[^\p{Lu}]+"),
+            n_not_letters=kept(r"[\p{L}\p{M}\s]+"),
+        )
+
+
 @dataclass(frozen=True)
 class Rule:
     """A named condition under which a text is rejected."""
 
     name: str
-    rejects: Callable[[Column], Column]
-
-
-def _share_over(part: Callable[[Column], Column], whole: Callable[[Column], Column], percent: int):
-    return lambda text: 100 * part(text) > percent * whole(text)
-
-
-def _chars(text: Column) -> Column:
-    return F.coalesce(F.length(text), F.lit(0))
-
-
-def _n_lines(text: Column) -> Column:
-    return F.coalesce(F.size(_lines(text)), F.lit(0))
-
-
-def _upper(text: Column) -> Column:
-    return F.coalesce(F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")), F.lit(0))
-
-
-def _not_letters(text: Column) -> Column:
-    return F.coalesce(F.length(F.regexp_replace(text, r"[\p{L}\p{M}\s]+", "")), F.lit(0))
+    rejects: Callable[[Counts], Column]
 
 
 #: The base of every verdict: too few words, or over a fifth of them in repeated windows.
 BASE_RULES = (
-    Rule("few_words", lambda text: n_words(text) < 10),
-    Rule("repeated_windows", _share_over(n_repeat_words, n_words, 20)),
+    Rule("few_words", lambda c: c.n_words < 10),
+    Rule("repeated_windows", lambda c: 100 * c.n_repeat_words > 20 * c.n_words),
 )
-#: Shares that prose stays far from, in percent.
+#: Shares of a text's characters, words or lines that prose stays far from.
 RULES = (
-    Rule("symbols", _share_over(n_symbols, word_chars, 5)),
-    Rule("upper_case", _share_over(_upper, word_chars, 50)),
-    Rule("not_letters", _share_over(_not_letters, word_chars, 40)),
-    Rule("long_words", _share_over(word_chars, lambda t: n_words(t), 2500)),
-    Rule("duplicate_lines", _share_over(n_dup_lines, _n_lines, 60)),
+    Rule("symbols", lambda c: 100 * c.n_symbols > 4 * c.chars),
+    Rule("upper_case", lambda c: 100 * c.n_upper > 45 * c.chars),
+    Rule("not_letters", lambda c: 100 * c.n_not_letters > 35 * c.chars),
+    Rule("long_words", lambda c: c.chars > 26 * c.n_words),
+    Rule("duplicate_lines", lambda c: 100 * c.n_dup_lines > 60 * c.n_lines),
 )
 
 
@@ -178,7 +188,7 @@ def estimate(
     try:
         found = []
         for rule in rules:
-            job = sample.agg(F.count_if(rule.rejects(F.col("text"))).alias("n"))
+            job = sample.agg(F.count_if(rule.rejects(Counts.of(F.col("text")))).alias("n"))
             seconds = []
             for _ in range(2):
                 start = time.perf_counter()
@@ -195,13 +205,13 @@ def ordered(estimates: Sequence[Estimate]) -> list[Rule]:
     return [e.rule for e in sorted(estimates, key=lambda e: (-e.rank, e.cost, e.rule.name))]
 
 
-def cascade(text: Column, rules: Sequence[Rule]) -> Column:
+def cascade(counts: Counts, rules: Sequence[Rule]) -> Column:
     """The name of the first rule that rejects the text, null if none does; later rules are not run."""
     if not rules:
         return F.lit(None).cast("string")
-    out = F.when(rules[0].rejects(text), F.lit(rules[0].name))
+    out = F.when(rules[0].rejects(counts), F.lit(rules[0].name))
     for rule in rules[1:]:
-        out = out.when(rule.rejects(text), F.lit(rule.name))
+        out = out.when(rule.rejects(counts), F.lit(rule.name))
     return out
 
 
@@ -233,8 +243,10 @@ def measure(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_i
         )
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    there = ("n_words", "n_symbols", "n_dup_lines", "n_repeat_words")
+    known = replace(Counts.of(text), **{c: F.col(c) for c in there})
     judged = counts.withColumn("base_failed", failed).withColumn(
-        "failed_rule", F.when(~F.col("base_failed"), cascade(text, order))
+        "failed_rule", F.when(~F.col("base_failed"), cascade(known, order))
     )
     kept = ~F.col("base_failed") & F.col("failed_rule").isNull()
     return judged.withColumn("kept", kept).drop("text")
@@ -242,4 +254,4 @@ def measure(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_i
 
 def drop_rejected(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *RULES)) -> DataFrame:
     """The rows of ``docs``, all columns, whose ``text`` no rule rejects; base rules take part in the order."""
-    return docs.where(cascade(F.col("text"), ordered(estimate(docs, rules))).isNull())
+    return docs.where(cascade(Counts.of(F.col("text")), ordered(estimate(docs, rules))).isNull())

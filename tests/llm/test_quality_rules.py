@@ -33,10 +33,10 @@ def test_order_is_by_rejection_per_cost_and_does_not_change_verdicts(edge):
     a, b, c = Q.RULES[:3]
     found = [Q.Estimate(a, 1.0, 10), Q.Estimate(b, 0.1, 5), Q.Estimate(c, 0.5, 0)]
     assert Q.ordered(found) == [b, a, c]
-    text = F.col("text")
+    counts = Q.Counts.of(F.col("text"))
     rules = (*Q.BASE_RULES, *Q.RULES)
     verdicts = {
-        tuple(r.v for r in edge.select(Q.cascade(text, order).isNull().alias("v")).collect())
+        tuple(r.v for r in edge.select(Q.cascade(counts, order).isNull().alias("v")).collect())
         for order in (rules, rules[::-1])
     }
     assert len(verdicts) == 1
