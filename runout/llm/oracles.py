@@ -62,7 +62,7 @@ WITH doc AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 4 * chars
-            OR 100 * upper_chars > 45 * chars OR 100 * other_chars > 35 * chars
+            OR 100 * upper_chars > 45 * chars OR 100 * other_chars > 55 * chars
             OR chars > 26 * n_words OR 100 * n_dup_lines > 60 * n_lines) AS kept
 FROM base
 """

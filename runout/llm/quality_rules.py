@@ -158,7 +158,7 @@ BASE_RULES = (
 RULES = (
     Rule("symbols", lambda c: 100 * c.n_symbols > 4 * c.chars),
     Rule("upper_case", lambda c: 100 * c.n_upper > 45 * c.chars),
-    Rule("not_letters", lambda c: 100 * c.n_not_letters > 35 * c.chars),
+    Rule("not_letters", lambda c: 100 * c.n_not_letters > 55 * c.chars),
     Rule("long_words", lambda c: c.chars > 26 * c.n_words),
     Rule("duplicate_lines", lambda c: 100 * c.n_dup_lines > 60 * c.n_lines),
 )
