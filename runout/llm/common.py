@@ -21,6 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BROADCAST_ROWS = 200_000
 #: Characters that a Python worker holds at once, whatever the size of the Arrow batch.
 BATCH_CHARS = 2_000_000
+#: Rows and bytes that Spark hands to a Python worker at once.
+ARROW_BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 16 * 1024 * 1024,
+}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,7 +55,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+    """Send this package to the Python workers, once per application, and bound their Arrow batches.
+
+    A batch is held by the executor and by its worker at once; the session's larger bounds are lowered.
+    """
+    for setting, most in ARROW_BATCH.items():
+        if not 0 < int(spark.conf.get(setting).removesuffix("b")) <= most:
+            spark.conf.set(setting, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -79,6 +90,7 @@ def slices(
                 start, size = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def ascii_lower(text: Column) -> Column:
