@@ -6,7 +6,6 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from pathlib import Path
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from runout.sources.sinks import scratch_folder
+
 #: Rows of fixed-width columns up to which a measured table is broadcast (16 to 32 bytes a row).
 BROADCAST_ROWS = 200_000
 #: Characters that a Python worker holds at once, whatever the size of the Arrow batch.
@@ -28,25 +29,20 @@ ARROW_BATCH = {
 }
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may go without; it gets a
-    temporary folder that is removed when the process ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="runout-llm-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+def file_folder(spark: SparkSession) -> str:
+    """A new scratch folder as a URI, for tasks that write and read files of their own format there."""
+    folder = scratch_folder(spark)
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    # a bare path belongs to Spark's default file system: ask a file in it for its whole name
+    spark.range(1).write.parquet(f"{folder}/probe")
+    (probe,) = spark.read.parquet(f"{folder}/probe").inputFiles()[:1]
+    return probe[: probe.index(folder) + len(folder)]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: a lost executor then costs no upstream work."""
-    folder = shared_folder(df.sparkSession)
+    folder = scratch_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

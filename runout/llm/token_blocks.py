@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runout.llm.common import arrow_schema, shared_folder, ship, slices, stored
+from runout.llm.common import arrow_schema, file_folder, ship, slices, stored
 
 MAGIC, END_MAGIC = b"PFORIDS1", b"PFOREND1"
 BLOCK = 1024
@@ -402,7 +402,7 @@ def write_token_files(
     """Write the documents' ids; the stored list of files (part, seq, path, documents, ids) in their order."""
     spark = docs.sparkSession
     ship(spark)
-    folder = shared_folder(spark)
+    folder = file_folder(spark)
     target, root = fs.FileSystem.from_uri(folder)
     target.create_dir(root)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

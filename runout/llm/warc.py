@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runout.llm.common import arrow_schema, lookup, shared_folder, ship, stored
+from runout.llm.common import arrow_schema, lookup, file_folder, ship, stored
 
 #: Fixed values of the formats: the dictionary frame, the end of a head, the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -250,7 +250,7 @@ def write_archives(
     found = lookup(rows, copied, "digest", ["page_id"])
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     revisit = revisit & (F.octet_length("html") >= min_bytes)
-    folder = shared_folder(spark)
+    folder = file_folder(spark)
     target, root = fs.FileSystem.from_uri(folder)
     target.create_dir(root)
     written = found.select("page_id", "url", "html", "response", revisit.alias("revisit"))
