@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runout.llm.common import arrow_schema, ship, slices
+from runout.llm.common import arrow_schema, ship, slices, stored
 
 #: Item text per automaton; a trie of 10-word windows takes about 400 bytes per character of it.
 BLOCK_BYTES = 400_000
@@ -165,7 +165,7 @@ def benchmark_hits(
         ddl = f"`{id_col}` {id_type}, " + (_SPANS if last else f"text string, {_FOUND}")
         df = df.mapInArrow(_scanner(items, n, arrow_schema(spark, ddl), i == 0, last), ddl)
         if not last:
-            df = df.checkpoint()
+            df = stored(df)
     return df
 
 
