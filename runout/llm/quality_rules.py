@@ -23,6 +23,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runout.llm.common import stored
+
 #: Bound of the sample that rules are timed on: rows, and characters of a text that may enter it.
 SAMPLE_ROWS = 500
 SAMPLE_CHARS = 20_000
@@ -180,24 +182,29 @@ def estimate(
 ) -> list[Estimate]:
     """Cost and selectivity of every rule on a bounded sample of at most ``rows`` rows.
 
-    The sample only decides the order. It is held in memory while the rules are timed; each is run
-    twice and the faster run counts, as the first one compiles.
+    The sample only decides the order. Its rows are taken from as few partitions as have them, stored and
+    read again by every rule; each rule is run twice and the faster run counts, as the first one compiles.
+    What reading alone takes is subtracted.
     """
-    sample = docs.select(F.col(text_col).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    sample = sample.limit(rows).cache()
-    try:
-        found = []
-        for rule in rules:
-            job = sample.agg(F.count_if(rule.rejects(Counts.of(F.col("text")))).alias("n"))
-            seconds = []
-            for _ in range(2):
-                start = time.perf_counter()
-                rejected = job.first().n
-                seconds.append(time.perf_counter() - start)
-            found.append(Estimate(rule, max(min(seconds), 1e-4), rejected))
-        return found
-    finally:
-        sample.unpersist()
+    spark = docs.sparkSession
+    texts = docs.select(F.col(text_col).alias("text"))
+    taken = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).limit(rows).collect()
+    sample = stored(spark.createDataFrame(taken, texts.schema))
+
+    def timed(condition: Column) -> tuple[float, int]:
+        job, seconds = sample.agg(F.count_if(condition).alias("n")), []
+        for _ in range(2):
+            start = time.perf_counter()
+            n = job.first().n
+            seconds.append(time.perf_counter() - start)
+        return min(seconds), n
+
+    reading, _ = timed(F.length("text") < 0)
+    found = []
+    for rule in rules:
+        seconds, rejected = timed(rule.rejects(Counts.of(F.col("text"))))
+        found.append(Estimate(rule, max(seconds - reading, 1e-3), rejected))
+    return found
 
 
 def ordered(estimates: Sequence[Estimate]) -> list[Rule]:
