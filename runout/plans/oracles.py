@@ -674,6 +674,11 @@ ORACLES = {
         )
         + " FROM stg_lfa1"
     ),
+    "layer_tables": statement(
+        "SELECT 'bronze' AS layer, 'MARC' AS table_name, COUNT(*) AS n_rows FROM stg_marc"
+        " UNION ALL SELECT 'intermediate', 'int_pn_infor', COUNT(*) FROM stock"
+        " UNION ALL SELECT 'analytics', 'mart_consumption', COUNT(*) FROM consumed"
+    ),
     # staging
     **{
         f"stg_{t}": relation(f"stg_{t}")

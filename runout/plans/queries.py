@@ -23,7 +23,7 @@ from runout.fixtures.order_tables import (
     OrderTableExtracts,
 )
 from runout.sources.schemas import EXTRACTS, LANES
-from runout.sources.sinks import Tables, scratch_folder
+from runout.sources.sinks import Tables, layer_of, scratch_folder
 
 # the material that the single-material look-up is asked for
 SHOWN_MATERIAL = "000000000000000001-1001"
@@ -124,6 +124,29 @@ def _bronze_write(p: Planning) -> DataFrame:
     return stored
 
 
+def _layer_tables(p: Planning) -> DataFrame:
+    """A table of every stored layer, written by name and counted where the layer keeps it."""
+    spark = p.extracts.spark
+    root = scratch_folder(spark)
+    tables = Tables(spark, root)
+    frames = {
+        "MARC": p.extracts["MARC"],
+        "int_pn_infor": p.material_stock_context,
+        "mart_consumption": p.consumption,
+    }
+    for name, df in frames.items():
+        tables.write(name, df)
+    return quality.all_of(
+        [
+            Tables(spark, root)
+            .read(name)
+            .agg(F.count("*").alias("n_rows"))
+            .select(F.lit(layer_of(name)).alias("layer"), F.lit(name).alias("table_name"), "n_rows")
+            for name in frames
+        ]
+    )
+
+
 def _filter_options(p: Planning) -> DataFrame:
     return quality.all_of(
         [
@@ -168,6 +191,7 @@ FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
     "extract_latest": _extract_latest,
     "bronze_read": _bronze_read,
     "bronze_write": _bronze_write,
+    "layer_tables": _layer_tables,
     # staging
     **{f"stg_{t.lower()}": (lambda p, t=t: p.stg(t)) for t in STAGED},
     # material context and calendar
