@@ -164,7 +164,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], listed_hosts: DataFrame)
         corpus = rows.select(F.explode(F.array_compact(F.array(*keys))))
         by_rule = build_cascade(corpus, spark.range(1).select(F.explode(F.array(*(F.lit(r.key) for r in rules)))))
         verdicts = F.create_map(*(F.lit(x) for r in rules for x in (r.key, r.verdict)))
-        rule = F.coalesce(*(F.when(by_rule.contains(k), k) for k in keys))
+        # as a filter of the keys the levels are written once, not once per key
+        rule = F.get(F.filter(F.array_compact(F.array(*keys)), by_rule.contains), F.lit(0))
         verdict = F.element_at(verdicts, F.col("rule"))
     rows = rows.withColumn("rule", rule)
     other = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
