@@ -49,7 +49,7 @@ FILE_IDS = 1 << 27
 #: Characters that are encoded at once.
 ENCODE_CHARS = 4_000_000
 #: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
 _MARKS = frozenset(".,!?:;")
 _HEAD = struct.Struct("<IBHH")
