@@ -38,7 +38,8 @@ def test_brute_force_over_edge_rows(edge, benchmark, n):
 
 def test_blocks_give_the_same(edge, benchmark):
     one = D.benchmark_hits(edge, benchmark, 3).collect()
-    assert D.benchmark_hits(edge, benchmark, 3, block_bytes=40).collect() == one
+    several = D.benchmark_hits(edge, benchmark, 3, block_bytes=40).collect()
+    assert sorted(several, key=repr) == sorted(one, key=repr)
 
 
 def test_words_keep_other_characters_as_they_are():
