@@ -74,7 +74,8 @@ class WordEncoder:
     can be encoded as one text and told apart by counting marks. Texts with special tokens are left to it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int | None = None):
+        self.most_words = most_words or CACHED_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -122,7 +123,7 @@ class WordEncoder:
         words = [w for w, n in zip(self.places, self.batches, strict=True) if n > 1]
         starts, lengths, ids = self.starts[kept], self.lengths[kept], self.ids
         self.forget()
-        if len(words) <= CACHED_WORDS // 2:
+        if len(words) <= self.most_words // 2:
             ends = np.cumsum(lengths)
             self.places.update(zip(words, range(len(words)), strict=True))
             self.ids = ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(lengths.sum())]
@@ -133,7 +134,7 @@ class WordEncoder:
 
         The words are cut and their distinct ones found by Arrow; only these pass through Python.
         """
-        if len(self.places) > CACHED_WORDS:
+        if len(self.places) > self.most_words:
             self._forget_rare()
         # taken as a copy: ascii_lower reads slices of large strings from the wrong place
         texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
@@ -180,15 +181,15 @@ def _plain_pieces(word: str) -> int:
     return 1 + (letters is not word)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder of a tokenizer file."""
-    if path not in _encoders:
+def encoder(path: str, most_words: int = CACHED_WORDS) -> WordEncoder:
+    """The worker's encoder of a tokenizer file; only the latest is kept."""
+    if (path, most_words) not in _encoders:
         _encoders.clear()
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        _encoders[path, most_words] = WordEncoder(path, most_words)
+    return _encoders[path, most_words]
 
 
 def default_tokenizer() -> str:
