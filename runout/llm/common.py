@@ -24,7 +24,7 @@ BROADCAST_ROWS = 200_000
 BATCH_CHARS = 2_000_000
 #: Rows and bytes that Spark hands to a Python worker at once.
 ARROW_BATCH = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000,
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 2_500,
     "spark.sql.execution.arrow.maxBytesPerBatch": 16 * 1024 * 1024,
 }
 
