@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runout.llm.common import arrow_schema, ship, slices, stored
-from runout.llm.token_blocks import default_tokenizer, encoder
+from runout.llm.token_blocks import ENCODE_CHARS, default_tokenizer, encoder
 
 #: Permitted sequence lengths and what a sequence of that length costs: its tokens and a fixed overhead.
 LENGTHS: Mapping[int, float] = {n: n + 32.0 for n in (512, 1024, 2048, 4096)}
 #: Distinct words whose counts a worker keeps; packing comes last in the pipeline, where memory is short.
-COUNTED_WORDS = 300_000
+COUNTED_WORDS = 400_000
 #: Pieces that are packed together.
 GROUP = 20_000
 
@@ -50,7 +50,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path, COUNTED_WORDS)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_CHARS):
             counts = pa.array(words.count(batch.column(1)) + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema[0].type), counts], schema=schema)
 
