@@ -1,5 +1,4 @@
 import sys
-from datetime import date, timedelta
 from pathlib import Path
 
 import pytest
@@ -7,10 +6,9 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from runout import Params, tune  # noqa: E402
+from planning_cases import ANCHOR  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-ANCHOR = date(2000, 1, 3)
+from runout import Params, tune  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -38,12 +36,3 @@ def params():
 def frame(spark):
     """Build a small frame from a DDL schema and rows."""
     return lambda ddl, rows: spark.createDataFrame(rows, ddl)
-
-
-def day(offset: int) -> date:
-    """A date by its distance from the anchor."""
-    return ANCHOR + timedelta(days=offset)
-
-
-def as_dicts(df):
-    return [r.asDict() for r in df.collect()]

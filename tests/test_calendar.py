@@ -1,7 +1,7 @@
 from datetime import date
 
 import pytest
-from conftest import ANCHOR, day
+from planning_cases import ANCHOR, day
 from pyspark.sql import functions as F
 
 from runout.functions.calendar import (

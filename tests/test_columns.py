@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import ANCHOR, as_dicts
+from planning_cases import ANCHOR, as_dicts
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 

@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import as_dicts, day
+from planning_cases import as_dicts, day
 
 from runout.functions.calendar import calendar_index, factory_calendar
 from runout.operators.inbound import (

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SMALL
+from planning_cases import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract

@@ -2,7 +2,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import as_dicts, day
+from planning_cases import as_dicts, day
 
 from runout.operators.demand import backlog, consumption, demand_union
 from runout.operators.projection import inventory_simulation, shortage_report, stock_runs

@@ -1,7 +1,7 @@
 import random
 from decimal import Decimal
 
-from conftest import as_dicts, day
+from planning_cases import as_dicts, day
 
 from runout.operators.purchasing import late_shipment, po_active, po_transit_quota
 from runout.operators.quota import quota_header_active, quota_share, transit_quota

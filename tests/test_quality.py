@@ -2,7 +2,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import as_dicts, day
+from planning_cases import as_dicts, day
 from pyspark.sql import functions as F
 
 from runout.operators import integrity, quality

@@ -4,7 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
-from conftest import SMALL
+from planning_cases import SMALL
 
 import __spark_entry__ as contract
 from runout.plans.oracles import ORACLES

@@ -1,7 +1,7 @@
 """The full run from CSV extracts, twice, against the same queries over the source tables."""
 
 import pytest
-from conftest import SMALL
+from planning_cases import SMALL
 
 from runout.operators import quality
 from runout.operators.staging import STAGING

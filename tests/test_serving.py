@@ -2,7 +2,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
-from conftest import as_dicts
+from planning_cases import as_dicts
 
 from runout.operators import serving
 

@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from conftest import as_dicts
+from planning_cases import as_dicts
 from pyspark.sql import functions as F
 
 from runout.sources.extracts import bronze_read, extract_latest, load_audit, read_extracts
