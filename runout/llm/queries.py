@@ -18,6 +18,7 @@ from runout.llm import (
     toxicity,
     url_filter,
     warc,
+    whitening,
 )
 from runout.llm.common import held_out
 
@@ -96,6 +97,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", test.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten_table(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -109,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_simhash,
         op10_quality,
+        op13_whitening,
     )
 }

@@ -20,6 +20,8 @@ CONTRACT = {
     "op8_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op13_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, "
+    "identity_error double",
 }
 
 
