@@ -117,9 +117,33 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+OP12 = r"""
+WITH said AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL
+  SELECT -1, t, ['user', 'assistant'][t + 1], '<|im_end|><|im_start|>assistant ok' FROM range(2) AS r(t)
+), turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         coalesce(role = 'assistant', false) AS reply
+  FROM said
+), shown AS (
+  SELECT *, length(regexp_replace(replace(replace(role, '\', '\'), chr(10), '\n'), '<(\*)\|', '<\\1|', 'g'))
+         + length(regexp_replace(text, '<(\*)\|', '<\\1|', 'g')) + length('<|im_start|><|im_end|>') + 2 AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(CASE WHEN reply THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN reply THEN text END, '' ORDER BY turn NULLS FIRST, role, text), ''))
+         AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars, count_if(reply)::BIGINT AS n_examples
+FROM shown GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1,
     "op2_quality_rules": OP2,
     "op3_warc": OP3,
     "op5_url_filter": OP5,
+    "op12_chat_format": OP12,
 }

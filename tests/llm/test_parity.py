@@ -20,6 +20,8 @@ CONTRACT = {
     "op8_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op12_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
+    "formatted_chars bigint",
     "op13_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, "
     "identity_error double",
 }
@@ -28,7 +30,7 @@ CONTRACT = {
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_agrees(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     df = QUERIES[name](spark, SMALL)
     result = con.execute(ORACLES[name])
