@@ -127,8 +127,8 @@ WITH said AS (
          coalesce(role = 'assistant', false) AS reply
   FROM said
 ), shown AS (
-  SELECT *, length(regexp_replace(replace(replace(role, '\', '\'), chr(10), '\n'), '<(\*)\|', '<\\1|', 'g'))
-         + length(regexp_replace(text, '<(\*)\|', '<\\1|', 'g')) + length('<|im_start|><|im_end|>') + 2 AS chars
+  SELECT *, length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g'))
+         + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_start|><|im_end|>') + 2 AS chars
   FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
