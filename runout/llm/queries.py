@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runout.llm import (
     chat_format,
+    conversation_repair,
     decontamination,
     language,
     packing,
@@ -101,6 +102,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", test.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    return conversation_repair.audit(conversation_repair.plant_faults(rows), rows)
+
+
 def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     planted = [(-1, 0, "user", PLANTED_TEXT), (-1, 1, "assistant", PLANTED_TEXT)]
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_simhash,
         op10_quality,
+        op11_conversation_repair,
         op12_chat_format,
         op13_whitening,
     )

@@ -20,6 +20,8 @@ CONTRACT = {
     "op8_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, "
+    "illegal bigint, cost bigint, audit string, repaired_sha256 string",
     "op12_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
     "formatted_chars bigint",
     "op13_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, "
