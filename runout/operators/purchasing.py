@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runout.functions.calendar import add_working_days
@@ -173,57 +173,61 @@ def open_schedule(lines: DataFrame, vendors: DataFrame) -> DataFrame:
     )
 
 
-def running_announced(future_deliveries: DataFrame) -> DataFrame:
-    """Per (material, vendor): the days with announced deliveries, and what has arrived by each.
+def running_announced(future_deliveries: DataFrame, p: Params) -> DataFrame:
+    """Per (material, vendor): what has arrived by each day, in an array with one entry per day.
 
-    Deliveries are summed per day before anything is gathered, so the window and the two arrays hold at
-    most one entry per working day between the anchor and the end of the calendar.
+    ``first`` is the day of entry 0, counted from the anchor: the first day with a delivery; the last
+    entry is the last such day. Deliveries are summed per day before anything is gathered, so the window
+    and the array hold at most one entry per day between the anchor and the end of the calendar. Each total
+    fills the days up to the next one, which makes the array dense without looking at it again.
     """
     daily = (
         future_deliveries.where(
             "marc_id IS NOT NULL AND vendor_number IS NOT NULL AND planned_availability_date IS NOT NULL"
         )
-        .groupBy("marc_id", "vendor_number", F.col("planned_availability_date").alias("day"))
+        .groupBy(
+            "marc_id", "vendor_number", days_since(p, "planned_availability_date").alias("day")
+        )
         .agg(F.sum("delivery_quantity").alias("qty"))
     )
-    so_far = (
-        Window.partitionBy("marc_id", "vendor_number")
-        .orderBy("day")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    by_day = Window.partitionBy("marc_id", "vendor_number").orderBy("day")
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("qty").over(so_far).cast(daily.schema["qty"].dataType)
-    steps = F.sort_array(F.collect_list(F.struct("day", "total")))
-    return (
-        daily.select("marc_id", "vendor_number", "day", total.alias("total"))
-        .groupBy("marc_id", "vendor_number")
-        .agg(steps.alias("steps"))
-        .select(
-            "marc_id",
-            "vendor_number",
-            F.col("steps.day").alias("days"),
-            F.col("steps.total").alias("totals"),
-        )
+    lasts = F.coalesce(F.lead("day").over(by_day) - F.col("day"), F.lit(1))
+    filled = daily.select(
+        "marc_id", "vendor_number", "day", F.array_repeat(total, lasts).alias("totals")
     )
+    return filled.groupBy("marc_id", "vendor_number").agg(
+        F.min("day").alias("first"),
+        F.flatten(F.sort_array(F.collect_list(F.struct("day", "totals")))["totals"]).alias("totals"),
+    )
+
+
+def days_since(p: Params, day: str) -> Column:
+    """Days from the anchor to ``day``, negative before it."""
+    return F.datediff(F.col(day), p.today)
 
 
 def late_shipment(lines: DataFrame, future_deliveries: DataFrame, p: Params) -> DataFrame:
     """How much of each open line is covered by deliveries announced for no later than its day.
 
-    The as-of side is small: running totals per (material, vendor), one entry per day with a delivery.
-    Lines meet it in a plain equi-join, so Spark can broadcast it or split a hot key, and no group of
-    lines is ever gathered. A line's total is the one before the place that the day after its own takes
-    among the days. NULL keys or days match nothing. One delivery may cover several lines.
+    The as-of side is small: per (material, vendor) an array of running totals by day. Lines meet it in a
+    plain equi-join, so Spark can broadcast it or split a hot key, and no group of lines is ever gathered.
+    A line's total is one look-up at its day's distance from the array's first day; later days than the
+    last have the last total, days before the first have none. NULL keys or days match nothing. One
+    delivery may cover several lines.
     """
-    announced = running_announced(future_deliveries)
-    day_after = F.date_add("planned_availability_date", 1)
-    place = F.array_position(F.sort_array(F.array_append("days", day_after)), day_after)
-    covered = F.get("totals", (place - 2).cast("int"))
+    announced = running_announced(future_deliveries, p)
+    place = days_since(p, "planned_availability_date") - F.col("first")
+    covered = F.get("totals", F.least(place, F.size("totals") - 1))
     still_due = F.col("open_quantity") - F.col("cumulative_asn_qty")
     arrives_by = F.date_add("delivery_date", F.coalesce(F.col("transit_time_days"), F.lit(0)))
     late = (arrives_by >= p.today) & (F.col("order_qty_due") > 0)
     return (
         lines.join(announced, ["marc_id", "vendor_number"], "left")
-        .withColumn("cumulative_asn_qty", F.coalesce(covered, F.lit(0)))
+        .withColumn(
+            "cumulative_asn_qty", F.coalesce(F.when(place.isNotNull(), covered), F.lit(0))
+        )
         .select(*lines.columns, "cumulative_asn_qty")
         .withColumn("order_qty_due", still_due)
         .withColumn("late_shipment_flag", F.when(late, 1).otherwise(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runout.sources.schemas import LANES
 
@@ -14,8 +15,20 @@ PURCHASING_ORG = "1000"
 
 
 def read_lanes(spark: SparkSession, path: str) -> DataFrame:
-    """The seed file with its declared types; ids keep their leading zeros."""
-    return spark.read.schema(LANES).option("header", True).csv(path)
+    """The seed file with its declared types; ids keep their leading zeros.
+
+    Columns are taken by header name, in any case and order, and must be the declared ones. A row with
+    more or fewer fields, a part file with another header, days that are no whole number: all are errors,
+    the last where the days are read.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    names = [c.lower() for c in header]
+    if sorted(names) != sorted(LANES.fieldNames()):
+        raise ValueError(f"seed columns {names} are not the declared {LANES.fieldNames()}")
+    kinds = {f.name: f.dataType for f in LANES}
+    schema = T.StructType([T.StructField(c, kinds[n]) for c, n in zip(header, names, strict=True)])
+    options = {"header": True, "mode": "FAILFAST", "enforceSchema": False, "columnPruning": False}
+    return spark.read.options(**options).schema(schema).csv(path).toDF(*names).select(LANES.fieldNames())
 
 
 def _lookup(values: dict, key: Column) -> Column:

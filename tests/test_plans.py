@@ -110,6 +110,9 @@ def test_coverage_has_no_lambda(spark):
     )
     plan = late_shipment(lines, deliveries, p.params)._jdf.queryExecution().analyzed().toString()
     assert "lambda" not in plan
+    # lines are looked up, not sorted into or searched in the days: arrays are only sorted once per pair
+    assert plan.count("sort_array(") == 1 and "collect_list" in plan[plan.index("sort_array(") :][:60]
+    assert not any(name in plan for name in ("array_append", "array_position", "array_insert"))
 
 
 def test_detail_supply_reads_its_context_once_composed(spark):

@@ -168,6 +168,40 @@ def test_lanes_keep_leading_zeros(spark, tmp_path):
     assert tuple(lanes.first()) == ("0000000001", "1000", "0100", 3)
 
 
+def test_lanes_are_read_by_name(spark, tmp_path):
+    path = put(tmp_path, "seed.csv", "EKORG,transit_time_days,LIFNR,werks\n1000,3,0000000001,0100\n")
+    lanes = read_lanes(spark, path)
+    assert lanes.schema == LANES
+    assert tuple(lanes.first()) == ("0000000001", "1000", "0100", 3)
+
+
+@pytest.mark.parametrize(
+    "row", ["1,1000,0100,3,extra", "1,1000,0100", '1,"10\n00",0100,3'], ids=["more", "fewer", "broken"]
+)
+@pytest.mark.parametrize("read", ["all", "one column", "count"])
+def test_lanes_that_do_not_fit_are_errors(spark, tmp_path, row, read):
+    path = put(tmp_path, "seed.csv", f"lifnr,ekorg,werks,transit_time_days\n0,1000,0100,3\n{row}\n")
+    df = read_lanes(spark, path)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        {"all": df.collect, "one column": df.select("lifnr").collect, "count": df.count}[read]()
+
+
+@pytest.mark.parametrize("days", ["x7", "3.5", "99999999999"])
+def test_days_that_are_no_whole_numbers_are_errors(spark, tmp_path, days):
+    path = put(tmp_path, "seed.csv", f"lifnr,ekorg,werks,transit_time_days\n0,1000,0100,3\n1,1000,0100,{days}\n")
+    df = read_lanes(spark, path)
+    for read in (df, df.select("transit_time_days")):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read.collect()
+
+
+@pytest.mark.parametrize("header", ["lifnr,ekorg,werks", "lifnr,ekorg,werks,days", "lifnr,ekorg,werks,transit_time_days,x"])
+def test_seed_headers_other_than_declared_are_errors(spark, tmp_path, header):
+    path = put(tmp_path, "seed.csv", f"{header}\n" + ",".join("1" * len(header.split(","))) + "\n")
+    with pytest.raises(ValueError, match="declared"):
+        read_lanes(spark, path)
+
+
 def test_lane_matrix(frame):
     vendors = frame("lifnr string, land1 string", [("1", "DE"), ("1", "DE"), ("2", "CN")])
     lanes = lane_matrix(vendors)
