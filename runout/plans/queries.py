@@ -42,8 +42,8 @@ def stored_planning(spark: SparkSession, folder: str, root: str) -> Planning:
     """As ``planning``, over the extracts loaded as tables under ``root`` first."""
     derived = OrderTableExtracts(tune(spark), folder)
     tables = Tables(spark, root)
-    extracts = {t: tables.write(t, df, EXTRACTS[t]) for t, df in derived.items()}
-    return Planning(extracts, tables.write("seed_transit_time", derived.lanes(), LANES), PARAMS)
+    lanes = tables.write("seed_transit_time", derived.lanes(), LANES)
+    return Planning(extract_files.load(tables, derived), lanes, PARAMS)
 
 
 def edge(df: DataFrame) -> DataFrame:
@@ -106,8 +106,15 @@ def _extract_latest(p: Planning) -> DataFrame:
         p, {"LFA1": ["19991231", "20000103"], "RESB": ["19991201", "20000103"]}
     )
     latest = extract_files.extract_latest(spark, root).select("table_name", "stamp")
-    counts = extract_files.load_audit(extract_files.read_extracts(spark, root))
-    return latest.join(counts, "table_name")
+    tables = Tables(spark, scratch_folder(spark))
+    loaded = extract_files.load(tables, extract_files.read_extracts(spark, root))
+    return latest.join(extract_files.load_audit(tables, loaded), "table_name")
+
+
+def _load_audit(p: Planning) -> DataFrame:
+    """The audit of a load of all extracts."""
+    tables = Tables(p.extracts.spark, scratch_folder(p.extracts.spark))
+    return extract_files.load_audit(tables, extract_files.load(tables, p.extracts))
 
 
 def _bronze_read(p: Planning) -> DataFrame:
@@ -187,7 +194,7 @@ FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
     # sources and sinks
     "seed_transit_time": _seed,
     "lane_matrix": lambda p: lane_matrix(p.extracts["LFA1"], DAYS_FROM_NATION, DAYS_TO_PLANT),
-    "load_audit": lambda p: extract_files.load_audit(p.extracts),
+    "load_audit": _load_audit,
     "extract_latest": _extract_latest,
     "bronze_read": _bronze_read,
     "bronze_write": _bronze_write,

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runout.sources.schemas import EXTRACTS
+from runout.sources.sinks import Tables
 
 # <anything>/<TABLE>.csv or <TABLE>_<stamp>.csv, either one file or a folder of part files: the table is
 # what stands before the first underscore
@@ -104,15 +104,13 @@ def read_extracts(
     }
 
 
-def load_audit(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Row counts per table and in total."""
-    counts = reduce(
-        DataFrame.unionByName,
-        [
-            df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
-            for t, df in tables.items()
-        ],
-    )
-    return counts.rollup("table_name").agg(F.sum("n_rows").alias("n_rows")).select(
-        F.coalesce("table_name", F.lit("total")).alias("table_name"), "n_rows"
-    )
+def load(tables: Tables, extracts: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Store extracts with their declared columns; each is read once, and counted as it is written."""
+    return {table: tables.write(table, df, EXTRACTS[table]) for table, df in extracts.items()}
+
+
+def load_audit(tables: Tables, names: Iterable[str]) -> DataFrame:
+    """Rows per loaded table and in total, as they were counted by the load; reads no rows."""
+    counts = {name: tables.version(name).n_rows for name in names}
+    rows = [*sorted(counts.items()), ("total", sum(counts.values()))]
+    return tables.spark.createDataFrame(rows, "table_name string, n_rows long")

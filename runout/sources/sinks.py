@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
-import time
 import uuid
+from dataclasses import dataclass
+from threading import Lock
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOG = T.StructType([T.StructField("version", T.LongType())])
+from runout.sources import files
+
+#: Tables that are written by ranges of these columns, and sorted by them. The daily projection unfolds
+#: the stored runs in their order, so it needs no shuffle of its own to be in order as well.
+RANGED = {
+    "int_stock_runs": ("marc_id", "day"),
+    "mart_shortage_report": ("marc_id",),
+    "mart_consumption": ("marc_id", "requirement_date"),
+}
+#: Tables that are asked for single materials, and the size of their row groups.
+LOOKED_UP = {"mart_inventory_simulation", "mart_shortage_report", "mart_consumption"}
+ROW_GROUP_BYTES = 16 * 1024 * 1024
 
 LAYERS = ("bronze", "staging", "intermediate", "analytics")
 
@@ -32,57 +44,96 @@ def assert_schema(name: str, df: DataFrame, schema: T.StructType) -> None:
         raise ValueError(f"{name}: schema {given} is not the declared {wanted}")
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer replaced the table while this one was writing its rows."""
+
+
+@dataclass(frozen=True)
+class Version:
+    """One committed state of a table."""
+
+    number: int
+    folder: str
+    n_rows: int
+
+
 class Tables:
     """Parquet tables below ``<root>/<layer>/<name>``, replaced whole by every write.
 
-    A write puts its rows into a new version folder and then appends that version to the table's log,
-    a folder of one-row files. The commit of that one file is the switch: until then readers see the former
-    version, afterwards the new one, and never none. The version before the former is emptied, so that a
-    reader that has just begun on the former one can finish. With ``catalog`` the tables are metastore
-    tables ``<layer>.<name>`` as well, whose location is switched. Staging is views only.
+    A write puts its rows into a new folder and then adds the next entry to the table's log. An entry is
+    a file that is created only if there is none of its number: it is the switch, and of two writers that
+    began on the same version the second one is refused and its rows are removed. Until the entry is
+    there readers see the former version, afterwards the new one, and never none. The version before the
+    former is removed, so that a reader that has just begun on the former one can finish. Entries hold the
+    number of rows, which is observed while they are written.
+
+    With ``catalog`` the tables are metastore tables ``<layer>.<name>`` as well, whose location is switched.
+    Staging is views only. Tables in ``RANGED`` are laid out by range, so that few row groups hold one key.
+    The store must be one that does not replace a file by renaming another one to it, as HDFS is.
     """
 
     def __init__(self, spark: SparkSession, root: str, catalog: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
         self.catalog = catalog
-
-    def path(self, name: str, version: int) -> str:
-        return f"{self.root}/{layer_of(name)}/{name}/version={version}"
+        self._catalog_lock = Lock()
 
     def _log(self, name: str) -> str:
         return f"{self.root}/_log/{name}"
 
     def versions(self, name: str) -> list[int]:
-        """Finished versions, the current one last; none if the table was never written."""
-        try:
-            log = self.spark.read.schema(LOG).parquet(self._log(name))
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
-        return sorted(r.version for r in log.collect())
+        """Numbers of the committed versions, the current one last; none if the table was never written."""
+        names = files.listed(self.spark, self._log(name))
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def version(self, name: str, number: int | None = None) -> Version:
+        """A committed version, the current one unless a number is given."""
+        if number is None:
+            numbers = self.versions(name)
+            if not numbers:
+                raise FileNotFoundError(f"no table {name} under {self.root}")
+            number = numbers[-1]
+        entry = json.loads(files.content(self.spark, f"{self._log(name)}/{number:012d}"))
+        return Version(number, f"{self.root}/{layer_of(name)}/{name}/{entry['folder']}", entry["n_rows"])
 
     def write(self, name: str, df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
         """Replace a table and return it as stored; writing the same rows again changes nothing.
 
-        A job that fails, at any point, leaves the former table as it was.
+        A job that fails, at any point, leaves the former table as it was. Raises ``ConcurrentWrite`` if
+        another writer was faster.
         """
         if schema is not None:
             assert_schema(name, df, schema)
         before = self.versions(name)
-        version = max([time.time_ns(), *(v + 1 for v in before)])
-        df.write.parquet(self.path(name, version))
-        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"))
-        row.coalesce(1).write.mode("append").parquet(self._log(name))
+        number = before[-1] + 1 if before else 1
+        folder = f"version={number}-{uuid.uuid4().hex}"
+        path = f"{self.root}/{layer_of(name)}/{name}/{folder}"
+        n_rows = self._put(name, df, path)
+        entry = json.dumps({"folder": folder, "n_rows": n_rows})
+        if not files.create_once(self.spark, f"{self._log(name)}/{number:012d}", entry):
+            files.remove(self.spark, path)
+            raise ConcurrentWrite(f"{name}: version {number} was written meanwhile")
         if self.catalog:
-            self._register(name, version, df.schema)
+            with self._catalog_lock:
+                self._register(name, path, df.schema)
         for old in before[-2:-1]:
-            df.limit(0).write.mode("overwrite").parquet(self.path(name, old))
+            files.remove(self.spark, self.version(name, old).folder)
         return self.read(name)
 
-    def _register(self, name: str, version: int, schema: T.StructType) -> None:
-        layer, path = layer_of(name), self.path(name, version)
+    def _put(self, name: str, df: DataFrame, path: str) -> int:
+        """Write the rows and count them on the way."""
+        seen = Observation()
+        rows = df
+        if columns := RANGED.get(name):
+            rows = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+        writer = rows.observe(seen, F.count(F.lit(1)).alias("n_rows")).write
+        if name in LOOKED_UP:
+            writer = writer.option("parquet.block.size", ROW_GROUP_BYTES)
+        writer.parquet(path)
+        return seen.get.get("n_rows", 0)
+
+    def _register(self, name: str, path: str, schema: T.StructType) -> None:
+        layer = layer_of(name)
         table = f"{layer}.{name}"
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
         if self.spark.catalog.tableExists(table) and self.spark.table(table).dtypes == [
@@ -98,10 +149,7 @@ class Tables:
         """The current version of a table."""
         if self.catalog:
             return self.spark.table(f"{layer_of(name)}.{name}")
-        versions = self.versions(name)
-        if not versions:
-            raise FileNotFoundError(f"no table {name} under {self.root}")
-        return self.spark.read.parquet(self.path(name, versions[-1]))
+        return self.spark.read.parquet(self.version(name).folder)
 
     def view(self, name: str, df: DataFrame) -> DataFrame:
         """Staging frames stay unmaterialised, under their name as a temporary view."""

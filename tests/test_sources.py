@@ -1,13 +1,15 @@
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from planning_cases import as_dicts
 from pyspark.sql import functions as F
 
-from runout.sources.extracts import bronze_read, extract_latest, load_audit, read_extracts
+from runout.sources.extracts import bronze_read, extract_latest, load, load_audit, read_extracts
 from runout.sources.lanes import lane_matrix, read_lanes
 from runout.sources.schemas import EXTRACTS, LANES
-from runout.sources.sinks import Tables, scratch_folder
+from runout.sources import sinks
+from runout.sources.sinks import ConcurrentWrite, Tables, scratch_folder
 
 
 def put(root, path, content):
@@ -106,9 +108,15 @@ def test_multi_line_fields(spark, root):
     assert bronze_read(spark, "EKKO", path, multi_line=True).first().ekorg == "10\n00"
 
 
-def test_audit(spark, root):
-    audit = {r.table_name: r.n_rows for r in load_audit(read_extracts(spark, root)).collect()}
-    assert audit == {"LFA1": 3, "T001W": 1, "TFACT": 2, "total": 6}
+def test_audit_is_what_the_load_counted(spark, root, tmp_path):
+    tables = Tables(spark, str(tmp_path / "out"))
+    extracts = read_extracts(spark, root)
+    extracts["KNA1"] = spark.createDataFrame([], EXTRACTS["KNA1"])
+    loaded = load(tables, extracts)
+    audit = {r.table_name: r.n_rows for r in load_audit(tables, loaded).collect()}
+    assert audit == {"KNA1": 0, "LFA1": 3, "T001W": 1, "TFACT": 2, "total": 6}
+    assert {t: df.count() for t, df in loaded.items()} == {t: n for t, n in audit.items() if t != "total"}
+    assert "FileScan" not in load_audit(tables, loaded)._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("catalog", [False, True])
@@ -146,6 +154,72 @@ def test_a_failed_switch_keeps_the_old_rows(spark, frame, tmp_path, monkeypatch)
         tables.read("never")
 
 
+def test_the_second_of_two_writers_is_refused(spark, frame, tmp_path):
+    slow, fast = Tables(spark, str(tmp_path)), Tables(spark, str(tmp_path))
+    slow.write("x", frame("a int", [(0,)]))
+    put_rows = slow._put
+
+    def overtaken(name, df, path):
+        n = put_rows(name, df, path)
+        fast.write("x", frame("a int", [(2,), (3,)]))
+        fast.write("x", frame("a int", [(4,)]))
+        return n
+
+    slow._put = overtaken
+    with pytest.raises(ConcurrentWrite, match="version 2"):
+        slow.write("x", frame("a int", [(1,)]))
+    assert [r.a for r in slow.read("x").collect()] == [4]
+    assert slow.versions("x") == [1, 2, 3]
+    kept = [d for d in os.listdir(tmp_path / "bronze/x") if d.startswith("version=")]
+    assert sorted(d.split("-")[0] for d in kept) == ["version=2", "version=3"]  # the refused rows are gone
+
+
+def test_many_writers_at_once_leave_one_whole_table(spark, frame, tmp_path):
+    def write(i):
+        try:
+            Tables(spark, str(tmp_path)).write("x", frame("a int", [(i,)] * (i + 1)))
+            return i
+        except ConcurrentWrite:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = [i for i in pool.map(write, range(6)) if i is not None]
+    tables = Tables(spark, str(tmp_path))
+    assert won and tables.versions("x") == list(range(1, len(won) + 1))
+    rows = [r.a for r in tables.read("x").collect()]
+    assert rows == [rows[0]] * (rows[0] + 1) and rows[0] in won
+    assert tables.version("x").n_rows == len(rows)
+
+
+def rows_scanned(df):
+    """Rows that the scans of a collected frame handed on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "Adaptive" in plan.getClass().getName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_one_material_is_read_from_few_row_groups(spark, tmp_path, monkeypatch):
+    """The rows scanned for one material do not grow with the materials there are."""
+    monkeypatch.setattr(sinks, "ROW_GROUP_BYTES", 4096)
+    scanned = []
+    for n in (500, 5000):
+        tables = Tables(spark, str(tmp_path / str(n)))
+        number = F.col("id") % n * 7919 % 1_000_003
+        runs = spark.range(n * 60).select(
+            F.format_string("%018d", number).alias("marc_id"),
+            F.floor(F.col("id") / n).cast("int").alias("day"),
+            F.rand(1).alias("simulated_inventory_qty"),
+        )
+        runs = tables.write("int_stock_runs", runs)
+        simulated = tables.write("mart_inventory_simulation", runs)
+        one = simulated.where(F.col("marc_id") == f"{7919:018d}")
+        assert one.count() == 60
+        scanned.append(rows_scanned(one))
+    assert 60 <= scanned[0] and scanned[1] <= 1.5 * scanned[0] + 200 and scanned[1] < 5000 * 60 / 20
+
+
 def test_scratch_folders_are_shared_or_local():
     shared = {}
 
