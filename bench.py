@@ -50,6 +50,8 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", cpus)
+        # tables that do not wait for each other are built at once
+        .config("spark.scheduler.mode", "FAIR")
         # small files on one machine: let a scan and a coalesced shuffle use every core
         .config("spark.sql.files.openCostInBytes", "512k")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")

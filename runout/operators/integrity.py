@@ -7,6 +7,7 @@ statistical ones ``(rule, measured, required, passed)``.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,18 +102,64 @@ def _key_name(table: str, columns: list[str]) -> str:
     return f"{table}({','.join(columns)})"
 
 
-def _orphan_counts(extracts: Extracts, keys: list[tuple]) -> DataFrame:
-    """Orphans per foreign key; child rows are counted per key before the keys are looked up."""
-    frames = []
-    for child, cols, parent, parent_cols in keys:
-        counted = extracts[child].groupBy(*cols).agg(F.count("*").alias("n"))
-        rule = f"{_key_name(child, cols)} in {_key_name(parent, parent_cols)}"
-        frames.append(
-            orphans(counted, cols, extracts[parent], parent_cols)
-            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_violations"))
-            .select(F.lit(rule).alias("rule"), "n_violations")
+def foreign_key_rule(child: str, columns: list[str], parent: str, parent_columns: list[str]) -> str:
+    return f"{_key_name(child, columns)} in {_key_name(parent, parent_columns)}"
+
+
+def key_counts(
+    extracts: Extracts, foreign: list[tuple] = (), primary: Mapping[str, list[str]] | None = None
+) -> DataFrame:
+    """How often each key occurs under each rule: ``(rule, key, n, known)``.
+
+    Every table is read once. A row is unfolded to the rules that it is a child, a parent or a holder of a
+    key in; the tables' rows meet in one aggregation, combined map-side, so that a hot key is one row per
+    task before the shuffle. ``n`` counts children and holders, ``known`` tells whether there is a parent.
+    A parent without a full key is none.
+    """
+    marks: dict[str, list[Column]] = {}
+
+    def mark(table: str, rule: str, columns: list[str], parent: bool) -> None:
+        key = F.array(*columns)
+        found = F.struct(
+            F.lit(rule).alias("rule"),
+            key.alias("key"),
+            F.lit(0 if parent else 1).cast("long").alias("n"),
+            F.lit(parent).alias("known"),
         )
-    return all_of(frames)
+        full = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+        marks.setdefault(table, []).append(F.when(full, found) if parent else found)
+
+    for child, columns, parent, parent_columns in foreign:
+        rule = foreign_key_rule(child, columns, parent, parent_columns)
+        mark(child, rule, columns, parent=False)
+        mark(parent, rule, parent_columns, parent=True)
+    for table, columns in (primary or {}).items():
+        mark(table, _key_name(table, columns), columns, parent=False)
+    rows = [
+        extracts[table].select(F.explode(F.array_compact(F.array(*found))).alias("mark")).select("mark.*")
+        for table, found in marks.items()
+    ]
+    return all_of(rows).groupBy("rule", "key").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+
+
+def _per_rule(counts: DataFrame, broken: Column) -> DataFrame:
+    """Sum of the broken rows of each key; every rule has keys unless its tables are empty."""
+    return counts.groupBy("rule").agg(F.sum(broken).alias("n_violations"))
+
+
+def _every_rule(found: DataFrame, rules: list[str]) -> DataFrame:
+    """Rules without any key hold."""
+    none = found.sparkSession.range(1).select(
+        F.explode(F.array(*map(F.lit, rules))).alias("rule"), F.lit(0).cast("long").alias("n_violations")
+    )
+    return found.unionByName(none).groupBy("rule").agg(F.max("n_violations").alias("n_violations"))
+
+
+def _orphan_counts(extracts: Extracts, keys: list[tuple]) -> DataFrame:
+    """Child rows per foreign key whose key no parent has; a NULL key is an orphan."""
+    orphaned = F.when(F.col("known"), 0).otherwise(F.col("n"))
+    found = _per_rule(key_counts(extracts, foreign=keys), orphaned)
+    return _every_rule(found, [foreign_key_rule(*key) for key in keys])
 
 
 def fk_orphans(extracts: Extracts) -> DataFrame:
@@ -138,17 +185,9 @@ def pk_nulls(extracts: Extracts) -> DataFrame:
 
 def pk_duplicates(extracts: Extracts) -> DataFrame:
     """Rows beyond the first of each primary key."""
-    return all_of(
-        [
-            extracts[table]
-            .groupBy(*key)
-            .agg(F.count("*").alias("n"))
-            .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_violations"))
-            .select(F.lit(_key_name(table, key)).alias("rule"), "n_violations")
-            for table, key in PRIMARY_KEYS.items()
-            if table not in NULL_CHECK_ONLY
-        ]
-    )
+    keys = {t: key for t, key in PRIMARY_KEYS.items() if t not in NULL_CHECK_ONLY}
+    found = _per_rule(key_counts(extracts, primary=keys), F.col("n") - 1)
+    return _every_rule(found, [_key_name(t, key) for t, key in keys.items()])
 
 
 def _per_table(extracts: Extracts, rules: list[tuple[str, str, Column]]) -> DataFrame:

@@ -3,12 +3,13 @@
 A frame is built when it is first asked for, and only what it depends on is built with it. A full
 refresh passes ``keep``, which stores each frame under its table name and reads it back. Without it
 everything stays lazy, and frames with several readers are composed for each of them from no more
-than it needs: ``stored`` tells the two apart.
+than it needs: ``stored`` tells the two apart. ``READS`` says which frames and extracts each frame needs
+when they are stored, so that a refresh can build those that do not wait for each other at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -26,10 +27,40 @@ from runout.operators import (
     vendors,
 )
 from runout.params import Params
-from runout.sources.sinks import scratch_folder
 
 Keep = Callable[[str, DataFrame], DataFrame]
 
+#: Every stored frame with the stored frames and the extracts (in capitals) that it reads.
+READS: dict[str, tuple[str, ...]] = {
+    "material_base": ("MARC",),
+    "material_stock_context": ("material_base", "MARD"),
+    "factory_calendar": ("T001W",),
+    "working_calendar": ("factory_calendar",),
+    "quota_header_active": ("EQUK",),
+    "quota_item": ("EQUP",),
+    "quota_share": ("quota_header_active", "quota_item", "LFA1"),
+    "transit_time": ("LFA1", "T001W"),
+    "po_active": ("EKKO", "EKPO"),
+    "po_transit_quota": ("po_active", "quota_share", "T001W"),
+    "transit_quota": ("po_transit_quota",),
+    "schedule_by_date": ("EKET",),
+    "scheduling_agreement": ("po_active", "schedule_by_date"),
+    "open_schedule": ("po_transit_quota", "schedule_by_date", "factory_calendar", "MARC", "LFA1"),
+    "inbound_deliveries": ("LIKP", "LIPS", "VBUP", "MARC"),
+    "asn_status": ("inbound_deliveries", "factory_calendar", "EKKO", "LFA1"),
+    "late_shipment": ("open_schedule", "asn_status"),
+    "backlog": ("material_base", "RESB", "VBBE"),
+    "supply": ("late_shipment", "asn_status"),
+    "supply_context": ("supply", "material_stock_context", "transit_quota", "factory_calendar"),
+    "supply_gap_fill": ("supply_context", "factory_calendar"),
+    "detail_supply": ("supply_context", "supply_gap_fill"),
+    "consumption": ("material_base", "RESB", "VBBE"),
+    "stock_runs": ("material_stock_context", "asn_status", "RESB", "VBBE", "T001W"),
+    "inventory_simulation": ("stock_runs",),
+    "shortage_report": ("stock_runs", "po_transit_quota"),
+    "vendor_performance": ("inbound_deliveries", "late_shipment", "LFA1", "EKKO"),
+}
+
 
 class Planning:
     def __init__(
@@ -263,19 +294,17 @@ class Planning:
 
     @cached_property
     def detail_supply(self) -> DataFrame:
-        """Supply and the days without any, both from one frame.
+        """Supply and the days without any."""
+        return self.keep(
+            "mart_detail_supply", supply.detail_supply(self.supply_context, self.supply_gap_fill)
+        )
 
-        The context, a few joins of every line, is far smaller than the mart. It is stored before its
-        two readers unless a refresh has done so: in the scratch folder, when the mart is composed.
+    def detail_supply_from(self, context: DataFrame) -> DataFrame:
+        """The mart and its gap fill from one supply context, which the caller has stored.
+
+        The context, a few joins of every line, is far smaller than the mart. Without a stored one it is
+        composed for both of its readers.
         """
-        if self.stored:
-            return self.keep(
-                "mart_detail_supply", supply.detail_supply(self.supply_context, self.supply_gap_fill)
-            )
-        context = self.supply_context
-        path = scratch_folder(context.sparkSession)
-        context.write.parquet(path)
-        context = context.sparkSession.read.schema(context.schema).parquet(path)
         fill = supply.supply_gap_fill(context, self.calendar_index, self.params)
         return supply.detail_supply(context, fill)
 
@@ -301,9 +330,10 @@ class Planning:
 
     @cached_property
     def inventory_simulation(self) -> DataFrame:
-        return self.keep(
-            "mart_inventory_simulation", projection.inventory_simulation(self.stock_runs)
-        )
+        runs = self.stock_runs
+        if self.stored:  # a task may read several files, each of them in order
+            runs = runs.sortWithinPartitions("marc_id", "day")
+        return self.keep("mart_inventory_simulation", projection.inventory_simulation(runs))
 
     @cached_property
     def slowest_transit(self) -> DataFrame:
@@ -338,3 +368,25 @@ class Planning:
                 quota.lane_days(self.lanes),
             ),
         )
+
+    # -- what the model tests read
+
+    def model_tables(self, names: Iterable[str]) -> dict[str, DataFrame]:
+        """The frames the model tests read, by table name; only the named ones are composed."""
+        frames = {
+            "stg_marc": lambda: self.stg("MARC"),
+            "stg_ekko": lambda: self.stg("EKKO"),
+            "stg_ekpo": lambda: self.stg("EKPO"),
+            "stg_vbup": lambda: self.stg("VBUP"),
+            "stg_likp": lambda: self.stg("LIKP"),
+            "int_pn_infor": lambda: self.material_stock_context,
+            "int_factory_calendar": lambda: self.factory_calendar,
+            "int_working_calendar": lambda: self.working_calendar,
+            "int_inbound_deliveries_asn": lambda: self.announced,
+            "int_tt_quota": lambda: self.transit_quota,
+            "mart_shortage_report": lambda: self.shortage_report,
+            "mart_inventory_simulation": lambda: self.inventory_simulation,
+            "mart_consumption": lambda: self.consumption,
+            "mart_vendor_performance": lambda: self.vendor_performance,
+        }
+        return {name: frames[name]() for name in names}

@@ -165,25 +165,10 @@ def _filter_options(p: Planning) -> DataFrame:
     )
 
 
-def model_tables(p: Planning, names: set[str]) -> dict[str, DataFrame]:
-    """The frames the model tests read, by table name; only the named ones are composed."""
-    frames = {
-        "stg_marc": lambda: p.stg("MARC"),
-        "stg_ekko": lambda: p.stg("EKKO"),
-        "stg_ekpo": lambda: p.stg("EKPO"),
-        "stg_vbup": lambda: p.stg("VBUP"),
-        "stg_likp": lambda: p.stg("LIKP"),
-        "int_pn_infor": lambda: p.material_stock_context,
-        "int_factory_calendar": lambda: p.factory_calendar,
-        "int_working_calendar": lambda: p.working_calendar,
-        "int_inbound_deliveries_asn": lambda: p.announced,
-        "int_tt_quota": lambda: p.transit_quota,
-        "mart_shortage_report": lambda: p.shortage_report,
-        "mart_inventory_simulation": lambda: p.inventory_simulation,
-        "mart_consumption": lambda: p.consumption,
-        "mart_vendor_performance": lambda: p.vendor_performance,
-    }
-    return {name: frames[name]() for name in names}
+def _detail_supply(p: Planning) -> DataFrame:
+    """Over a stored supply context, as a refresh builds it."""
+    tables = Tables(p.extracts.spark, scratch_folder(p.extracts.spark))
+    return p.detail_supply_from(tables.write("int_partial_detail_supply", p.supply_context))
 
 
 STAGED = (
@@ -239,7 +224,7 @@ FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
     "supply_context": lambda p: p.supply_context,
     "supply_gap_fill": lambda p: p.supply_gap_fill,
     # marts
-    "detail_supply": lambda p: p.detail_supply,
+    "detail_supply": _detail_supply,
     "consumption": lambda p: p.consumption,
     "inventory_simulation": lambda p: p.inventory_simulation,
     "shortage_report": lambda p: p.shortage_report,
@@ -266,19 +251,19 @@ FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
     "weekly_demand": lambda p: serving.weekly_demand(p.consumption),
     # model tests
     "dq_unique": lambda p: quality.dq_unique(
-        faults.repeated_tables(model_tables(p, set(quality.UNIQUE)), quality.UNIQUE),
+        faults.repeated_tables(p.model_tables(set(quality.UNIQUE)), quality.UNIQUE),
         quality.UNIQUE,
     ),
     "dq_not_null": lambda p: quality.dq_not_null(
-        faults.blanked_tables(model_tables(p, set(quality.NOT_NULL))), quality.NOT_NULL
+        faults.blanked_tables(p.model_tables(set(quality.NOT_NULL))), quality.NOT_NULL
     ),
     "dq_accepted_values": lambda p: quality.dq_accepted_values(
-        faults.unaccepted_tables(model_tables(p, {t for t, _ in quality.ACCEPTED_VALUES})),
+        faults.unaccepted_tables(p.model_tables({t for t, _ in quality.ACCEPTED_VALUES})),
         quality.ACCEPTED_VALUES,
     ),
     "dq_unique_combo": lambda p: quality.dq_unique_combo(
         faults.repeated_tables(
-            model_tables(p, set(quality.UNIQUE_COMBINATIONS)), quality.UNIQUE_COMBINATIONS
+            p.model_tables(set(quality.UNIQUE_COMBINATIONS)), quality.UNIQUE_COMBINATIONS
         ),
         quality.UNIQUE_COMBINATIONS,
     ),

@@ -7,6 +7,7 @@ from planning_cases import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from runout.operators import integrity, quality
 from runout.operators.purchasing import late_shipment
 from runout.plans.queries import QUERIES, planning, stored_planning
 
@@ -115,8 +116,38 @@ def test_coverage_has_no_lambda(spark):
     assert not any(name in plan for name in ("array_append", "array_position", "array_insert"))
 
 
+@pytest.mark.parametrize(("name", "tables"), [("pk_duplicates", 14), ("fk_orphans", 10), ("fk_orphans_composite", 6)])
+def test_key_checks_read_each_table_once(spark, tmp_path, name, tables):
+    """One scan a table and, combined map-side, one exchange of keys and one of rules."""
+    extracts = stored_planning(spark, SMALL, str(tmp_path)).extracts
+    plan = plan_of(getattr(integrity, name)(extracts))
+    assert plan.count("FileScan parquet") == tables
+    assert plan.count("Exchange hashpartitioning(rule#") == 3
+    keyed = plan[plan.index("Exchange hashpartitioning(rule#") :]
+    assert "partial_sum(n#" in keyed
+
+
+def test_model_tests_read_each_table_once(spark, tmp_path):
+    plan = stored_planning(spark, SMALL, str(tmp_path))
+    empty = {t: spark.createDataFrame([], df.schema) for t, df in plan.model_tables(quality.model_rules()).items()}
+    for table, df in empty.items():
+        df.write.parquet(f"{tmp_path}/tested/{table}")
+    tested = {t: spark.read.parquet(f"{tmp_path}/tested/{t}") for t in empty}
+    found = plan_of(quality.model_violations(tested))
+    assert found.count("FileScan parquet") == len(tested) == 14
+
+
+def test_composing_the_detail_supply_writes_nothing(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    plan = planning(spark, SMALL)
+    lazy = type(plan)(plan.extracts, plan.lanes, plan.params)
+    monkeypatch.setattr(DataFrameWriter, "parquet", None)
+    assert "array_except" in plan_of(lazy.detail_supply)
+
+
 def test_detail_supply_reads_its_context_once_composed(spark):
-    plan = plan_of(planning(spark, SMALL).detail_supply)
+    plan = plan_of(QUERIES["detail_supply"](spark, SMALL))
     scanned = set(re.findall(r"FileScan parquet.*?Location: InMemoryFileIndex\([^)]*\)\[([^\]]*)\]", plan))
     assert not any("lineitem" in path for path in scanned)
 

@@ -64,6 +64,41 @@ def test_orphans(frame):
     assert integrity.orphans(child, ["k", "j"], parent, ["k", "j"]).count() == 3
 
 
+def test_all_rules_of_a_table_in_one_pass(frame):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("b", 1, None), (None, 1, "z"), (None, 1, "z"), ("c", None, "x")]
+    df = frame("k string, n int, v string", rows)
+    rules = [
+        quality.unique_rule("t", "k"),
+        quality.unique_rule("t", "k", "n"),
+        quality.null_rule("t", "n", ["k", "v"]),
+        quality.accepted_rule("t", "v", ["x"]),
+        quality.Rule("n over 1", ("k",), quality.BROKEN, F.col("n") > 1),
+        quality.Rule("never", ("k",), quality.BROKEN, F.lit(False)),
+    ]
+    found = quality.violations(df, rules)
+    assert sorted(tuple(r) for r in found.collect()) == sorted([
+        ("unique t.k", '{"k":"a"}', 2), ("unique t(k,n)", '{"n":1}', 2), ("not_null t.n", '{"k":"c","v":"x"}', 1),
+        ("accepted_values t.v", '{"v":"y"}', 1), ("accepted_values t.v", '{"v":"z"}', 2), ("n over 1", '{"k":"a"}', 1),
+    ])
+    assert counts(quality.counted(found, rules)) == {
+        "unique t.k": 1, "unique t(k,n)": 1, "not_null t.n": 1, "accepted_values t.v": 2, "n over 1": 1, "never": 0,
+    }
+    assert counts(quality.counted(quality.violations(df.where("false"), rules), rules)) == {r.name: 0 for r in rules}
+    shown = quality.shown(found, 1).collect()
+    assert len(shown) == 5 and ("accepted_values t.v", '{"v":"z"}', 2) in [tuple(r) for r in shown]
+
+
+def test_key_counts_of_several_tables(frame):
+    tables = {
+        "P": frame("k string, j string", [("1", "a"), ("1", "a"), ("3", None), (None, None)]),
+        "C": frame("k string, j string", [("1", "a"), ("1", "b"), ("2", "a"), (None, "a"), ("3", None)] + [("1", "a")] * 50),
+    }
+    keys = [("C", ["k"], "P", ["k"]), ("C", ["k", "j"], "P", ["k", "j"])]
+    assert counts(integrity._orphan_counts(tables, keys)) == {"C(k) in P(k)": 2, "C(k,j) in P(k,j)": 4}
+    none = {"P": tables["P"].where("false"), "C": tables["C"].where("false")}
+    assert counts(integrity._orphan_counts(none, keys)) == {"C(k) in P(k)": 0, "C(k,j) in P(k,j)": 0}
+
+
 @pytest.fixture(scope="module")
 def extracts(frame):
     return {

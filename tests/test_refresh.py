@@ -1,12 +1,16 @@
 """The full run from CSV extracts, twice, against the same queries over the source tables."""
 
+import json
+
 import pytest
 from planning_cases import SMALL
+from pyspark.sql import functions as F
 
 from runout.operators import quality
 from runout.operators.staging import STAGING
+from runout.plans.lineage import Planning
 from runout.plans.queries import planning
-from runout.plans.refresh import refresh
+from runout.plans.refresh import refresh, run_model_tests
 from runout.fixtures.order_tables import PARAMS
 from runout.sources.sinks import Tables
 
@@ -46,6 +50,7 @@ def test_refresh_twice(spark, run):
     assert len(tests) == 29
     failed = {r.rule for r in tests if r.n_violations}
     assert failed == set()
+    assert tables.read("mart_model_test_rows").count() == 0
 
     audit = {
         r.table_name: r.n_rows
@@ -57,6 +62,36 @@ def test_refresh_twice(spark, run):
         assert spark.table(f"stg_{table.lower()}").columns == plan.stg(table).columns
 
 
+def test_broken_rules_are_stored_with_their_rows(spark, run, tmp_path, monkeypatch):
+    direct, _, _ = run
+    plan = Planning(direct.extracts, direct.lanes, PARAMS)
+    marc, report = plan.stg("MARC"), plan.shortage_report
+    first = F.col("marc_id") == marc.agg(F.min("marc_id")).first()[0]
+    broken = {
+        "stg_marc": marc.withColumn("procurement_type", F.when(first, "Z").otherwise(F.col("procurement_type"))),
+        "mart_shortage_report": report.withColumn("red_days", F.lit(-1)).unionAll(report.where(first)),
+    }
+    whole = Planning.model_tables
+    monkeypatch.setattr(Planning, "model_tables", lambda self, names: {**whole(self, names), **broken})
+    tables = Tables(spark, str(tmp_path))
+    run_model_tests(plan, tables)
+    n = {r.rule: r.n_violations for r in tables.read("mart_model_tests").collect()}
+    assert len(n) == 29
+    rows = tables.read("mart_model_test_rows").collect()
+    assert {r.rule for r in rows} == {rule for rule, count in n.items() if count}
+    materials = report.count()
+    one = json.dumps({"marc_id": marc.agg(F.min("marc_id")).first()[0]}, separators=(",", ":"))
+    assert n["red_days not negative"] == materials
+    assert n["unique mart_shortage_report.marc_id"] == 1
+    assert [r.key for r in rows if r.rule == "unique mart_shortage_report.marc_id"] == [one]
+    assert [(r.key, r.n) for r in rows if r.rule == "accepted_values stg_marc.procurement_type"] == [
+        ('{"procurement_type":"Z"}', 1)
+    ]
+    assert sum(r.rule == "red_days not negative" for r in rows) == materials
+    few = quality.shown(tables.read("mart_model_test_rows"), 3)
+    assert few.where("rule = 'red_days not negative'").count() == 3
+
+
 def test_missing_extract_is_an_error(spark, run, tmp_path):
     direct, _, _ = run
     direct.extracts["T001W"].write.option("header", True).csv(
