@@ -61,7 +61,7 @@ def edge(df: DataFrame) -> DataFrame:
 
 def _seed(p: Planning) -> DataFrame:
     """The lanes written as a seed file and read from it."""
-    spark = p.extracts.spark
+    spark = p.lanes.sparkSession
     path = f"{scratch_folder(spark)}/seed_transit_time.csv"
     p.lanes.write.option("header", True).csv(path)
     return read_lanes(spark, path)
@@ -87,7 +87,7 @@ def _available_date(p: Planning) -> DataFrame:
 
 def _stored_extracts(p: Planning, stamps: dict[str, list[str]]) -> str:
     """Write extracts as CSV folders; those before the last stamp of a table hold every row twice."""
-    spark = p.extracts.spark
+    spark = p.lanes.sparkSession
     root = scratch_folder(spark)
     for table, dates in stamps.items():
         for stamp in dates:
@@ -101,7 +101,7 @@ def _stored_extracts(p: Planning, stamps: dict[str, list[str]]) -> str:
 
 
 def _extract_latest(p: Planning) -> DataFrame:
-    spark = p.extracts.spark
+    spark = p.lanes.sparkSession
     root = _stored_extracts(
         p, {"LFA1": ["19991231", "20000103"], "RESB": ["19991201", "20000103"]}
     )
@@ -113,18 +113,18 @@ def _extract_latest(p: Planning) -> DataFrame:
 
 def _load_audit(p: Planning) -> DataFrame:
     """The audit of a load of all extracts."""
-    tables = Tables(p.extracts.spark, scratch_folder(p.extracts.spark))
+    tables = Tables(p.lanes.sparkSession, scratch_folder(p.lanes.sparkSession))
     return extract_files.load_audit(tables, extract_files.load(tables, p.extracts))
 
 
 def _bronze_read(p: Planning) -> DataFrame:
     root = _stored_extracts(p, {"RESB": ["20000103"]})
-    return extract_files.read_extracts(p.extracts.spark, root)["RESB"]
+    return extract_files.read_extracts(p.lanes.sparkSession, root)["RESB"]
 
 
 def _bronze_write(p: Planning) -> DataFrame:
     """Written twice: the second refresh replaces the first."""
-    spark = p.extracts.spark
+    spark = p.lanes.sparkSession
     tables = Tables(spark, scratch_folder(spark))
     for _ in range(2):
         stored = tables.write("LFA1", p.extracts["LFA1"], EXTRACTS["LFA1"])
@@ -133,7 +133,7 @@ def _bronze_write(p: Planning) -> DataFrame:
 
 def _layer_tables(p: Planning) -> DataFrame:
     """A table of every stored layer, written by name and counted where the layer keeps it."""
-    spark = p.extracts.spark
+    spark = p.lanes.sparkSession
     root = scratch_folder(spark)
     tables = Tables(spark, root)
     frames = {
@@ -167,7 +167,7 @@ def _filter_options(p: Planning) -> DataFrame:
 
 def _detail_supply(p: Planning) -> DataFrame:
     """Over a stored supply context, as a refresh builds it."""
-    tables = Tables(p.extracts.spark, scratch_folder(p.extracts.spark))
+    tables = Tables(p.lanes.sparkSession, scratch_folder(p.lanes.sparkSession))
     return p.detail_supply_from(tables.write("int_partial_detail_supply", p.supply_context))
 
 
