@@ -11,6 +11,7 @@ import re
 
 ANCHOR = "DATE '2000-01-03'"
 END = "DATE '2000-05-02'"  # anchor + 120
+SHOWN_MATERIAL = "000000000000000001-1001"
 
 RELATIONS = {
     "line": f"""
@@ -403,25 +404,20 @@ RELATIONS = {
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
                   AS simulated_inventory_qty
         FROM daily""",
-    "report": f"""
-        SELECT s.marc_id, MAX(s.material_number) AS material_number, MAX(s.plant) AS plant,
-               MAX(s.abc_indicator) AS abc_class, MAX(s.available_stock) AS available_stock,
-               MAX(s.safety_stock) AS safety_stock, MAX(s.backlog_qty) AS overdue_backlog_qty,
-               COALESCE(MAX(t.max_tt), 0) AS max_tt,
-               {ANCHOR} + COALESCE(MAX(t.max_tt), 0) AS end_of_tt_gr,
-               COUNT(CASE WHEN simulated_inventory_qty < 0 THEN 1 END) AS red_days,
-               COUNT(CASE WHEN simulated_inventory_qty < 0
-                           AND s.calendar_date - {ANCHOR} <= COALESCE(t.max_tt, 0) THEN 1 END)
-                   AS red_days_in_tt,
-               MIN(CASE WHEN s.calendar_date - {ANCHOR} <= COALESCE(t.max_tt, 0)
-                        THEN simulated_inventory_qty END) AS min_qty_in_tt_gr,
-               CASE WHEN COUNT(CASE WHEN simulated_inventory_qty < 0
-                                     AND s.calendar_date - {ANCHOR} <= COALESCE(t.max_tt, 0)
-                                    THEN 1 END) = 0 THEN 'No Shortage' ELSE 'Shortage' END
-                   AS status
-        FROM sim s LEFT JOIN (SELECT marc_id, MAX(max_tt) AS max_tt FROM tt GROUP BY 1) t
-            ON t.marc_id = s.marc_id
-        GROUP BY s.marc_id""",
+    "wait": """
+        SELECT marc_id, MAX(max_tt) AS days FROM tt GROUP BY marc_id""",
+    "watched": f"""
+        SELECT s.*, COALESCE(w.days, 0) AS max_tt, {ANCHOR} + COALESCE(w.days, 0) AS window_end,
+               s.simulated_inventory_qty < 0 AS red,
+               s.calendar_date <= {ANCHOR} + COALESCE(w.days, 0) AS inside
+        FROM sim s LEFT JOIN wait w ON w.marc_id = s.marc_id""",
+    "report": """
+        SELECT marc_id, material_number, plant, abc_indicator AS abc_class, available_stock,
+               safety_stock, backlog_qty AS overdue_backlog_qty, max_tt, window_end AS end_of_tt_gr,
+               SUM(red::INT)::BIGINT AS red_days, SUM((red AND inside)::INT)::BIGINT AS red_days_in_tt,
+               MIN(IF(inside, simulated_inventory_qty, NULL)) AS min_qty_in_tt_gr,
+               IF(BOOL_OR(red AND inside), 'Shortage', 'No Shortage') AS status
+        FROM watched GROUP BY ALL""",
     "vendor": """
         SELECT v.vendor_number, v.vendor_name, v.country,
                COALESCE(d.done, 0) AS completed_delivery_lines,
@@ -529,6 +525,18 @@ def relation(name: str, rest: str = "", without: str = "") -> str:
     return statement(f"SELECT {star} FROM {name} {rest}")
 
 
+def _red_zone(rest: str = "") -> str:
+    """Days below zero with the material's summary, all of it from the watched days themselves."""
+    return statement(
+        "SELECT marc_id, calendar_date, CAST(simulated_inventory_qty AS DOUBLE) AS simulated_inventory_qty,"
+        f" {ANCHOR} AS window_start, window_end, max_tt, CAST(available_stock AS DOUBLE) AS available_stock,"
+        " CAST(safety_stock AS DOUBLE) AS safety_stock, CAST(backlog_qty AS DOUBLE) AS overdue_backlog_qty,"
+        " n AS red_days_in_tt, IF(n > 0, 'Shortage', 'No Shortage') AS status"
+        " FROM (SELECT *, SUM((red AND inside)::INT) OVER (PARTITION BY marc_id)::BIGINT AS n FROM watched)"
+        f" WHERE red {rest}"
+    )
+
+
 def _marked(column: str) -> str:
     """Rows that the checks' faults are put into: the first number of a column ends in 3."""
     return f"coalesce(TRY_CAST(regexp_extract(CAST({column} AS VARCHAR), '([0-9]+)', 1) AS BIGINT) % 10 = 3, false)"
@@ -810,15 +818,8 @@ ORACLES = {
         " CAST(SUM(overdue_backlog_qty) AS DOUBLE) AS overdue_total,"
         " MAX(red_days) AS max_red_days FROM report"
     ),
-    "red_zone": statement(
-        "SELECT s.marc_id, s.calendar_date, CAST(s.simulated_inventory_qty AS DOUBLE)"
-        f" AS simulated_inventory_qty, {ANCHOR} AS window_start,"
-        " CAST(r.available_stock AS DOUBLE) AS available_stock,"
-        " CAST(r.safety_stock AS DOUBLE) AS safety_stock,"
-        " CAST(r.overdue_backlog_qty AS DOUBLE) AS overdue_backlog_qty, r.max_tt,"
-        " r.end_of_tt_gr AS window_end, r.status, r.red_days_in_tt"
-        " FROM sim s JOIN report r ON r.marc_id = s.marc_id WHERE s.simulated_inventory_qty < 0"
-    ),
+    "red_zone": _red_zone(f"AND marc_id = '{SHOWN_MATERIAL}'"),
+    "red_zones": _red_zone(),
     "vendor_kpis": statement(
         "SELECT COUNT(*) AS vendors, round(AVG(otd_rate), 6) AS avg_otd, MIN(otd_rate)"
         " AS worst_otd,"

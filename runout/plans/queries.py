@@ -243,7 +243,10 @@ FRAMES: dict[str, Callable[[Planning], DataFrame]] = {
     ),
     "filter_options": _filter_options,
     "overview_kpis": lambda p: serving.overview_kpis(p.shortage_report),
-    "red_zone": lambda p: serving.red_zone(p.inventory_simulation, p.shortage_report),
+    "red_zone": lambda p: serving.red_zone(
+        p.inventory_simulation, p.shortage_report, SHOWN_MATERIAL
+    ),
+    "red_zones": lambda p: serving.red_zone(p.inventory_simulation, p.shortage_report),
     "vendor_kpis": lambda p: serving.vendor_kpis(p.vendor_performance),
     "vendors_bottom10": lambda p: serving.vendors_bottom(p.vendor_performance),
     "vendor_band": lambda p: serving.vendor_band(p.vendor_performance),
