@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -48,15 +49,24 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 _shipped: set[str] = set()
+_UNITS = {"": 1, "b": 1} | {u: 1024**i for i, c in enumerate("kmgtp", 1) for u in (c, f"{c}b")}
+
+
+def bytes_of(size: str) -> int:
+    """A number of bytes as Spark writes it: ``64m``, ``16777216b``, ``1g`` or a plain number."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", size.lower()).groups()
+    return int(number) * _UNITS[unit]
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, and bound their Arrow batches.
 
-    A batch is held by the executor and by its worker at once; the session's larger bounds are lowered.
+    A batch is held by the executor and by its worker at once, so the session's bounds are lowered where
+    they are larger. Spark reads them when a plan runs, which may be long after it is composed: they stay
+    lowered for the session's later queries, whose results they cannot change.
     """
     for setting, most in ARROW_BATCH.items():
-        if not 0 < int(spark.conf.get(setting).removesuffix("b")) <= most:
+        if not 0 < bytes_of(spark.conf.get(setting)) <= most:
             spark.conf.set(setting, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:

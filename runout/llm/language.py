@@ -8,8 +8,10 @@ takes the language of least loss. The score is the softmax of the negated losses
 codewords lie closer than ``margin`` is flagged as ambiguous.
 
 Up to seven languages the code is exhaustive (all splits, 2^(L-1) - 1 bits, any two words half the bits
-apart); beyond, the best of some seeded random codes. Training takes at most ``TRAIN_DOCS`` documents per
-language of at most ``TRAIN_CHARS`` characters, chosen by a hash of their id; scoring reads every text whole.
+apart); beyond, the best of some seeded random codes. Training takes at most ``TRAIN_DOCS`` different
+documents per language, those whose hash of id and text is lowest; each language has its own, so no language
+is lost beside a larger one. Texts are read whole, however long, by tasks: the driver gets counts of grams per
+language and, for the regressions, one number a bit and document.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and not ambiguous; so is
 every text if there is nothing to learn from; with one language learned every text with a letter has it,
@@ -20,19 +22,18 @@ sorts first.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runout.llm.common import arrow_schema, ship, slices
+from runout.llm.common import arrow_schema, ship, slices, stored
 
 #: Bound of the training sample, per language.
 TRAIN_DOCS = 1000
-TRAIN_CHARS = 20_000
 BUCKETS = 1 << 16
 PIECE = 1 << 20
 
@@ -119,51 +120,119 @@ def _slope_and_offset(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple
     return float(theta[0]), float(theta[1])
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """A model from (language, text) rows; languages sort by name."""
-    languages = sorted({lang for lang, _ in rows})
+def bare_model(counts: dict[str, np.ndarray]) -> Model:
+    """Log-odds of the grams for every bit, from counts of grams per language; languages sort by name."""
+    languages = sorted(counts)
     code = codewords(len(languages)) if languages else np.zeros((0, 0), int)
-    empty = Model(languages, code, np.zeros((BUCKETS, code.shape[1]), np.float32), *np.zeros((2, code.shape[1])), np.ones(code.shape[1]))
+    bits = code.shape[1]
+    plain = (np.ones(bits), np.zeros(bits), np.ones(bits))
     if len(languages) < 2:
-        return empty
-    counts = np.zeros((len(languages), BUCKETS))
-    place = {lang: i for i, lang in enumerate(languages)}
-    for lang, text in rows:
-        for piece in grams(text):
-            counts[place[lang]] += np.bincount(piece, minlength=BUCKETS)
-    shares = (counts + 0.1) / (counts + 0.1).sum(axis=1, keepdims=True)
+        return Model(languages, code, np.zeros((BUCKETS, bits), np.float32), *plain)
+    shares = np.stack([counts[lang] for lang in languages]) + 0.1
+    shares /= shares.sum(axis=1, keepdims=True)
     on = code > 0
     sides = [(shares.T @ side) / side.sum(axis=0) for side in (on.astype(float), (~on).astype(float))]
-    bare = Model(languages, code, np.log(sides[0] / sides[1]).astype(np.float32), np.ones(code.shape[1]), np.zeros(code.shape[1]), np.ones(code.shape[1]))
-    scored = [(place[lang], m) for lang, text in rows if (m := bare.margins(text)) is not None]
-    y = np.array([i for i, _ in scored])
+    return Model(languages, code, np.log(sides[0] / sides[1]).astype(np.float32), *plain)
+
+
+def calibrated(bare: Model, scored: list[tuple[str, np.ndarray]]) -> Model:
+    """Slopes, offsets and trust of the bits from (language, bare margins) of the training documents."""
+    if len(bare.languages) < 2 or not scored:
+        return bare
+    place = {lang: i for i, lang in enumerate(bare.languages)}
+    y = np.array([place[lang] for lang, _ in scored])
     z = np.array([m for _, m in scored])
-    weight = 1 / np.bincount(y, minlength=len(languages))[y]
-    fitted = [_slope_and_offset(z[:, b], on[y, b].astype(float), weight) for b in range(code.shape[1])]
+    on = bare.code > 0
+    weight = 1 / np.bincount(y, minlength=len(place))[y]
+    fitted = [_slope_and_offset(z[:, b], on[y, b].astype(float), weight) for b in range(z.shape[1])]
     slope, offset = map(np.array, zip(*fitted, strict=True))
     right = ((z * slope + offset > 0) == on[y]).astype(float)
     accuracy = (right * weight[:, None]).sum(axis=0) / weight.sum()
     trust = np.maximum(2 * accuracy - 1, 0.01)
-    return Model(languages, code, bare.weights, slope, offset, trust / trust.mean())
+    return Model(bare.languages, bare.code, bare.weights, slope, offset, trust / trust.mean())
 
 
-def training_rows(docs: DataFrame, learn: Column, docs_per_language: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows: per language those whose id hashes lowest."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return []
-    share = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, docs_per_language / n))))
-    lot = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where((lot < F.element_at(share, F.col("lang"))) & (F.length("text") <= TRAIN_CHARS))
-    return [tuple(r) for r in sample.select("lang", "text").orderBy("lang", F.xxhash64("text")).limit(2 * docs_per_language * len(counts)).collect()]
+def gram_counts(rows: Iterable[tuple[str, str]]) -> dict[str, np.ndarray]:
+    counts: dict[str, np.ndarray] = {}
+    for lang, text in rows:
+        total = counts.setdefault(lang, np.zeros(BUCKETS))
+        for piece in grams(text):
+            total += np.bincount(piece, minlength=BUCKETS)
+    return counts
+
+
+def fit(rows: list[tuple[str, str]]) -> Model:
+    """A model from (language, text) rows."""
+    bare = bare_model(gram_counts(rows))
+    return calibrated(bare, [(lang, m) for lang, t in rows if (m := bare.margins(t)) is not None])
+
+
+def training_rows(docs: DataFrame, learn: Column, docs_per_language: int = TRAIN_DOCS) -> DataFrame:
+    """(lang, lot, text) of a bounded number of different labelled documents per language.
+
+    The lot is a hash of id and text, so copies are one document. Few lots pass the first filter in a large
+    language and all do in a small one; the lowest of those that pass are counted off per language.
+    """
+    known = [F.col(c).isNotNull() for c in ("lang", "text", "doc_id")]
+    rows = docs.where(learn & known[0] & known[1] & known[2])
+    rows = rows.select("lang", F.xxhash64("doc_id", "text", F.lit("language")).alias("lot"), "text")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("lot").alias("n")).collect()
+    if not sizes:
+        return rows
+    share = F.create_map(*(F.lit(v) for r in sizes for v in (r.lang, min(1.0, 4 * docs_per_language / max(1, r.n)))))
+    place = F.pmod(F.col("lot"), F.lit(1 << 30)) / float(1 << 30)
+    passed = rows.where(place < F.element_at(share, F.col("lang")))
+    lowest = Window.partitionBy("lang").orderBy(place, "lot")
+    chosen = passed.select("lang", "lot").distinct().withColumn("nth", F.row_number().over(lowest))
+    chosen = chosen.where(F.col("nth") <= docs_per_language).select("lang", "lot")
+    # bounded: docs_per_language rows of a name and a number per language
+    found = passed.join(F.broadcast(chosen), ["lang", "lot"])
+    return found.groupBy("lang", "lot").agg(F.first("text").alias("text"))
+
+
+def train(docs: DataFrame, learn: Column, docs_per_language: int = TRAIN_DOCS) -> Model:
+    """The model of a bounded sample of the rows where ``learn`` holds."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = stored(training_rows(docs, learn, docs_per_language).select("lang", "text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = gram_counts(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for lang, total in found.items():
+                bucket = np.flatnonzero(total)
+                columns = [pa.array([lang] * len(bucket)), pa.array(bucket), pa.array(total[bucket].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
+            if not found:
+                continue
+            # a language whose texts have no gram is known as well
+            columns = [pa.array(list(found)), pa.array([0] * len(found)), pa.array([0] * len(found))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
+
+    totals = rows.mapInArrow(count, "lang string, bucket long, n long")
+    totals = totals.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts: dict[str, np.ndarray] = {}
+    langs = np.array(totals.column("lang").to_pylist(), object)
+    for lang in set(langs):
+        counts[lang] = np.zeros(BUCKETS)
+        mine = langs == lang
+        counts[lang][totals.column("bucket").to_numpy()[mine]] = totals.column("n").to_numpy()[mine]
+    shared = spark.sparkContext.broadcast(bare_model(counts))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            margins = [shared.value.margins(t) for t in batch.column(1).to_pylist()]
+            margins = pa.array([None if m is None else m.tolist() for m in margins], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), margins], names=["lang", "margins"])
+
+    found = rows.mapInArrow(score, "lang string, margins array<double>").where("margins IS NOT NULL").collect()
+    return calibrated(shared.value, sorted((r.lang, tuple(r.margins)) for r in found))
 
 
 def identify(docs: DataFrame, learn: Column, margin: float = 0.5) -> DataFrame:
     """Per document: doc_id, lang_pred, score and ambiguous, learned from the rows where ``learn`` holds."""
     spark = docs.sparkSession
-    ship(spark)
-    model = spark.sparkContext.broadcast(fit(training_rows(docs, learn)))
+    model = spark.sparkContext.broadcast(train(docs, learn))
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, lang_pred string, score double, ambiguous boolean"
     schema = arrow_schema(spark, ddl)
