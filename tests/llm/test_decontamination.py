@@ -1,5 +1,8 @@
+import os
+import random
 import re
 
+import numpy as np
 import pytest
 
 from runout.llm import decontamination as D
@@ -42,6 +45,61 @@ def test_blocks_give_the_same(edge, benchmark):
     assert sorted(several, key=repr) == sorted(one, key=repr)
 
 
+def naive(items, n, text):
+    """Ranges and ids by looking every window up in a dictionary."""
+    windows = {}
+    for item_id, item in items:
+        w = D.normalised_words(item)
+        for i in range(max(1, len(w) - n + 1) if w else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).update([] if item_id is None else [item_id])
+    words = D.normalised_words(text)
+    found = [(i, i + k - 1, windows[t]) for k in {len(w) for w in windows} for i in range(len(words) - k + 1) if (t := tuple(words[i : i + k])) in windows]
+    return len(words), sorted((a, b) for a, b, _ in found), set().union(*(ids for *_, ids in found))
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_automaton_against_a_dictionary_of_windows(seed, monkeypatch, tmp_path):
+    """Few words, so that windows overlap, nest and share beginnings; links and steps are forgotten often."""
+    monkeypatch.setattr(D, "REMEMBERED", 5)
+    monkeypatch.setattr(D, "PIECE_BYTES", 30)
+    rng = random.Random(seed)
+    n = rng.choice([1, 2, 3, 5, 20])  # at 20 every item is one window
+    letters = "abc"[: rng.choice([2, 3])]
+    text = lambda most: " ".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+    items = [(rng.choice([None, "i1", "i2", str(i)]), text(rng.choice([2, 4, 9]))) for i in range(8)]
+    automaton = D.build_automaton(items, n)
+    if automaton:
+        automaton.save(str(tmp_path / "a"))
+        automaton = D.Automaton.load(str(tmp_path / "a"))
+    texts = [None, "", *(text(40) for _ in range(30)), "x " + text(9) + " y " + text(9)]
+    got = D.scan_texts([automaton] if automaton else [], texts)
+    for t, (n_words, ranges, ids) in zip(texts, got, strict=True):
+        assert (n_words, sorted(ranges), ids) == naive(items, n, t)
+
+
+def test_a_benchmark_of_real_size(spark, tmp_path):
+    """10 MB of items: one scan, a file some seven times as large, and every planted passage found."""
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(40_000)])
+    items = [(str(i), " ".join(words[rng.integers(0, len(words), 60)])) for i in range(28_000)]
+    assert sum(len(t) for _, t in items) > 10_000_000
+    automaton = D.build_automaton(items, 10)
+    automaton.save(str(tmp_path / "a"))
+    assert os.path.getsize(tmp_path / "a") < 12 * 10_000_000
+    benchmark = spark.createDataFrame(items, "item_id string, text string").repartition(4)
+    plain = lambda: " ".join(words[rng.integers(0, len(words), 300)])
+    rows = [(i, plain()) for i in range(200)]
+    for i in range(200, 400):
+        part = items[rng.integers(0, len(items))][1].split()[20 : 20 + (10 if i % 2 else 9)]
+        rows.append((i, f"{plain()} {' '.join(part).upper()}, {plain()}"))
+    got = D.benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+    assert got.count() == 400
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    hits = {r.doc_id: r.n_hit for r in got.collect()}
+    assert all((hits[i] == 10) == (i >= 200 and i % 2 == 1) and hits[i] in (0, 10) for i in hits)
+
+
 def test_words_keep_other_characters_as_they_are():
     assert D.normalised_words("ÄA-b_1   cİ") == ["Äa", "b", "1", " cİ"]
     assert D.normalised_words(None) == []
