@@ -3,7 +3,8 @@
 Every rule is a condition that rejects a text. On a sample the rejections of each rule are counted and
 its evaluation is timed; rules then run in order of rejection per cost, as the branches of one CASE WHEN:
 a text leaves at the first rule that rejects it and the dearer rules never see it. The verdict does not
-depend on the order, only the time does (and the name of the rule that a text left by).
+depend on the order, only the time does (and the name of the rule that a text left by). A text is split into
+words once, whichever rules look at them.
 
 Words are runs of characters other than space and U+0009 to U+000D. Nothing is shuffled: repeated
 five-word windows are found inside each row, first by comparing the number of distinct window hashes with
@@ -28,6 +29,11 @@ from runout.llm.common import stored
 #: Bound of the sample that rules are timed on: rows, and characters of a text that may enter it.
 SAMPLE_ROWS = 500
 SAMPLE_CHARS = 20_000
+#: Seconds that a timed evaluation is to take beside reading, the most copies of the sample that it is
+#: given to reach them, and seconds by which jobs differ anyway: no cost is taken to be less.
+TIMED_SECONDS, MOST_COPIES, NOISE_SECONDS = 0.2, 128, 0.02
+#: Factor by which ranks, or costs, must differ to count as different.
+APART = 1.5
 
 _BLANK = " \t\n\x0b\f\r"
 
@@ -45,10 +51,6 @@ def words_of(text: Column) -> Column:
     )
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words_of(text)).cast("long")
-
-
 def word_chars(text: Column) -> Column:
     """Code points inside words."""
     return F.coalesce(F.length(F.translate(text, _BLANK, "")), F.lit(0)).cast("long")
@@ -59,19 +61,16 @@ def n_symbols(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")), F.lit(0)).cast("long")
 
 
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-
-
-def n_dup_lines(text: Column) -> Column:
-    """Lines with a word that equal an earlier line."""
-    count = let(_lines(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
-    return F.coalesce(count, F.lit(0)).cast("long")
-
-
-def n_repeat_words(text: Column, size: int = 5) -> Column:
-    """Words inside windows of ``size`` words that occur twice or more in the text."""
-    return let(words_of(text), lambda words: _repeat_words(words, size)).cast("long")
+def line_counts(text: Column) -> Column:
+    """Lines with a word (n), and those of them that equal an earlier line (dup)."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    with_words = F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    return let(
+        with_words,
+        lambda found: F.struct(
+            F.size(found).alias("n"), (F.size(found) - F.size(F.array_distinct(found))).alias("dup")
+        ),
+    )
 
 
 def _repeat_words(words: Column, size: int) -> Column:
@@ -120,24 +119,22 @@ class Counts:
     chars: Column
     n_words: Column
     n_symbols: Column
-    n_lines: Column
-    n_dup_lines: Column
+    lines: Column  # as ``line_counts`` has them
     n_repeat_words: Column
     n_upper: Column
     n_not_letters: Column
 
     @classmethod
-    def of(cls, text: Column) -> Counts:
+    def of(cls, text: Column, words: Column) -> Counts:
         def kept(pattern: str) -> Column:
             return F.coalesce(F.length(F.regexp_replace(text, pattern, "")), F.lit(0))
 
         return cls(
             chars=F.coalesce(F.length(text), F.lit(0)),
-            n_words=n_words(text),
+            n_words=F.size(words),
             n_symbols=n_symbols(text),
-            n_lines=F.coalesce(F.size(_lines(text)), F.lit(0)),
-            n_dup_lines=n_dup_lines(text),
-            n_repeat_words=n_repeat_words(text),
+            lines=line_counts(text),
+            n_repeat_words=_repeat_words(words, 5),
             n_upper=kept(r"[^\p{Lu}]+"),
             n_not_letters=kept(r"[\p{L}\p{M}\s]+"),
         )
@@ -162,7 +159,7 @@ RULES = (
     Rule("upper_case", lambda c: 100 * c.n_upper > 45 * c.chars),
     Rule("not_letters", lambda c: 100 * c.n_not_letters > 55 * c.chars),
     Rule("long_words", lambda c: c.chars > 26 * c.n_words),
-    Rule("duplicate_lines", lambda c: 100 * c.n_dup_lines > 60 * c.n_lines),
+    Rule("duplicate_lines", lambda c: let(c.lines, lambda found: 100 * found["dup"] > 60 * found["n"])),
 )
 
 
@@ -171,45 +168,75 @@ class Estimate:
     rule: Rule
     cost: float  # seconds for the sample
     rejected: int  # rows of the sample
+    spread: float = 0.0  # of the timed runs, relative to their time
 
     @property
     def rank(self) -> float:
         return self.rejected / self.cost
 
 
-def estimate(
-    docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS
-) -> list[Estimate]:
-    """Cost and selectivity of every rule on a bounded sample of at most ``rows`` rows.
+def hash_sample(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The texts of some four times ``rows`` rows, chosen by a hash of the text: copies count once, in effect."""
+    share = min(1.0, 4 * rows / max(1, docs.count()))
+    lot = F.pmod(F.xxhash64(text_col, F.lit("rules")), F.lit(1 << 30)) / float(1 << 30)
+    texts = docs.where(lot < share).select(F.col(text_col).alias("text"))
+    return texts.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+
 
-    The sample only decides the order. Its rows are taken from as few partitions as have them, stored and
-    read again by every rule; each rule is run twice and the faster run counts, as the first one compiles.
-    What reading alone takes is subtracted.
+def bounded(sample: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` rows of a sample, stored, one row per text."""
+    return stored(sample.dropDuplicates(["text"]).orderBy(F.xxhash64("text", F.lit("rules"))).limit(rows))
+
+
+def estimate(sample: DataFrame, counts: Counts, rules: Sequence[Rule]) -> list[Estimate]:
+    """Cost and selectivity of every rule on a bounded, stored sample of the texts that reach the cascade.
+
+    ``counts`` are columns of the sample, as the cascade has them: what it finds computed is computed in the
+    sample as well, so that a rule is charged for its own work only. Every rule runs over as many copies of
+    the sample as it takes to be well above what jobs differ by. Reading as many copies is subtracted.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("text"))
-    taken = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).limit(rows).collect()
-    sample = stored(spark.createDataFrame(taken, texts.schema))
-
-    def timed(condition: Column) -> tuple[float, int]:
-        job, seconds = sample.agg(F.count_if(condition).alias("n")), []
-        for _ in range(2):
+    baselines: dict[int, float] = {}
+
+    def timed(condition: Column, copies: int) -> tuple[float, float, int]:
+        """Least seconds of three runs, the first of which compiles, their spread, and rows found."""
+        several = sample.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+        job, seconds, n = several.agg(F.count_if(condition).alias("n")), [], 0
+        for _ in range(3):
             start = time.perf_counter()
             n = job.first().n
             seconds.append(time.perf_counter() - start)
-        return min(seconds), n
+        return min(seconds), max(seconds[1:]) / min(seconds[1:]) - 1, n // copies
 
-    reading, _ = timed(F.length("text") < 0)
-    found = []
-    for rule in rules:
-        seconds, rejected = timed(rule.rejects(Counts.of(F.col("text"))))
-        found.append(Estimate(rule, max(seconds - reading, 1e-3), rejected))
-    return found
+    def of(rule: Rule) -> Estimate:
+        copies = 4
+        while True:
+            if copies not in baselines:
+                baselines[copies] = timed(F.length("text") < 0, copies)[0]
+            seconds, spread, rejected = timed(rule.rejects(counts), copies)
+            own = seconds - baselines[copies]
+            if own >= TIMED_SECONDS or copies >= MOST_COPIES:
+                return Estimate(rule, max(own, NOISE_SECONDS) / copies, rejected, spread)
+            copies = min(MOST_COPIES, copies * 8)
+
+    return [of(rule) for rule in rules]
 
 
 def ordered(estimates: Sequence[Estimate]) -> list[Rule]:
-    """Most rejections per cost first; among rules that reject nothing, the cheaper first."""
-    return [e.rule for e in sorted(estimates, key=lambda e: (-e.rank, e.cost, e.rule.name))]
+    """Most rejections per cost first; among rules that reject nothing, the cheaper first.
+
+    Rules that differ by less than ``APART``, which timing may turn around, keep the order they are given in.
+    """
+    place = {e.rule.name: i for i, e in enumerate(estimates)}
+    falling = sorted(((e.rank or -e.cost, e) for e in estimates), key=lambda x: -x[0])
+    groups: list[list[Estimate]] = []
+    before = 0.0
+    for rank, e in falling:
+        near = rank * before > 0 and (before <= rank * APART if rank > 0 else rank >= before * APART)
+        if not near:
+            groups.append([])
+        groups[-1].append(e)
+        before = rank
+    return [e.rule for g in groups for e in sorted(g, key=lambda e: place[e.rule.name])]
 
 
 def cascade(counts: Counts, rules: Sequence[Rule]) -> Column:
@@ -230,35 +257,53 @@ def _base_counts(words: Column) -> Column:
     )
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows with the counts that every text is asked for, all from its column ``text``, and base_failed."""
+    text = F.col("text")
+    base = let(words_of(text), _base_counts)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    found = rows.withColumn("base", base).withColumn("lines", line_counts(text))
+    return found.select(
+        *rows.columns,
+        *(F.col(f"base.{c}").cast("long").alias(c) for c in ("n_words", "word_chars", "n_repeat_words")),
+        n_symbols(text).alias("n_symbols"),
+        F.col("lines.dup").cast("long").alias("n_dup_lines"),
+        "lines",
+    ).withColumn("base_failed", failed)
+
+
+def _known() -> Counts:
+    """What the cascade of ``measure`` looks at: columns of ``_counted`` where these have it."""
+    counts = Counts.of(F.col("text"), F.lit(None).cast("array<string>"))
+    return replace(counts, **{c: F.col(c) for c in ("n_words", "n_symbols", "lines", "n_repeat_words")})
+
+
 def measure(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the base counts, base_failed, failed_rule (of the cascade) and kept.
 
-    The counts are asked for of every text; the cascade runs only where the base holds.
+    The counts are asked for of every text; the cascade runs only where the base holds, and is timed on
+    such texts, with the counts there.
     """
-    order = ordered(estimate(docs, rules, text_col))
-    text = F.col("text")
-    base = let(words_of(text), _base_counts)
-    counts = (
-        docs.select(F.col(id_col), F.col(text_col).alias("text"))
-        .select(id_col, "text", base.alias("base"))
-        .select(
-            id_col,
-            "text",
-            *(F.col(f"base.{c}").cast("long").alias(c) for c in ("n_words", "word_chars", "n_repeat_words")),
-            n_symbols(text).alias("n_symbols"),
-            n_dup_lines(text).alias("n_dup_lines"),
-        )
-    )
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    there = ("n_words", "n_symbols", "n_dup_lines", "n_repeat_words")
-    known = replace(Counts.of(text), **{c: F.col(c) for c in there})
-    judged = counts.withColumn("base_failed", failed).withColumn(
-        "failed_rule", F.when(~F.col("base_failed"), cascade(known, order))
+    survivors = bounded(_counted(hash_sample(docs, text_col)).where("NOT base_failed"))
+    order = ordered(estimate(survivors, _known(), rules))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    judged = _counted(rows).withColumn(
+        "failed_rule", F.when(~F.col("base_failed"), cascade(_known(), order))
     )
     kept = ~F.col("base_failed") & F.col("failed_rule").isNull()
-    return judged.withColumn("kept", kept).drop("text")
+    return judged.withColumn("kept", kept).select(
+        F.col("__id").alias(id_col),
+        *("n_words", "word_chars", "n_repeat_words", "n_symbols", "n_dup_lines", "base_failed", "failed_rule", "kept"),
+    )
+
+
+def order_for_texts(docs: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
+    """The order of rules that look at bare texts, timed with their words split already."""
+    sample = bounded(hash_sample(docs)).withColumn("words", words_of(F.col("text")))
+    return ordered(estimate(stored(sample), Counts.of(F.col("text"), F.col("words")), rules))
 
 
 def drop_rejected(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *RULES)) -> DataFrame:
     """The rows of ``docs``, all columns, whose ``text`` no rule rejects; base rules take part in the order."""
-    return docs.where(cascade(Counts.of(F.col("text")), ordered(estimate(docs, rules))).isNull())
+    order, text = order_for_texts(docs, rules), F.col("text")
+    return docs.where(let(words_of(text), lambda words: cascade(Counts.of(text, words), order)).isNull())

@@ -33,20 +33,41 @@ def test_order_is_by_rejection_per_cost_and_does_not_change_verdicts(edge):
     a, b, c = Q.RULES[:3]
     found = [Q.Estimate(a, 1.0, 10), Q.Estimate(b, 0.1, 5), Q.Estimate(c, 0.5, 0)]
     assert Q.ordered(found) == [b, a, c]
-    counts = Q.Counts.of(F.col("text"))
+    near = [Q.Estimate(c, 0.5, 0), Q.Estimate(a, 1.0, 10), Q.Estimate(b, 1.1, 12), Q.Estimate(Q.RULES[3], 0.1, 0)]
+    assert Q.ordered(near) == [a, b, Q.RULES[3], c]
+    assert Q.ordered([Q.Estimate(a, 0.2, 0), Q.Estimate(b, 0.18, 0)]) == [a, b]
     rules = (*Q.BASE_RULES, *Q.RULES)
+    words = edge.withColumn("words", Q.words_of(F.col("text")))
+    counts = Q.Counts.of(F.col("text"), F.col("words"))
     verdicts = {
-        tuple(r.v for r in edge.select(Q.cascade(counts, order).isNull().alias("v")).collect())
+        tuple(r.v for r in words.select(Q.cascade(counts, order).isNull().alias("v")).collect())
         for order in (rules, rules[::-1])
     }
     assert len(verdicts) == 1
 
 
-def test_estimates_count_rejections(edge):
-    (found,) = Q.estimate(edge, Q.BASE_RULES[:1])
-    assert found.cost > 0 and found.rejected == edge.where(F.length("text") <= Q.SAMPLE_CHARS).where(
-        Q.n_words(F.col("text")) < 10
-    ).count() + edge.where("text IS NULL").count()
+def test_estimates_are_of_what_runs(spark, monkeypatch):
+    """Rejections are those of the sample; a count that is there costs nothing, one that is not costs much more."""
+    monkeypatch.setattr(Q, "TIMED_SECONDS", 0.1)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(3000)
+    counted = Q._counted(Q.hash_sample(docs))
+    survivors = Q.bounded(counted.where("NOT base_failed"))
+    assert 0 < survivors.count() <= Q.SAMPLE_ROWS and survivors.where("base_failed").count() == 0
+    found = {e.rule.name: e for e in Q.estimate(survivors, Q._known(), Q.RULES)}
+    for rule in Q.RULES:
+        assert found[rule.name].rejected == survivors.where(rule.rejects(Q._known())).count()
+    assert found["long_words"].cost < found["upper_case"].cost / 3
+    assert found["duplicate_lines"].cost < found["not_letters"].cost / 3
+
+
+def test_the_order_is_the_same_every_time(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    survivors = Q.bounded(Q._counted(Q.hash_sample(docs)).where("NOT base_failed"))
+    again = Q.bounded(Q._counted(Q.hash_sample(docs.repartition(5))).where("NOT base_failed"))
+    assert survivors.select("text").exceptAll(again.select("text")).count() == 0
+    first = [r.name for r in Q.ordered(Q.estimate(survivors, Q._known(), Q.RULES))]
+    for _ in range(4):
+        assert [r.name for r in Q.ordered(Q.estimate(again, Q._known(), Q.RULES))] == first
 
 
 def test_junk_goes_and_prose_stays(spark):
