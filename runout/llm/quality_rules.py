@@ -9,7 +9,7 @@ words once, whichever rules look at them.
 Words are runs of characters other than space and U+0009 to U+000D. Nothing is shuffled: repeated
 five-word windows are found inside each row, first by comparing the number of distinct window hashes with
 the number of windows, and only for texts where these differ by sorting (hash, place) pairs. Windows are
-compared by their 64-bit XXH64 values.
+compared by 64-bit XXH64 values of their words' XXH64 values.
 
 Defined results: a null or blank text has no words, fails the base rules and is not kept; copies and ties
 get equal verdicts; an empty table gives an empty result.
@@ -45,10 +45,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text; none for null."""
-    bare = F.btrim(text, F.lit(_BLANK))
-    return F.when(F.coalesce(F.length(bare), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(
-        F.split(bare, r"[\x20\x09-\x0D]+")
-    )
+    text = F.coalesce(text, F.lit(""))
+    for blank in _BLANK[1:]:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    # one plain character is split at without a regular expression
+    return F.array_remove(F.split(text, " "), "")
 
 
 def word_chars(text: Column) -> Column:
@@ -74,9 +75,9 @@ def line_counts(text: Column) -> Column:
 
 
 def _repeat_words(words: Column, size: int) -> Column:
-    def windows(words: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(words) - size)
-        return F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
+    def windows(hashes: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(hashes) - size)
+        return F.transform(places, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(size))))
 
     def covered(hashes: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -86,7 +87,9 @@ def _repeat_words(words: Column, size: int) -> Column:
         same = F.size(F.array_distinct(hashes)) == F.size(hashes)
         return F.when(same, F.lit(0)).otherwise(covered(hashes))
 
-    return F.when(F.size(words) <= size, F.lit(0)).otherwise(let(windows(words), repeats))
+    return F.when(F.size(words) <= size, F.lit(0)).otherwise(
+        let(F.transform(words, lambda word: F.xxhash64(word)), lambda hashes: let(windows(hashes), repeats))
+    )
 
 
 def _covered_words(size: int) -> Callable[[Column], Column]:
@@ -176,11 +179,14 @@ class Estimate:
 
 
 def hash_sample(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The texts of some four times ``rows`` rows, chosen by a hash of the text: copies count once, in effect."""
+    """The texts of some four times ``rows`` rows, chosen by a hash of the text.
+
+    Stored, so that nothing but the hash is computed for the rows that are not chosen.
+    """
     share = min(1.0, 4 * rows / max(1, docs.count()))
     lot = F.pmod(F.xxhash64(text_col, F.lit("rules")), F.lit(1 << 30)) / float(1 << 30)
     texts = docs.where(lot < share).select(F.col(text_col).alias("text"))
-    return texts.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    return stored(texts.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS))
 
 
 def bounded(sample: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
