@@ -37,6 +37,8 @@ SEED = 42
 #: (segments, chain, distinct fingerprints up to which the key is selective enough): the key has
 #: 64 * chain / segments bits, of which random meetings stay below the number of fingerprints.
 RINGS = ((4, 2, 1 << 27), (8, 5, 1 << 62))
+#: A node with more than this part of the edges is a hub, and the keys that a hub is spread over.
+HUB_SHARE, HUB_SALTS = 1000, 64
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACES = np.arange(8) * 256
@@ -148,18 +150,19 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star contractions in turn until nothing changes. Every round is stored, so
     plans stay short and a lost executor costs one round.
     """
-    now, state = edges.select("a", "b"), None
+    now, state = stored(edges.select("a", "b")), None
+    n = now.count()
     while True:
-        now = stored(_star(_star(now, large=True), large=False))
+        now = stored(_star(_star(now, n, large=True), n, large=False))
         row = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(row) == state:
             break
-        state = tuple(row)
+        n, state = row[0], tuple(row)
     leaves = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return leaves.unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
     """One contraction. Edges are (a, b) with a < b; so are those returned, each once.
 
     Large star: every node links its larger neighbours to the smallest of itself and its neighbours.
@@ -167,16 +170,33 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     if large:
         near = edges.unionAll(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        out = near.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
         near = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = near.groupBy("u").agg(F.min("v").alias("m"))
-        out = near.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if large:
+        least = least.withColumn("m", F.least("m", "u"))
+        out = _with_least(near.where("v > u"), least, n_edges)
+    else:
+        out = _with_least(near, least, n_edges)
         out = out.unionAll(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return out.where("a < b").distinct()
 
 
+def _with_least(near: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """Every neighbour v of a node u with the node's m, as (m, v).
+
+    A node that holds more than the ``HUB_SHARE``-th part of the edges is a hub, so there are no more than twice
+    ``HUB_SHARE`` hubs: they are broadcast, and each one's neighbours are spread over ``HUB_SALTS`` keys.
+    """
+    many = n_edges / HUB_SHARE
+    hubs = least.where(F.col("n") > many).select(F.col("u").alias("hub"))
+    spread = F.when(F.col("hub").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS))).cast("int")
+    near = near.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left").withColumn("salt", spread).drop("hub")
+    every = F.when(F.col("n") > many, F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = least.select("u", "m", F.explode(every).alias("salt"))
+    return near.join(salted, ["u", "salt"]).select(F.col("m").alias("a"), F.col("v").alias("b"))
+
+
 def fingerprint_groups(prints: DataFrame, id_col: str, max_bits: int) -> DataFrame:
     """(fp, root, component_id) for fingerprints of several rows or with a link; other rows stand alone.
 
@@ -190,8 +210,9 @@ def fingerprint_groups(prints: DataFrame, id_col: str, max_bits: int) -> DataFra
     roots = stored(components(stored(links(folded.select("fp"), max_bits, segments, chain))))
     linked = folded.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = linked.where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "fp"))
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return stored(linked.select("fp", "root").join(named, "root").select("fp", "root", "component_id"))
+    linked = stored(linked.select("fp", "root", "least"))
+    named = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    return stored(lookup(linked, named, "root", ["fp"]).select("fp", "root", "component_id"))
 
 
 def near_duplicates(

@@ -78,6 +78,23 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert S.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("share", [1, 3, 50, 10**9])
+def test_hubs_are_split_whatever_counts_as_one(spark, monkeypatch, share):
+    monkeypatch.setattr(S, "HUB_SHARE", share)
+    rng = random.Random(share)
+    edges = {(0, i) for i in range(1, 200)} | {(i, 500 + i) for i in range(150, 300)}
+    edges |= {tuple(sorted(rng.sample(range(1000, 1400), 2))) for _ in range(250)}
+    got = dict(map(tuple, S.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()))
+    root = {n: n for e in edges for n in e}
+    for _ in range(len(root)):
+        before = dict(root)
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert got == root
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(1)
     base = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) + str(rng.randrange(90)) for _ in range(60)) for _ in range(25)]
@@ -115,7 +132,8 @@ def test_one_row_of_each_group_stays_with_shared_ids(edge):
     texts = [brute_fingerprint(r.text) for r in kept.collect()]
     # no two rows that stay are near each other, and every group keeps one
     assert all(bin(a ^ b).count("1") > 3 for i, a in enumerate(texts) for b in texts[:i])
-    assert all(any(bin(p ^ t).count("1") <= 64 for t in texts) for p, _ in components)
+    roots = dict(zip([p for _, p in rows], _roots([p for _, p in rows]), strict=True))
+    assert sorted(roots[t] for t in texts) == sorted({roots[p] for p, _ in components})
     assert len(texts) == len({root for root in _roots([p for _, p in rows])})
     assert S.drop_near_duplicates(edge.where("false")).count() == 0
 
