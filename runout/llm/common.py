@@ -135,19 +135,24 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str]) -
     return rows.withColumn("__salt", salt).join(salted, [key, "__salt"], "left").drop("__salt")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, most_chars: int | None = None
+) -> DataFrame:
     """(text, label) of at most ``per_class`` labelled ids per class: those whose id hashes lowest.
 
-    The ids are bounded, hence broadcast to their documents; should ids repeat in ``docs``, the rows are
-    cut at twice the number of ids.
+    The ids are bounded, hence broadcast to their documents; should ids repeat in ``docs``, the rows whose
+    id and text hash lowest are kept, twice as many as there are ids. Texts of more than ``most_chars``
+    characters are left out where they are read.
     """
     rows = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     lot = F.xxhash64("doc_id", F.lit(label))
     ids = rows.where("label = 0").orderBy(lot).limit(per_class)
     ids = ids.unionAll(rows.where("label = 1").orderBy(lot).limit(per_class))
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return found.select(F.coalesce("text", F.lit("")).alias("text"), "label").limit(4 * per_class)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    if most_chars is not None:
+        found = found.where(F.length("text") <= most_chars)
+    return found.orderBy(lot, F.xxhash64("text"), "label").limit(4 * per_class).select("text", "label")
 
 
 def class_counts(labels: DataFrame, label: str, learn: Column) -> tuple[int, int]:

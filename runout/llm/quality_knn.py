@@ -1,12 +1,12 @@
 """Quality by voting of the nearest labelled documents in a latent-semantic space.
 
-Terms are the trigrams of character classes (lower and upper case letters, digits, line feeds, spaces,
-stops, commas, marks, brackets, bars, symbols ...) and two counts of repeated words. These tell prose from
-lists, shouting and noise in any language; lexical trigrams were tried beside them and made held-out
-accuracy worse. Logarithmic term frequencies are weighted by inverse document frequency, and the leading
-eigenvectors of the training rows' term products span the latent space.
+Terms are the words, lower-cased and hashed to ``WORD_TERMS`` buckets, the trigrams of character classes
+(lower and upper case letters, digits, line feeds, spaces, stops, commas, marks, brackets, bars, symbols ...)
+and two counts of repeated words. The words carry the subject; the classes tell prose from lists, shouting
+and noise in any language. Logarithmic term frequencies are weighted by inverse document frequency, and the
+leading singular vectors of the training rows span the latent space.
 
-The labelled vectors are broadcast: at most ``TRAIN_DOCS`` per class of ``DIMENSIONS`` numbers, 0.5 MB.
+The labelled vectors are broadcast: at most ``TRAIN_DOCS`` per class of ``DIMENSIONS`` numbers, 0.6 MB.
 For every document, in blocks, the cosine with every labelled vector is computed; the ``NEIGHBOURS``
 nearest vote with the ``SHARPNESS``-th power of their similarity, and the score is the share of label 1.
 
@@ -20,6 +20,7 @@ all vote; repeated rows get equal scores; rows without an id are never learned f
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +32,14 @@ from runout.llm.common import arrow_schema, labelled_sample, ship, slices
 
 #: Bounds and sizes of the model.
 TRAIN_DOCS = 1500
-DIMENSIONS = 24
+DIMENSIONS = 48
 NEIGHBOURS = 15
 SHARPNESS = 8
 THRESHOLD = 0.7
 BLOCK = 256
-TERMS = 16**3 + 2
+WORD_TERMS = 2048
+SHAPE_TERMS = 16**3
+TERMS = SHAPE_TERMS + WORD_TERMS + 2
 
 _PLAIN = {"\n": 4, ".": 6, ",": 7, "!": 8, "?": 8, "|": 10}
 _classes: list[np.ndarray] = []
@@ -67,8 +70,10 @@ def term_counts(text: str | None) -> np.ndarray:
         return out
     kinds = _class_table()[np.frombuffer(text.encode("utf-32-le"), "<u4")]
     kinds = np.concatenate((np.array([5], np.uint8), kinds, np.array([5], np.uint8))).astype(np.int32)
-    out[:-2] = np.bincount((kinds[:-2] * 16 + kinds[1:-1]) * 16 + kinds[2:], minlength=16**3)
+    out[:SHAPE_TERMS] = np.bincount((kinds[:-2] * 16 + kinds[1:-1]) * 16 + kinds[2:], minlength=SHAPE_TERMS)
     words = text.split()
+    buckets = [zlib.crc32(w) % WORD_TERMS for w in text.lower().encode().split()]
+    out[SHAPE_TERMS:-2] = np.bincount(np.array(buckets, np.int64), minlength=WORD_TERMS)
     out[-2] = sum(map(str.__eq__, words, words[1:]))
     out[-1] = len(words) - len(set(words))
     return out
@@ -99,22 +104,39 @@ class Model:
         return np.clip(np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.share), 0, 1)
 
 
+def _axes(rows: np.ndarray, dimensions: int) -> np.ndarray:
+    """The leading right singular vectors of the rows, from the smaller of their two products."""
+    n, terms = rows.shape
+    if n < terms:
+        values, left = np.linalg.eigh((rows @ rows.T).astype(np.float64))
+        values, left = values[-dimensions:], left[:, -dimensions:].astype(np.float32)
+        found = values > 1e-9 * max(values.max(initial=0), 1e-9)
+        axes = rows.T @ left[:, found]
+        return axes / np.maximum(np.linalg.norm(axes, axis=0), 1e-9)
+    return np.linalg.eigh((rows.T @ rows).astype(np.float64))[1][:, -dimensions:].astype(np.float32)
+
+
 def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
     """A model from rows of term counts and their 0/1 labels; rows are sorted, so their order is free."""
-    order = np.lexsort((labels, *counts[:, counts.any(axis=0)].T[:8], counts.sum(axis=1)))
-    counts, labels = counts[order], labels[order].astype(np.float64)
+    used = np.flatnonzero(counts.any(axis=0))
+    order = np.lexsort((labels, *counts[:, used[:8]].T, counts.sum(axis=1)))
+    labels = labels[order].astype(np.float64)
     n = len(labels)
     idf = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    rows = np.log1p(counts) * idf
+    rows = counts[order]
+    np.log1p(rows, out=rows)
+    rows *= idf
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-    used = np.flatnonzero((counts > 0).any(axis=0))
-    axes = np.zeros((TERMS, min(dimensions, max(1, len(used)))), np.float32)
+    axes = np.zeros((counts.shape[1], 1), np.float32)
     if len(used):
-        _, vectors = np.linalg.eigh(rows[:, used].T.astype(np.float64) @ rows[:, used])
-        axes[used] = vectors[:, -axes.shape[1] :]
+        found = _axes(rows[:, used], dimensions)
+        axes = np.zeros((counts.shape[1], found.shape[1]), np.float32)
+        axes[used] = found
     share = float(labels.mean()) if n else 0.0
-    model = Model(idf, axes, np.zeros((0, axes.shape[1]), np.float32), labels, share)
-    return Model(idf, axes, model.embed(counts), labels, share)
+    vectors = rows @ axes
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 1e-6)
+    return Model(idf, axes, vectors, labels, share)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = TRAIN_DOCS) -> Model:

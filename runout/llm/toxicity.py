@@ -197,7 +197,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str, int]], counts: tuple[int, int]) -> Model:
     """A model from (text, label) rows; ``counts``: labelled rows of the table per class."""
-    docs = [(_WORD.findall(text), label) for text, label in sorted(rows) if len(text) <= TRAIN_CHARS]
+    docs = [(_WORD.findall(text), label) for text, label in sorted(rows)]
     toxic, clean = [w for w, label in docs if label], [w for w, label in docs if not label]
     share = counts[1] / max(1, sum(counts))
     flat = Model({}, -_LIMIT, np.zeros((2, 2)), None, share)
@@ -249,7 +249,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn: Column, per_class
     """Per document: doc_id, score and the offending spans (start, end), learned where ``learn`` holds."""
     spark = docs.sparkSession
     ship(spark)
-    rows = labelled_sample(docs, labels, "toxic", learn, per_class).collect()
+    rows = labelled_sample(docs, labels, "toxic", learn, per_class, TRAIN_CHARS).collect()
     counts = class_counts(labels, "toxic", learn)
     model = spark.sparkContext.broadcast(fit([tuple(r) for r in rows], counts))
     kind = docs.schema["doc_id"].dataType.simpleString()
