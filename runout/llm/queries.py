@@ -32,8 +32,8 @@ URL_RULES = (
     url_filter.Rule("block", "net", "/es/"),
     url_filter.Rule("block", "net", "/fr/"),
 )
-#: Parts of host labels whose hosts are listed.
-LISTED_HOSTS = r"(^|[.-])(adult|bets|casino|pills)([.-]|$)"
+#: First digits of the MD5 of a page id; hosts of these pages, an eighth of all, are the block list.
+LISTING_DIGITS = ("0", "1")
 
 #: What both turns of conversation -1 say.
 PLANTED_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -73,7 +73,8 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     host, _ = url_filter.host_and_path(F.col("url"))
-    listed = pages.select(host.alias("host")).where(F.col("host").rlike(LISTED_HOSTS))
+    listing = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 1).isin(*LISTING_DIGITS)
+    listed = pages.where(listing).select(host.alias("host")).where("host != ''")
     return url_filter.judge_urls(pages, URL_RULES, listed).drop("listed")
 
 

@@ -43,9 +43,12 @@ MAGIC, END_MAGIC = b"PFORIDS1", b"PFOREND1"
 BLOCK = 1024
 #: An outlier takes 48 bits, so a bit more for a block of 1024 pays from about 2 % outliers on.
 PERCENTILE = 98
-#: Blocks that are packed or read at once, and ids after which a task begins a new file.
+#: Blocks that are packed or read at once, ids or documents after which a task begins a new file, and
+#: documents that are read at once.
 RUN_BLOCKS = 256
 FILE_IDS = 1 << 27
+FILE_DOCS = 1_000_000
+READ_DOCS = 10_000
 #: Characters that are encoded at once.
 ENCODE_CHARS = 8_000_000
 #: Distinct words whose ids a worker keeps.
@@ -181,14 +184,43 @@ def _plain_pieces(word: str) -> int:
     return 1 + (letters is not word)
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+class TextEncoder:
+    """Ids of many texts at once, each encoded whole: for tokenizers that words cannot be told apart by."""
 
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
 
-def encoder(path: str, most_words: int = CACHED_WORDS) -> WordEncoder:
-    """The worker's encoder of a tokenizer file; only the latest is kept."""
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        return np.array([len(ids) for ids in self.encode(texts)], np.int64)
+
+
+#: Texts that the word encoder must give the tokenizer's own ids for. They have blanks of all
+#: kinds and numbers in a row, both cases, marks, contractions, digits, other scripts and special tokens.
+PROBES = (
+    "Hello, World! Hello,world. HELLO  hello\nhello \n\n x", " leading and trailing ", "a\tb\x0bc\x85d\u00a0e\u2003f",
+    "it's we'll don't o're 'S", "12345 1a2b 3.14, 1,000", "A B C ABC abc aBc", "É é e\u0301 \u0301x ß ẞ",
+    "中文字 한국어 ΑΣ İ ǅ", "###$$$ ... a😀b", "<|endoftext|> x<|startoftext|>y", "unbelievably antidisestablishmentarianism qqqqzzzz",
+)
+_encoders: dict[tuple[str, int], WordEncoder | TextEncoder] = {}
+
+
+def encoder(path: str, most_words: int = CACHED_WORDS) -> WordEncoder | TextEncoder:
+    """The worker's encoder of a tokenizer file, by words if that gives the probes' ids; only the latest is kept."""
     if (path, most_words) not in _encoders:
         _encoders.clear()
-        _encoders[path, most_words] = WordEncoder(path, most_words)
+        whole = TextEncoder(WordEncoder(path, 1).tokenizer)
+        probes = pa.array([*PROBES, "\n".join(PROBES)])
+        want = [ids.tolist() for ids in whole.encode(probes)]
+        try:
+            by_words = WordEncoder(path, most_words)
+            agrees = [ids.tolist() for ids in by_words.encode(probes)] == want
+        except (IndexError, ValueError):  # marks of pieces that do not add up
+            agrees = False
+        _encoders[path, most_words] = by_words if agrees else whole
     return _encoders[path, most_words]
 
 
@@ -388,7 +420,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                     name = f"{uuid.uuid4().hex}.pfor"
                     writer = BlockWriter(target.open_output_stream(f"{root}/{name}"))
                 writer.add(doc_id, np.append(ids, np.uint32(end_id)))
-                if writer.n_ids >= FILE_IDS:
+                if writer.n_ids >= FILE_IDS or len(writer.docs) >= FILE_DOCS:
                     yield close()
                     writer, seq = None, seq + 1
         if writer is not None:
@@ -412,6 +444,14 @@ def write_token_files(
     return stored(rows.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id), _MANIFEST))
 
 
+def checksum(pieces: Iterator[np.ndarray]) -> int:
+    """crc32 of ids as little-endian unsigned 32-bit integers."""
+    crc = 0
+    for piece in pieces:
+        crc = zlib.crc32(piece.astype("<u4").tobytes(), crc)
+    return crc
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
     """Per document of the listed files: doc_id, start, n_tokens and ids_crc32, from the stored blocks."""
     spark = files.sparkSession
@@ -426,14 +466,13 @@ def read_token_files(files: DataFrame) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 source, name = fs.FileSystem.from_uri(path)
                 with source.open_input_file(name) as opened:
-                    rows = []
-                    for doc_id, start, n, pieces in BlockFile(opened).documents():
-                        crc = 0
-                        for piece in pieces:
-                            crc = zlib.crc32(piece.astype("<u4").tobytes(), crc)
-                        rows.append((doc_id, base + start, n, crc))
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    documents = BlockFile(opened).documents()
+                    while rows := [
+                        (doc_id, base + start, n, checksum(pieces))
+                        for doc_id, start, n, pieces in islice(documents, READ_DOCS)
+                    ]:
+                        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     n = max(1, files.count())
     return based.repartitionByRange(n, "path").mapInArrow(run, ddl)

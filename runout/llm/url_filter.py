@@ -56,12 +56,15 @@ class Level:
     words: list[int] = field(repr=False)
 
     def passes(self, key: Column) -> Column:
+        # the words are in the plan once a level, whatever the number of hashes
         literal = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        out = key.isNotNull()
-        for place in places(key, self.number, self.hashes, 64 * len(self.words)):
+        asked = F.array(*places(key, self.number, self.hashes, 64 * len(self.words)))
+
+        def is_set(place: Column) -> Column:
             word = F.get(literal, F.shiftright(place, 6).cast("int"))
-            out = out & (F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return out
+            return F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        return key.isNotNull() & F.forall(asked, is_set)
 
 
 def places(key: Column, level: int, hashes: int, bits: int) -> list[Column]:

@@ -1,9 +1,11 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyarrow import fs
+from tokenizers import Tokenizer
 
 from runout.llm import token_blocks as B
 
@@ -108,7 +110,40 @@ def test_documents_come_back_in_order(spark, edge):
     assert B.read_token_files(B.write_token_files(edge.where("false"))).count() == 0
 
 
-def test_files_are_cut_by_size(spark, edge, monkeypatch):
-    files = B.write_token_files(edge)
-    assert files.count() >= 1
-    assert files.agg({"documents": "sum"}).first()[0] == edge.count()
+@pytest.mark.parametrize(("ids", "docs", "read"), [(200, 10**6, 10_000), (1 << 27, 3, 2), (1, 10**6, 1)])
+def test_files_are_cut_by_size(spark, monkeypatch, ids, docs, read):
+    """Several files a task, empty texts among them, and several batches a file."""
+    monkeypatch.setattr(B, "FILE_IDS", ids)
+    monkeypatch.setattr(B, "FILE_DOCS", docs)
+    monkeypatch.setattr(B, "READ_DOCS", read)
+    rows = [(i, "" if i % 3 else f"some words of document {i} " * (i % 7)) for i in range(60)]
+    files = B.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"))
+    listed = files.collect()
+    assert len(listed) > len({r.part for r in listed}) and sum(r.documents for r in listed) == 60
+    assert all(r.documents <= docs for r in listed)
+    got = sorted(B.read_token_files(files).collect(), key=lambda r: r.start)
+    encoder = B.WordEncoder(B.default_tokenizer())
+    want = [np.append(x, 2).astype("<u4") for x in encoder.encode(pa.array([t for _, t in rows]))]
+    assert [r.doc_id for r in got] == list(range(60))
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(x.tobytes()) for x in want]
+    assert [r.start for r in got] == [0, *np.cumsum([len(x) for x in want])[:-1].tolist()]
+
+
+def test_tokenizers_that_join_words_encode_whole_texts():
+    """Any tokenizer file gives its own ids, whether its words can be told apart or not."""
+    kinds = set()
+    for path in sorted(Path(B.default_tokenizer()).parent.glob("*.json")):
+        try:
+            tokenizer = Tokenizer.from_file(str(path))
+        except Exception:  # noqa: BLE001 - a file of another kind
+            continue
+        found = B.encoder(str(path), 1000)
+        kinds.add(type(found))
+        texts = [*TEXTS, *B.PROBES]
+        want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids.tolist() for ids in found.encode(pa.array(texts))] == want
+        assert found.count(pa.array(texts)).tolist() == list(map(len, want))
+    assert B.WordEncoder in kinds
+    assert isinstance(B.encoder(B.default_tokenizer()), B.WordEncoder)
+    whole = B.TextEncoder(Tokenizer.from_file(B.default_tokenizer()))
+    assert [ids.tolist() for ids in whole.encode(pa.array(["x y", None], pa.string()))][1] == []
