@@ -110,8 +110,7 @@ def _axes(rows: np.ndarray, dimensions: int) -> np.ndarray:
     if n < terms:
         values, left = np.linalg.eigh((rows @ rows.T).astype(np.float64))
         values, left = values[-dimensions:], left[:, -dimensions:].astype(np.float32)
-        found = values > 1e-9 * max(values.max(initial=0), 1e-9)
-        axes = rows.T @ left[:, found]
+        axes = rows.T @ left[:, values > 1e-9 * max(values.max(initial=0), 1e-9)]
         return axes / np.maximum(np.linalg.norm(axes, axis=0), 1e-9)
     return np.linalg.eigh((rows.T @ rows).astype(np.float64))[1][:, -dimensions:].astype(np.float32)
 
@@ -120,18 +119,14 @@ def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) ->
     """A model from rows of term counts and their 0/1 labels; rows are sorted, so their order is free."""
     used = np.flatnonzero(counts.any(axis=0))
     order = np.lexsort((labels, *counts[:, used[:8]].T, counts.sum(axis=1)))
-    labels = labels[order].astype(np.float64)
-    n = len(labels)
-    idf = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    rows = counts[order]
+    rows, labels = counts[order], labels[order].astype(np.float64)
+    del counts
+    n, terms = rows.shape
+    idf = (np.log((1 + n) / (1 + np.count_nonzero(rows, axis=0))) + 0.1).astype(np.float32)
     np.log1p(rows, out=rows)
     rows *= idf
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-    axes = np.zeros((counts.shape[1], 1), np.float32)
-    if len(used):
-        found = _axes(rows[:, used], dimensions)
-        axes = np.zeros((counts.shape[1], found.shape[1]), np.float32)
-        axes[used] = found
+    axes = _axes(rows, dimensions) if len(used) else np.zeros((terms, 1), np.float32)
     share = float(labels.mean()) if n else 0.0
     vectors = rows @ axes
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -154,11 +149,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = TR
             )
 
     sample = labelled_sample(docs, labels, "quality", learn, per_class)
-    found = sample.mapInArrow(run, "places array<int>, counts array<float>, label int").collect()
-    counts = np.zeros((len(found), TERMS), np.float32)
-    for row, r in zip(counts, found, strict=True):
-        row[r.places] = r.counts
-    return fit(counts, np.array([r.label for r in found], np.int64))
+    found = sample.mapInArrow(run, "places array<int>, counts array<float>, label int").toArrow()
+    found = found.combine_chunks()
+    counts = np.zeros((found.num_rows, TERMS), np.float32)
+    if found.num_rows:
+        places, values = (found.column(c).chunk(0) for c in ("places", "counts"))
+        row = np.repeat(np.arange(found.num_rows), np.diff(places.offsets))
+        counts[row, places.flatten()] = values.flatten()
+    return fit(counts, found.column("label").to_numpy())
 
 
 def _scores(model: Model, texts: list[str | None]) -> np.ndarray:
