@@ -104,15 +104,19 @@ class Model:
         return np.clip(np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.share), 0, 1)
 
 
-def _axes(rows: np.ndarray, dimensions: int) -> np.ndarray:
-    """The leading right singular vectors of the rows, from the smaller of their two products."""
-    n, terms = rows.shape
-    if n < terms:
-        values, left = np.linalg.eigh((rows @ rows.T).astype(np.float64))
-        values, left = values[-dimensions:], left[:, -dimensions:].astype(np.float32)
-        axes = rows.T @ left[:, values > 1e-9 * max(values.max(initial=0), 1e-9)]
-        return axes / np.maximum(np.linalg.norm(axes, axis=0), 1e-9)
-    return np.linalg.eigh((rows.T @ rows).astype(np.float64))[1][:, -dimensions:].astype(np.float32)
+def _axes(rows: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular vectors of the rows, by subspace iteration from a seeded start.
+
+    Some more directions than asked for are iterated, which makes those asked for settle quickly; neither
+    product of the rows with themselves is formed.
+    """
+    width = min(*rows.shape, dimensions + 16)
+    span = np.random.default_rng(0).normal(size=(rows.shape[1], width)).astype(np.float32)
+    for _ in range(rounds):
+        span = np.linalg.qr(rows.T @ (rows @ span))[0]
+    _, values, right = np.linalg.svd(rows @ span, full_matrices=False)
+    kept = values[:dimensions] > 1e-5 * max(values.max(initial=0), 1e-9)
+    return (span @ right[:dimensions].T)[:, kept]
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
