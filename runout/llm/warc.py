@@ -14,7 +14,8 @@ closing line breaks, and for responses a payload of the stated length and digest
 Defined results: a null payload is the empty one; a null url gives a record without target; control
 characters in a url are percent-encoded; a null id is smaller than any other; repeated rows of the page
 with the largest id are responses each; a group of null ids only has responses only; extra columns are
-not read; an empty table gives no archive and no rows.
+not read; an empty table gives no archive and no rows; a record of over ``RECORD_BYTES`` is an error, both
+when it is written and when it is read.
 """
 
 from __future__ import annotations
@@ -224,6 +225,8 @@ def _writer(folder: str, dictionary: bytes, date: str, level: int):
                     out = target.open_output_stream(f"{root}/{name}")
                     size += out.write(dictionary_frame(dictionary))
                 data = record(page_id, url, html.encode(), response, revisit, date)
+                if len(data) > RECORD_BYTES:
+                    raise ValueError(f"page {page_id}: record of over {RECORD_BYTES} bytes")
                 size += out.write(compressor.compress(data))
                 n += 1
                 if size > FILE_BYTES:

@@ -61,7 +61,8 @@ def usable(vectors: DataFrame, column: str = "embedding", id_col: str = "vec_id"
     """(vec_id, vector) of the vectors that count, all of one length."""
     most = float(2**52 // SCALE)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
-    rows = rows.where(F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < most)))
+    # no null, NaN or infinity is less than a number
+    rows = rows.where(F.forall("vector", lambda c: F.abs(c) < most))
     sizes = rows.where(F.size("vector") > 0).groupBy(F.size("vector").alias("size")).count()
     best = sizes.orderBy(F.desc("count"), F.desc("size")).first()
     return rows.where(F.size("vector") == (best["size"] if best else -1))

@@ -39,7 +39,13 @@ def test_several_lengths_cost_no_more_than_one():
     rng = random.Random(3)
     sizes = sorted((rng.randrange(1, 4097) for _ in range(500)), reverse=True)
     joint = cost_of(sizes)
-    assert all(joint <= sum(P.LENGTHS[4096] for _ in P._fill(sizes, [4096], P.LENGTHS)) for _ in [0])
+    for opening in ([4096], [2048, 4096], [512, 1024, 2048, 4096]):
+        bins = P._fill(sizes, opening, P.LENGTHS)
+        held = [sum(sizes[i] for i in b) for b in bins]
+        # downsized as well: only the choice of opening sizes is compared
+        assert joint <= sum(min(P.LENGTHS[c] for c in P.LENGTHS if c >= x) for x in held)
+    whole = sum(P.LENGTHS[4096] for _ in P._fill(sizes, [4096], P.LENGTHS))
+    assert joint < whole
     assert cost_of([300]) == P.LENGTHS[512]
     assert P.pack([]) == ([], [])
 

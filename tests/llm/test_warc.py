@@ -100,3 +100,13 @@ def test_small_payloads_are_responses_and_empty_tables_have_none(spark):
     got = {r.page_id: r.refers_to for r in W.read_archives(W.write_archives(df, min_bytes=3)).collect()}
     assert got == {1: None, 2: None, 3: 4, 4: None}
     assert W.read_archives(W.write_archives(df.where("false"))).count() == 0
+
+
+def test_records_that_could_not_be_read_are_not_written(spark, monkeypatch):
+    monkeypatch.setattr(W, "RECORD_BYTES", 2000)
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 500), (2, "http://b/", "y" * 3000)], "page_id long, url string, html string")
+    assert W.read_archives(W.write_archives(pages.where("page_id = 1"))).count() == 1
+    with pytest.raises(Exception, match="page 2: record of over 2000 bytes"):
+        W.write_archives(pages)
+    with pytest.raises(ValueError, match="record of over 2000 bytes"):
+        list(W.read_records(io.BytesIO(archive([rec(1, b"a" * 5000)])), "x"))
