@@ -7,8 +7,10 @@ opposite kind passes. A key is a member if it passes an odd number of levels bef
 an odd number. Looking up is a handful of hashes and array reads per url; no url takes part in a join.
 
 The universe and the listed keys are folded to distinct keys before anything else, so that a host with a
-third of all pages is one row. Only filter words come to the driver, and only after the size of the filter
-is known: beyond ``MAX_WORDS`` the answer is a join with the keys, split for hot ones.
+third of all pages is one row. The size of the filters follows from the counts of both kinds of keys: where it
+is above ``MAX_WORDS`` the key space is cut by a hash into shards, each with a cascade of its own. Rows are
+then written once by shard, and every shard's rows are looked up in their cascade, one shard after the other;
+so a plan and the driver hold the filters of one shard, whatever the length of the list.
 
 Rules: a rule has a host and the beginning of a path. A url's keys are its host's last labels with the
 beginning of its path, for those numbers of labels and lengths that rules have. The longest rule that
@@ -27,11 +29,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from runout.llm.common import ascii_lower, lookup, stored
+from runout.llm.common import ascii_lower, stored
+from runout.sources.sinks import scratch_folder
 
-#: 64-bit words that one level may have as a literal (8 MB).
+#: 64-bit words that the levels of one cascade may have together, about (8 MB).
 MAX_WORDS = 1 << 20
+#: Words that come to the driver as one row.
+BLOCK_WORDS = 1024
 #: False positive rate of the levels after the first.
 DEEP_RATE = 1 / 16
 
@@ -49,16 +55,17 @@ class Rule:
 
 @dataclass(frozen=True)
 class Level:
-    """A Bloom filter: ``words`` of 64 bits, ``hashes`` places per key."""
+    """A Bloom filter: ``n_words`` words of 64 bits as comma-joined numbers, ``hashes`` places per key."""
 
     number: int
     hashes: int
-    words: list[int] = field(repr=False)
+    n_words: int
+    words: str = field(repr=False)
 
     def passes(self, key: Column) -> Column:
         # the words are in the plan once a level, whatever the number of hashes
-        literal = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        asked = F.array(*places(key, self.number, self.hashes, 64 * len(self.words)))
+        literal = F.split(F.lit(self.words), ",").cast("array<bigint>")
+        asked = F.array(*places(key, self.number, self.hashes, 64 * self.n_words))
 
         def is_set(place: Column) -> Column:
             word = F.get(literal, F.shiftright(place, 6).cast("int"))
@@ -78,12 +85,25 @@ def shape(n: int, rate: float) -> tuple[int, int]:
     return hashes, max(1, math.ceil(n * math.log2(1 / rate) / math.log(2) / 64))
 
 
+def first_rate(n_in: int, n_out: int) -> float:
+    """The rate of a first level after which the second has not more keys than the first, and at most a half."""
+    return min(0.5, math.sqrt(0.5) * n_in / max(n_out, 1)) if n_in else 0.5
+
+
+def cascade_words(n_in: int, n_out: int) -> int:
+    """Words that a cascade of this many listed and other keys needs, about."""
+    rate = first_rate(n_in, n_out)
+    first, second = shape(n_in, rate)[1], shape(math.ceil(rate * n_out), DEEP_RATE)[1]
+    # every further level encodes a sixteenth of the keys of the level before the last
+    third = shape(math.ceil(n_in * DEEP_RATE), DEEP_RATE)[1]
+    return math.ceil((first + second + third) / (1 - DEEP_RATE))
+
+
 @dataclass(frozen=True)
 class Cascade:
-    """Exact membership of a universe's keys in a list; ``keys`` (key, listed) serve beyond the size bound."""
+    """Exact membership of a universe's keys in a list."""
 
     levels: list[Level]
-    keys: DataFrame | None = None
 
     def contains(self, key: Column) -> Column:
         out = F.lit(False)
@@ -91,47 +111,85 @@ class Cascade:
             out = level.passes(key) & ~out
         return out
 
-    def mark(self, rows: DataFrame, key: str, name: str, spread: Sequence[str]) -> DataFrame:
-        """``rows`` with the membership of their column ``key`` as the column ``name``."""
-        if self.keys is None:
-            return rows.withColumn(name, self.contains(F.col(key)))
-        table = self.keys.where("listed").select(F.col("key").alias(key), F.lit(True).alias(name))
-        found = lookup(rows, table, key, spread)
-        return found.withColumn(name, F.coalesce(name, F.lit(False)))
 
-
-def build_cascade(universe: DataFrame, listed: DataFrame, max_words: int = MAX_WORDS) -> Cascade:
-    """The cascade of the keys of ``listed`` over those of both frames (their first columns)."""
+def _distinct_keys(universe: DataFrame, listed: DataFrame) -> DataFrame:
+    """(key, listed) for every non-null key of the first columns of both frames."""
     both = universe.select(universe[0].alias("key"), F.lit(0).alias("listed")).unionByName(
         listed.select(listed[0].alias("key"), F.lit(1).alias("listed"))
     )
-    keys = both.where("key IS NOT NULL").groupBy("key").agg((F.max("listed") == 1).alias("listed"))
-    keys = stored(keys)
-    n_in, n_out = keys.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
+    return both.where("key IS NOT NULL").groupBy("key").agg((F.max("listed") == 1).alias("listed"))
+
+
+def _counts(keys: DataFrame) -> tuple[int, int]:
+    """Listed keys and others."""
+    return tuple(keys.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first())
+
+
+def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
+    """The cascade of the keys of ``listed`` over those of both frames (their first columns), in one shard."""
+    keys = stored(_distinct_keys(universe, listed))
+    return _cascade(keys, *_counts(keys))
+
+
+def _cascade(keys: DataFrame, n_in: int, n_out: int) -> Cascade:
     inside, outside = keys.where("listed").select("key"), keys.where("NOT listed").select("key")
-    rate = min(0.5, math.sqrt(0.5) * n_in / max(n_out, 1)) if n_in else 0.5
+    rate = first_rate(n_in, n_out)
     levels: list[Level] = []
     while n_in:
-        number = len(levels) + 1
         hashes, n_words = shape(n_in, rate)
-        if n_words > max_words:
-            return Cascade([], keys)
-        level = Level(number, hashes, _filter_words(inside, number, hashes, n_words))
+        level = _level(inside, len(levels) + 1, hashes, n_words)
         levels.append(level)
         passed = stored(outside.where(level.passes(F.col("key"))))
         inside, outside, n_in, rate = passed, inside, passed.count(), DEEP_RATE
     return Cascade(levels)
 
 
-def _filter_words(keys: DataFrame, number: int, hashes: int, n_words: int) -> list[int]:
-    """Bits set by the keys, folded per word before they reach the driver."""
+def _level(keys: DataFrame, number: int, hashes: int, n_words: int) -> Level:
+    """The bits set by the keys, folded per word and joined per block of words before they reach the driver."""
     place = F.explode(F.array(*places(F.col("key"), number, hashes, 64 * n_words))).alias("place")
     bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
     rows = keys.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    words = [0] * n_words
-    for row in rows.collect():
-        words[row.word] = row.bits
-    return words
+    entry = F.struct(F.pmod("word", F.lit(BLOCK_WORDS)).cast("int"), "bits")
+    blocks = rows.groupBy(F.expr(f"word div {BLOCK_WORDS}").alias("block")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("bits")
+    )
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("bits", i), F.lit(0))
+    )
+    found = dict(blocks.select("block", F.array_join(each.cast("array<string>"), ",")).collect())
+    blank = ",".join(["0"] * BLOCK_WORDS)
+    n_blocks = math.ceil(n_words / BLOCK_WORDS)
+    return Level(number, hashes, n_words, ",".join(found.get(b, blank) for b in range(n_blocks)))
+
+
+def mark_members(
+    rows: DataFrame, key: str, universe: DataFrame, listed: DataFrame, name: str, max_words: int = MAX_WORDS
+) -> DataFrame:
+    """``rows`` with the membership of their column ``key`` in ``listed`` as the column ``name``.
+
+    The first column of ``universe`` holds every key that rows have. A null key is no member.
+    """
+    keys = stored(_distinct_keys(universe, listed))
+    n_in, n_out = _counts(keys)
+    shards = math.ceil(cascade_words(n_in, n_out) / max_words)
+    if shards <= 1:
+        return rows.withColumn(name, _cascade(keys, n_in, n_out).contains(F.col(key)))
+
+    def by_shard(df: DataFrame, of: str) -> tuple[DataFrame, ...]:
+        """``df`` written once, a folder a shard, and read again shard by shard; null keys are in the first."""
+        folder = scratch_folder(df.sparkSession)
+        shard = F.coalesce(F.when(F.col(of).isNotNull(), F.pmod(F.xxhash64(of), F.lit(shards))), F.lit(0))
+        df.withColumn("__shard", shard).write.partitionBy("__shard").parquet(folder)
+        schema = StructType([*df.schema.fields, StructField("__shard", LongType())])
+        whole = df.sparkSession.read.schema(schema).parquet(folder)
+        return tuple(whole.where(F.col("__shard") == i).drop("__shard") for i in range(shards))
+
+    done = None
+    for some_keys, some_rows in zip(by_shard(keys, "key"), by_shard(rows, key), strict=True):
+        cascade = _cascade(some_keys, *_counts(some_keys))
+        part = stored(some_rows.withColumn(name, cascade.contains(F.col(key))))
+        done = part if done is None else done.unionAll(part)
+    return done
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -159,8 +217,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], listed_hosts: DataFrame)
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    by_host = build_cascade(rows.select("host"), listed_hosts)
-    rows = by_host.mark(rows, "host", "listed", ["page_id"])
+    rows = mark_members(rows, "host", rows.select("host"), listed_hosts, "listed")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     if rules:
         keys = rule_keys(F.col("host"), F.col("path"), rules)

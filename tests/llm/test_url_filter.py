@@ -59,13 +59,32 @@ def test_cascade_is_exact_over_its_universe(spark, n_in, n_out):
         assert len(cascade.levels) > 1  # some unlisted keys pass level 1
 
 
-def test_beyond_the_size_bound_keys_are_joined(spark):
-    rows = spark.createDataFrame([(i, f"h{i % 7}", 1) for i in range(50)], "page_id long, host string, salt int")
-    listed = rows.where("page_id < 3").select("host")
-    cascade = U.build_cascade(rows.select("host"), listed, max_words=0)
-    assert cascade.keys is not None and not cascade.levels
-    got = cascade.mark(rows, "host", "listed", ["page_id"]).collect()
-    assert len(got) == 50 and all(r.listed == (r.page_id % 7 < 3) for r in got)
+@pytest.mark.parametrize("max_words", [1, 7, 1 << 20])
+def test_shards_of_the_key_space_say_what_one_cascade_says(spark, max_words):
+    keys = [*(f"h{i % 300}" for i in range(900)), *["hot"] * 500, None, ""]
+    rows = spark.createDataFrame([(i, k, 1) for i, k in enumerate(keys)], "page_id long, host string, salt int")
+    listed = rows.where("page_id % 300 < 40").select("host")
+    members = {r.host for r in listed.collect()} - {None}
+    got = U.mark_members(rows, "host", rows.select("host"), listed, "listed", max_words)
+    assert got.columns == [*rows.columns, "listed"]
+    assert sorted(got.collect()) == [(i, k, 1, k in members) for i, k in enumerate(keys)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Join", "Exchange", "Python", "Arrow"))
+
+
+def test_shards_without_keys_or_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "page_id long, host string")
+    for some, want in ((rows, [(1, True), (2, False)]), (rows.where("false"), [])):
+        got = U.mark_members(some, "host", rows.select("host"), rows.select("host"), "m", max_words=1)
+        assert sorted(tuple(r) for r in got.select("page_id", "m").collect()) == want
+
+
+def test_the_words_of_a_cascade_are_foreseen(spark):
+    for n_in, n_out in ((400, 4000), (3000, 1000), (1000, 1300)):
+        keys = spark.range(n_in + n_out).select(F.concat(F.lit("k"), "id").alias("k"))
+        cascade = U.build_cascade(keys, keys.limit(n_in))
+        used = sum(level.n_words for level in cascade.levels)
+        assert used <= 1.2 * U.cascade_words(n_in, n_out) + len(cascade.levels)
 
 
 def test_no_join_and_no_python_in_the_plan(spark):
