@@ -1,40 +1,85 @@
-"""The pipeline against its stages done by hand, and its stages over edge rows."""
+"""The pipeline, stage by stage, against plain Python statements of its decisions, and its stages over edge rows."""
 
+import itertools
 import random
+import re
+import unicodedata
 
 import corpus_pipeline as C
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_quality_rules import brute_repeat
+from test_simhash import brute_components, brute_fingerprint
+from tokenizers import Tokenizer
 
-from runout.llm import decontamination, packing, quality_knn, quality_rules, simhash
-from runout.llm.common import held_out
+from runout.llm import quality_knn
+from runout.llm.common import held_out, stored
+from runout.llm.token_blocks import default_tokenizer
 
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_run_keeps_what_the_operators_keep(spark):
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def votes(model, text):
+    """The share of label 1 among the nearest vectors, one cosine after the other."""
+    terms = np.log1p(quality_knn.term_counts(text).astype(float)) * model.idf
+    point = terms @ model.axes.astype(float)
+    cosines = [float(np.dot(point, v) / (np.linalg.norm(point) or 1)) for v in model.vectors.astype(float)]
+    near = sorted(zip(cosines, model.labels, strict=True), reverse=True)[: quality_knn.NEIGHBOURS]
+    weights = [max(c, 0) ** quality_knn.SHARPNESS for c, _ in near]
+    return sum(w for w, (_, label) in zip(weights, near, strict=True) if label) / sum(weights) if sum(weights) else model.share
+
+
+def passes_rules(text):
+    words, chars = text.encode().split(), len(text)
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    return not (
+        len(words) < 10
+        or 100 * brute_repeat(text) > 20 * len(words)
+        or 100 * sum(text.count(c) for c in "#*$%&|<>") > 4 * chars
+        or 100 * sum(unicodedata.category(c) == "Lu" for c in text) > 45 * chars
+        or 100 * sum(unicodedata.category(c)[0] not in "LM" and c not in " \t\n\x0b\x0c\r" for c in text) > 55 * chars
+        or chars > 26 * len(words)
+        or 100 * (len(lines) - len(set(lines))) > 60 * max(len(lines), 1)
+    )
+
+
+def windows(text, most=10):
+    words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + most]) for i in range(max(1, len(words) - most + 1))} if words else set()
+
+
+def contaminated(text, benchmark):
+    words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return any(tuple(words[i : i + len(w)]) == w for w in benchmark for i in range(len(words) - len(w) + 1))
+
+
+def test_run_keeps_what_plain_python_keeps(spark):
     docs, labels, benchmark = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     model = quality_knn.train(docs, labels, ~held_out(F.col("doc_id"), 4, 2))
-    rows = {r.doc_id: r.text for r in docs.collect()}
-    kept = {i: t for i, t in rows.items() if model.scores(quality_knn.term_counts(t)[None])[0] >= quality_knn.THRESHOLD}
-    ruled = quality_rules.measure(spark.createDataFrame(list(kept.items()), "doc_id long, text string"))
-    kept = {r.doc_id: kept[r.doc_id] for r in ruled.where("kept").collect()}
-    prints = {i: simhash.fingerprint(t) for i, t in kept.items()}
-    group = {i: i for i in kept}
-    for _ in range(len(kept)):
-        before = dict(group)
-        for i in kept:
-            group[i] = min(group[j] for j in kept if bin(prints[i] ^ prints[j]).count("1") <= 3)
-        if group == before:
-            break
-    kept = {i: t for i, t in kept.items() if group[i] == i}
-    automaton = decontamination.build_automaton([(str(r.item_id), r.text) for r in benchmark.collect()], 10)
-    kept = {i: t for i, t in kept.items() if not decontamination.scan(automaton, t)[1]}
-    got = C.run(spark, SMALL).collect()
-    assert {r.doc_id for r in got} == set(kept) and 50 < len(kept) < len(rows)
-    counts = packing.token_counts(docs.where(F.col("doc_id").isin(list(kept)))).collect()
-    tokens = {r.doc_id: r.tokens for r in counts}
-    assert {i: sum(r.n_tokens for r in got if r.doc_id == i) for i in kept} == tokens
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    left = [set(rows)]
+    left.append({i for i in rows if votes(model, rows[i]) >= quality_knn.THRESHOLD})
+    left.append({i for i in left[-1] if passes_rules(rows[i])})
+    prints = [(i, brute_fingerprint(rows[i])) for i in sorted(left[-1])]
+    left.append({i for (i, _), least in zip(prints, brute_components(prints), strict=True) if i == least})
+    known = set().union(*(windows(r.text) for r in benchmark.collect()))
+    left.append({i for i in left[-1] if not contaminated(rows[i], known)})
+    assert all(len(a) > len(b) for a, b in itertools.pairwise(left)) and len(left[-1]) > 50
+
+    now = docs
+    for (name, stage), want in zip(C.STAGES[:-1], left[1:], strict=True):
+        now = stored(stage(spark, now, SMALL))
+        assert {r.doc_id for r in now.select("doc_id").collect()} == want, name
+        assert now.count() == len(want) and now.schema == docs.schema
+    packed = C.run(spark, SMALL).collect()
+    tokens = {i: sum(r.n_tokens for r in packed if r.doc_id == i) for i in left[-1]}
+    coder = Tokenizer.from_file(default_tokenizer())
+    assert {r.doc_id for r in packed} == left[-1]
+    assert tokens == {i: len(coder.encode(rows[i], add_special_tokens=False).ids) + 1 for i in left[-1]}
 
 
 @pytest.fixture(scope="module")
