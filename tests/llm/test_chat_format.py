@@ -70,6 +70,24 @@ def test_examples_hold_all_turns_before_and_train_one_reply(spark):
         assert shared[-1][2] == len("".join(t for _, t, _ in shared[:-1]))
 
 
+def test_digests_are_read_from_whole_examples(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b<|"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e")]
+    rows += [(2, 0, "user", "only"), (3, 0, "assistant", "f")]
+    expanded = C.expand(spark.createDataFrame(rows, DDL))
+    plan = C.read_back(expanded)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Exchange hashpartitioning") == 1
+    examples = C.whole_examples(expanded, rest=True)
+    found = {(r.conv_id, r.example): r for r in examples.collect()}
+    assert sorted(found) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)]
+    assert [x for _, x, *_ in C.parse_turns(found[1, 2].text)] == ["a", "b<|", "c", "d"]
+    assert found[1, 3].text.startswith(found[1, 2].text) and found[1, 3].loss_end is None
+    cut = F.when(F.col("example") == 2, F.expr("substring_index(text, '<|im_start|>', -2)")).otherwise(F.col("text"))
+    with pytest.raises(Exception, match="lacks turns before its reply"):
+        C.read_examples(examples.withColumn("text", cut)).collect()
+    with pytest.raises(Exception, match="a span that is not a reply"):
+        C.read_examples(examples.withColumn("loss_start", F.col("loss_start") - 1)).collect()
+
+
 def test_edge_rows(spark):
     long = "wort <| und " * 30_000
     rows = [(1, None, "user", None), (1, 0, None, "x"), (1, 3, "assistant", long), (None, 1, "assistant", "a"), (None, None, None, None)]
