@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runout.functions.columns import QTY, parse_date
-from runout.operators.quality import all_of, condition_counts, summary
+from runout.operators.quality import all_of, condition_counts, dealt, summary
 from runout.params import Params
 
 Extracts = Mapping[str, DataFrame]
@@ -108,21 +108,29 @@ def foreign_key_rule(child: str, columns: list[str], parent: str, parent_columns
 
 def key_counts(
     extracts: Extracts, foreign: list[tuple] = (), primary: Mapping[str, list[str]] | None = None
-) -> DataFrame:
-    """How often each key occurs under each rule: ``(rule, key, n, known)``.
+) -> tuple[DataFrame, list[str]]:
+    """How often each key occurs under each rule: ``(rule, k0, k1, .., n, known)``, and the rules' names.
 
     Every table is read once. A row is unfolded to the rules that it is a child, a parent or a holder of a
-    key in; the tables' rows meet in one aggregation, combined map-side, so that a hot key is one row per
-    task before the shuffle. ``n`` counts children and holders, ``known`` tells whether there is a parent.
-    A parent without a full key is none.
+    key in; the tables' rows meet in one aggregation. ``rule`` is the place of the rule's name, the key's
+    fields are columns, NULL beyond the key's length. ``n`` counts children and holders, ``known`` tells
+    whether there is a parent. A parent without a full key is none.
+
+    Most keys occur once or a few times, so combining them before the shuffle would hold nearly every row of
+    a task in memory and save little: the bare keys are shuffled, and a task that counts them holds its
+    distinct keys only. The rows of a hot key are counted by one task as they come, in one entry.
     """
+    rules: list[str] = []
     marks: dict[str, list[Column]] = {}
+    keys = [(child, columns) for child, columns, *_ in foreign] + list((primary or {}).items())
+    width = max(len(columns) for _, columns in keys)
+    fields = [f"k{i}" for i in range(width)]
 
-    def mark(table: str, rule: str, columns: list[str], parent: bool) -> None:
-        key = F.array(*columns)
+    def mark(table: str, columns: list[str], parent: bool) -> None:
+        key = [F.col(c) for c in columns] + [F.lit(None).cast("string")] * (width - len(columns))
         found = F.struct(
-            F.lit(rule).alias("rule"),
-            key.alias("key"),
+            F.lit(len(rules) - 1).alias("rule"),
+            *[k.alias(f) for k, f in zip(key, fields, strict=True)],
             F.lit(0 if parent else 1).cast("long").alias("n"),
             F.lit(parent).alias("known"),
         )
@@ -130,21 +138,25 @@ def key_counts(
         marks.setdefault(table, []).append(F.when(full, found) if parent else found)
 
     for child, columns, parent, parent_columns in foreign:
-        rule = foreign_key_rule(child, columns, parent, parent_columns)
-        mark(child, rule, columns, parent=False)
-        mark(parent, rule, parent_columns, parent=True)
+        rules.append(foreign_key_rule(child, columns, parent, parent_columns))
+        mark(child, columns, parent=False)
+        mark(parent, parent_columns, parent=True)
     for table, columns in (primary or {}).items():
-        mark(table, _key_name(table, columns), columns, parent=False)
+        rules.append(_key_name(table, columns))
+        mark(table, columns, parent=False)
     rows = [
         extracts[table].select(F.explode(F.array_compact(F.array(*found))).alias("mark")).select("mark.*")
         for table, found in marks.items()
     ]
-    return all_of(rows).groupBy("rule", "key").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+    keyed = dealt(all_of(rows), "rule", *fields).groupBy("rule", *fields)
+    return keyed.agg(F.sum("n").alias("n"), F.max("known").alias("known")), rules
 
 
-def _per_rule(counts: DataFrame, broken: Column) -> DataFrame:
+def _per_rule(counts: DataFrame, rules: list[str], broken: Column) -> DataFrame:
     """Sum of the broken rows of each key; every rule has keys unless its tables are empty."""
-    return counts.groupBy("rule").agg(F.sum(broken).alias("n_violations"))
+    found = counts.groupBy("rule").agg(F.sum(broken).alias("n_violations"))
+    name = F.get(F.array(*map(F.lit, rules)), F.col("rule"))
+    return found.select(name.alias("rule"), "n_violations")
 
 
 def _every_rule(found: DataFrame, rules: list[str]) -> DataFrame:
@@ -158,8 +170,8 @@ def _every_rule(found: DataFrame, rules: list[str]) -> DataFrame:
 def _orphan_counts(extracts: Extracts, keys: list[tuple]) -> DataFrame:
     """Child rows per foreign key whose key no parent has; a NULL key is an orphan."""
     orphaned = F.when(F.col("known"), 0).otherwise(F.col("n"))
-    found = _per_rule(key_counts(extracts, foreign=keys), orphaned)
-    return _every_rule(found, [foreign_key_rule(*key) for key in keys])
+    counts, rules = key_counts(extracts, foreign=keys)
+    return _every_rule(_per_rule(counts, rules, orphaned), rules)
 
 
 def fk_orphans(extracts: Extracts) -> DataFrame:
@@ -186,8 +198,8 @@ def pk_nulls(extracts: Extracts) -> DataFrame:
 def pk_duplicates(extracts: Extracts) -> DataFrame:
     """Rows beyond the first of each primary key."""
     keys = {t: key for t, key in PRIMARY_KEYS.items() if t not in NULL_CHECK_ONLY}
-    found = _per_rule(key_counts(extracts, primary=keys), F.col("n") - 1)
-    return _every_rule(found, [_key_name(t, key) for t, key in keys.items()])
+    counts, rules = key_counts(extracts, primary=keys)
+    return _every_rule(_per_rule(counts, rules, F.col("n") - 1), rules)
 
 
 def _per_table(extracts: Extracts, rules: list[tuple[str, str, Column]]) -> DataFrame:

@@ -127,6 +127,31 @@ def test_key_checks_read_each_table_once(spark, tmp_path, name, tables):
     assert "partial_sum(n#" in keyed
 
 
+@pytest.mark.parametrize("name", ["pk_duplicates", "fk_orphans", "fk_orphans_composite"])
+def test_key_checks_hold_no_keys_where_they_are_read(spark, tmp_path, name):
+    """Nearly unique keys are counted behind a shuffle to a number of tasks that Spark does not merge."""
+    extracts = stored_planning(spark, SMALL, str(tmp_path)).extracts
+    plan = plan_of(getattr(integrity, name)(extracts))
+    dealt = plan[plan.index("Exchange hashpartitioning(rule#", plan.index("partial_sum(n#")) :]
+    assert re.match(rf"[^\n]*, {quality.KEY_TASKS}\), REPARTITION_BY_NUM", dealt)
+    assert "Aggregate" not in dealt
+
+
+@pytest.mark.parametrize("session", [4, quality.KEY_TASKS, quality.KEY_TASKS + 1, 400])
+def test_combinations_are_dealt_bare_by_their_first_column(spark, tmp_path, session):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.range(9).selectExpr("id AS a", "id AS b").write.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.shuffle.partitions", str(session))
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/t").repartition("a")
+        found = plan_of(quality.violations(rows, [quality.unique_rule("t", "a", "b")]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    (tasks,) = re.findall(r"hashpartitioning\(a#\d+L?, (\d+)\), REPARTITION_BY_NUM", found)
+    assert int(tasks) != session and int(tasks) >= min(quality.KEY_TASKS, session) - 1
+    assert "Aggregate" not in found[found.index("REPARTITION_BY_NUM") :]
+
+
 def test_model_tests_read_each_table_once(spark, tmp_path):
     plan = stored_planning(spark, SMALL, str(tmp_path))
     empty = {t: spark.createDataFrame([], df.schema) for t, df in plan.model_tables(quality.model_rules()).items()}

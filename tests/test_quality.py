@@ -187,3 +187,28 @@ def test_top_share_agrees_with_sorting(frame, seed, n, spread):
     got = as_dicts(integrity.top_share(frame("k string, q string", rows), "k", F.col("q")))[0]
     assert (got["keys"], got["top_keys"]) == (len(per_key), top)
     assert (got["top_qty"], got["total_qty"]) == (Decimal(want), sum(per_key.values()))
+
+
+def test_keys_of_different_length_are_counted_apart(frame):
+    """NULL beyond a key's length is not NULL inside it; a NULL key is an orphan and one repeated key."""
+    rows = [("a", None), ("a", None), ("a", "b"), (None, None)]
+    table = frame("a string, b string", rows)
+    keys, rules = integrity.key_counts({"S": table, "T": table}, primary={"S": ["a"], "T": ["a", "b"]})
+    got = {(rules[r.rule], r.k0, r.k1): r.n for r in keys.collect()}
+    assert got == {
+        ("S(a)", "a", None): 3, ("S(a)", None, None): 1,
+        ("T(a,b)", "a", None): 2, ("T(a,b)", "a", "b"): 1, ("T(a,b)", None, None): 1,
+    }
+    counts, _ = integrity.key_counts({"S": table, "T": table}, foreign=[("S", ["a", "b"], "T", ["a", "b"])])
+    assert {(r.k0, r.k1): (r.n, r.known) for r in counts.collect()} == {
+        ("a", None): (2, False), ("a", "b"): (1, True), (None, None): (1, False),
+    }
+
+
+def test_faults_repeat_marked_rows_in_one_pass(spark, tmp_path):
+    from runout.fixtures import faults
+
+    spark.createDataFrame([("3-1",), ("13",), ("4",), (None,), (None,)], "k string").write.parquet(f"{tmp_path}/t")
+    df = faults.repeated(spark.read.parquet(f"{tmp_path}/t"), "k")
+    assert sorted((r.k for r in df.collect()), key=str) == ["13", "13", "3-1", "3-1", "4", None, None]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
