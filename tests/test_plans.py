@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from runout.operators import integrity, quality
 from runout.operators.purchasing import late_shipment
+from runout.operators.supply import supply_gap_fill
 from runout.plans.queries import QUERIES, planning, stored_planning
 
 
@@ -70,6 +71,19 @@ def test_gap_fill_days_are_not_joined(spark):
     assert "Exchange" not in above and "Join" not in above
 
 
+def test_gap_fill_reads_the_supply_once_and_broadcasts_no_days(spark, tmp_path):
+    """The days of a pair are gathered with its parties: over a stored context nothing is joined by pair, and
+    pairs are unfolded in a number of tasks that Spark does not merge by their size before."""
+    p = planning(spark, SMALL)
+    spark.createDataFrame([], p.supply_context.schema).write.parquet(f"{tmp_path}/context")
+    context = spark.read.parquet(f"{tmp_path}/context")
+    plan = plan_of(supply_gap_fill(context, p.calendar_index, p.params))
+    assert plan.count("FileScan parquet") == 2  # the context and the plants
+    assert plan.count("BroadcastExchange") == 1  # the calendars
+    below = plan[plan.index("array_except") :]
+    assert f", {quality.KEY_TASKS}), REPARTITION_BY_NUM" in below
+
+
 def test_demand_is_reduced_before_it_is_shuffled(spark):
     plan = plan_of(planning(spark, SMALL).consumption)
     scans = plan.count("partial_sum(demand_qty")

@@ -45,6 +45,24 @@ def test_unknown_vendor_is_always_filled(frame, params, index):
     assert got == {(None, day(i)) for i in range(121)}
 
 
+def test_every_party_of_a_pair_is_filled_around_all_its_days(frame, params, index):
+    rows = [supplied("Order Qty", 5), supplied("Order Qty", 5), supplied("ASN", 6)]
+    rows += [("Order Qty", "M-1000", "M", "1000", "V", None, "FR", day(7))]
+    rows += [("Order Qty", None, None, "1000", "V", "Name", "DE", day(8))]
+    got = as_dicts(supply_gap_fill(frame(ROW, rows), index, params))
+    days = {}
+    for r in got:
+        days.setdefault((r["marc_id"], r["vendor_name"], r["country"]), []).append(
+            r["planned_availability_date"]
+        )
+    rest = [day(i) for i in range(121) if i not in (5, 6, 7)]
+    assert {k: sorted(v) for k, v in days.items()} == {
+        ("M-1000", "Name", "DE"): rest,
+        ("M-1000", None, "FR"): rest,
+        (None, "Name", "DE"): [day(i) for i in range(121)],
+    }
+
+
 def test_plant_without_calendar_is_not_filled(frame, params, index):
     assert filled(frame, params, index, [supplied("Order Qty", 5, plant="9999")]) == set()
 
