@@ -84,6 +84,36 @@ def test_gap_fill_reads_the_supply_once_and_broadcasts_no_days(spark, tmp_path):
     assert f", {quality.KEY_TASKS}), REPARTITION_BY_NUM" in below
 
 
+@pytest.mark.parametrize("name", ["supply", "supply_context"])
+def test_supply_derives_the_deliveries_once(spark, name):
+    """They are stored first, so that the plan over them derives no delivery again."""
+    plan = plan_of(contract.queries()[name](spark, SMALL))
+    assert "l_tax" not in plan  # only the deliveries depend on it
+    assert len(re.findall(r"FileScan parquet .*asn_status", plan)) >= 2
+
+
+def test_quota_headers_are_derived_once(spark):
+    """Lines to headers, to items and to the items' total; before, to the number of headers too."""
+    plan = planning(spark, SMALL).quota_share._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[[^]]*l_orderkey", plan)) == 3
+
+
+def test_small_shuffled_sides_are_hashed_not_sorted(spark):
+    def rows(n):
+        return spark.range(n).selectExpr("lpad(cast(id AS string), 18, '0') AS id", "id AS v")
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = rows(2000).join(rows(1000).withColumnRenamed("v", "w"), "id", "left")
+        found = joined.collect()
+        assert len(found) == 2000 and sum(r.w is not None for r in found) == 1000
+        plan = plan_of(joined)
+        assert "ShuffledHashJoin" in plan[: plan.index("Initial Plan")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_demand_is_reduced_before_it_is_shuffled(spark):
     plan = plan_of(planning(spark, SMALL).consumption)
     scans = plan.count("partial_sum(demand_qty")

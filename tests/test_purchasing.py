@@ -1,4 +1,5 @@
 import random
+import re
 from decimal import Decimal
 
 from planning_cases import as_dicts, day
@@ -146,6 +147,14 @@ def test_doubled_header_halves_the_share(frame, params):
     assert sorted(float(r["quote_percent"]) for r in got) == [0.125, 0.125, 0.375, 0.375]
 
 
+def test_headers_are_read_once_and_those_without_a_number_are_no_group(frame, params):
+    headers = [("A", day(-5), day(5)), (None, day(-5), day(5)), (None, day(-5), day(9))]
+    shares = quotas(frame, params, headers, [("A", "V1", 30), ("A", "V1", 30), (None, "V1", 5)])
+    assert [float(r["quote_percent"]) for r in as_dicts(shares)] == [0.5, 0.5]
+    plan = shares._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"LocalRelation|LogicalRDD", plan)) == 4  # headers, items twice, vendors
+
+
 def test_largest_share_and_slowest_vendor(frame):
     po = frame(
         "ekpo_id string, marc_id string, material_number string, plant string,"
