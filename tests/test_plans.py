@@ -1,6 +1,7 @@
 """Physical plans: what must not appear at scale, and what must be pushed down."""
 
 import re
+import time
 
 import pytest
 from planning_cases import SMALL
@@ -11,7 +12,10 @@ import __spark_entry__ as contract
 from runout.operators import integrity, quality
 from runout.operators.purchasing import late_shipment
 from runout.operators.supply import supply_gap_fill
+from runout.plans import queries
 from runout.plans.queries import QUERIES, edge, planning, stored_planning
+from runout.session import SHUFFLE_CLEANUP
+from runout.sources.sinks import Tables
 
 
 def plan_of(df) -> str:
@@ -232,6 +236,50 @@ def test_detail_supply_reads_its_context_once_composed(spark):
     assert not any("lineitem" in path for path in scanned)
 
 
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = {files.apply(i).getName() for i in range(files.size())}
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_detail_supply_leaves_its_context_and_no_shuffles(spark, tmp_path, monkeypatch):
+    """Disk holds one step's shuffles and the tables still to be read, not those of all steps."""
+    write, held = Tables.write, {}
+
+    def noted(self, name, *given):
+        stored = write(self, name, *given)
+        held[name] = {p.name for p in tmp_path.glob("*/*") if p.parent.name != "_log"}
+        return stored
+
+    monkeypatch.setattr(Tables, "write", noted)
+    monkeypatch.setattr(queries, "scratch_folder", lambda spark: str(tmp_path))
+    before, setting = shuffle_files(spark), spark.conf.get(SHUFFLE_CLEANUP)
+    QUERIES["detail_supply"](spark, SMALL)
+    for _ in range(100):  # files are removed in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(SHUFFLE_CLEANUP) == setting
+    assert {p.name for p in tmp_path.glob("*/*") if p.parent.name != "_log"} == {"int_partial_detail_supply"}
+    assert held["int_supply"] == {"MARC", "int_announced", "int_tt_quota", "int_sa_future", "int_supply"}
+    assert max(map(len, held.values())) == 5
+
+
+def test_detail_supply_steps_have_the_rows_of_the_lazy_frames(spark, tmp_path):
+    """Also where master data is named twice, which multiplies rows."""
+    for name in ("nation", "supplier", "part", "lineitem"):
+        table = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        table = table.unionAll(table) if name == "supplier" else table
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = contract.queries()["detail_supply"](spark, str(tmp_path))
+    lazy = edge(planning(spark, str(tmp_path)).detail_supply)
+    hashed = [
+        df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first() for df in (found, lazy)
+    ]
+    assert found.columns == lazy.columns and hashed[0] == hashed[1] and hashed[0][0] > 0
+
+
 def test_top_share_grows_by_a_constant_per_step(spark):
     plan = plan_of(QUERIES["pareto_share"](spark, SMALL))
     assert plan.count("FileScan") <= 6 and plan.count("BroadcastExchange") <= 5

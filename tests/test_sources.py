@@ -290,3 +290,16 @@ def test_lane_matrix(frame):
 def test_unknown_country_is_an_error(frame):
     with pytest.raises(Exception, match="no transit days for country XX"):
         lane_matrix(frame("lifnr string, land1 string", [("1", "XX")])).collect()
+
+
+def test_a_removed_table_is_gone_and_can_be_written_again(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    for n in (3, 4):
+        tables.write("int_once", spark.range(n))
+        tables.write("int_twice", spark.range(n))
+    tables.remove("int_once")
+    assert tables.versions("int_once") == [] and not (tmp_path / "intermediate/int_once").exists()
+    with pytest.raises(FileNotFoundError):
+        tables.read("int_once")
+    assert tables.read("int_twice").count() == 4
+    assert tables.write("int_once", spark.range(5)).count() == 5
